@@ -23,10 +23,10 @@ from .common import attach, bounded_sample, text_batches
 @dataclass(frozen=True)
 class ToxicParams:
     orders: tuple[int, ...] = (4, 5, 6)
-    bucket_bits: int = 18
+    bucket_bits: int = 20
     smoothing: float = 1.0
     penalty: float = 3e-4
-    rounds: int = 60
+    rounds: int = 80
     #: About so many labelled documents of each label are fitted on, no longer than fit_chars.
     fit_docs: int = 1500
     fit_chars: int = 8_000
