@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chunk_dedup import dedup_chunks
 from .common import id_remainder, read_table
 from .langid import fit_language, predict_language
+from .ngram_join import near_duplicates
 from .quality import fit_quality, score_quality
 from .toxicity import fit_toxicity, score_toxicity
 
@@ -30,12 +32,21 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(spark, sf_dir, "quality", 3, 1, fit_quality, score_quality)
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    return dedup_chunks(read_table(spark, sf_dir, "documents")).drop("kept")
+
+
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(spark, sf_dir, "toxic", 5, 0, fit_toxicity, score_toxicity)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_quality, op10_toxicity)}
+    return {f.__name__: f for f in (op1_language_id, op3_quality, op8_substring_dedup, op9_ngram_join, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
