@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .chunk_dedup import dedup_chunks
 from .common import id_remainder, read_table
+from .decontam import find_leaks
 from .langid import fit_language, predict_language
 from .ngram_join import near_duplicates
 from .quality import fit_quality, score_quality
@@ -32,6 +33,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(spark, sf_dir, "quality", 3, 1, fit_quality, score_quality)
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     return dedup_chunks(read_table(spark, sf_dir, "documents")).drop("kept")
@@ -46,7 +51,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_quality, op8_substring_dedup, op9_ngram_join, op10_toxicity)}
+    return {f.__name__: f for f in (op1_language_id, op3_quality, op6_decontamination, op8_substring_dedup, op9_ngram_join, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
