@@ -99,3 +99,14 @@ def bounded_sample(rows: DataFrame, by: str, key: str, bound: int) -> DataFrame:
     if not limits:
         return rows.limit(0)
     return rows.where(draw < F.create_map(*limits)[F.col(by)])
+
+
+def bounded_labels(labels: DataFrame, label: str, bound: int) -> tuple[DataFrame, dict[int, int]]:
+    """About `bound` labelled ids of each label 0 and 1, and how many there are of each in all.
+
+    The sample is small enough to broadcast (its size is the parameter's, not the table's), so the texts it
+    is joined with need no shuffle.
+    """
+    rows = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).cast("int").alias(label))
+    counts = {int(r[0]): r[1] for r in rows.groupBy(label).count().collect()}
+    return F.broadcast(bounded_sample(rows, label, "doc_id", bound)), counts

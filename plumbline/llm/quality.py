@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, bounded_sample
+from .common import attach, bounded_labels
 
 
 @dataclass(frozen=True)
@@ -92,11 +92,11 @@ def _dictionary(texts: list[str], params: QualityParams) -> bytes:
         return (b"".join(blocks) + b" " * 64)[: params.dict_bytes]
 
 
-def fit_quality(labelled: DataFrame, params: QualityParams = QualityParams(), *, text: str = "text", label: str = "quality", key: str = "doc_id") -> QualityModel:
-    """Learn from rows with a label of 0 or 1. Both halves of the sample are bounded by the parameters."""
-    rows = labelled.where(F.col(label).isin(0, 1) & (F.length(text) > 0)).select(key, label, text)
-    sample = bounded_sample(rows, label, key, 2 * params.fit_docs).where(F.length(text) <= params.fit_chars)
-    got = sorted({(int(r[1]), hash_order(r[2]), r[2]) for r in sample.collect()})
+def fit_quality(docs: DataFrame, labels: DataFrame, params: QualityParams = QualityParams(), *, text: str = "text", label: str = "quality") -> QualityModel:
+    """Learn from the documents that labels (doc_id and a label of 0 or 1) name; the sample is bounded."""
+    picked, counts = bounded_labels(labels, label, 2 * params.fit_docs)
+    sample = docs.select("doc_id", F.col(text).alias("text")).where(F.length("text").between(1, params.fit_chars)).join(picked, "doc_id").select(label, "text")
+    got = sorted({(int(r[0]), hash_order(r[1]), r[1]) for r in sample.collect()})
     share = np.mean([y for y, _, _ in got]) if got else 0.5
     if len({y for y, _, _ in got}) < 2:
         p = min(max(share, 1e-3), 1 - 1e-3)
@@ -108,7 +108,6 @@ def fit_quality(labelled: DataFrame, params: QualityParams = QualityParams(), *,
     found = np.array([pair.difference(t) for t, _ in fresh])
     y = np.array([y for _, y in fresh], float)
     # each label has its own share of the sample; weigh back to the shares of all labelled rows
-    counts = {int(r[0]): r[1] for r in rows.groupBy(label).count().collect()}
     w = fit_logistic(_features(found[:, 0], found[:, 1]), y)
     here = max(1, (y == 1).sum()) / max(1, (y == 0).sum())
     w[0] += np.log((counts[1] / counts[0]) / here)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, bounded_sample, text_batches
+from .common import attach, bounded_labels, text_batches
 
 
 @dataclass(frozen=True)
@@ -118,15 +118,15 @@ def fit_linear(sets: list[np.ndarray], y: np.ndarray, params: ToxicParams) -> tu
     return weights, float(b)
 
 
-def fit_toxicity(labelled: DataFrame, params: ToxicParams = ToxicParams(), *, text: str = "text", label: str = "toxic", key: str = "doc_id") -> ToxicModel:
-    attach(labelled.sparkSession)
-    rows = labelled.where(F.col(label).isin(0, 1) & (F.length(text) > 0)).select(key, label, text)
-    counts = {int(r[0]): r[1] for r in rows.groupBy(label).count().collect()}
+def fit_toxicity(docs: DataFrame, labels: DataFrame, params: ToxicParams = ToxicParams(), *, text: str = "text", label: str = "toxic") -> ToxicModel:
+    """Learn from the documents that labels (doc_id and a label of 0 or 1) name; the sample is bounded."""
+    attach(docs.sparkSession)
+    picked, counts = bounded_labels(labels, label, params.fit_docs)
     size = 1 << params.bucket_bits
     if len(counts) < 2:
         return ToxicModel(params, np.zeros(size, np.float32), 30.0 if 1 in counts else -30.0)
-    sample = bounded_sample(rows, label, key, params.fit_docs).where(F.length(text) <= params.fit_chars)
-    got = sample.select(label, text).repartition(params.fit_tasks).mapInArrow(lambda it: _present(it, params), "label int, buckets binary").collect()
+    sample = docs.select("doc_id", F.col(text).alias("text")).where(F.length("text").between(1, params.fit_chars)).join(picked, "doc_id")
+    got = sample.select(label, "text").repartition(params.fit_tasks).mapInArrow(lambda it: _present(it, params), "label int, buckets binary").collect()
     got = sorted((r[0], bytes(r[1])) for r in got)
     y = np.array([k for k, _ in got], float)
     weights, bias = fit_linear([np.frombuffer(s, np.int32).astype(np.int64) for _, s in got], y, params)
