@@ -88,13 +88,66 @@ def fly(p: list[float], size: list[float], draw, land: bool) -> list[float]:
     return p
 
 
+def fly_large_first(p: list[float], size: list[float], draw) -> list[float]:
+    """Decide documents of equal probability from the largest down while the smaller ones can make up for it.
+
+    Each move is along the null vector that changes one document and, affinely in size, all smaller ones, so
+    that documents and words taken stay the same. The smaller ones' probabilities stay an affine function of
+    size, so a move costs the same however many they are. Sizes come in descending order. It ends where a
+    smaller document's probability would leave 0 to 1; what is left is for `fly`.
+    """
+    n = len(p)
+    if n < 4 or max(p) - min(p) > 1e-12:
+        return p
+    out, a, b = list(p), p[0], 0.0
+    count, total, square = float(n), float(sum(size)), float(sum(s * s for s in size))
+    k = 0
+    while k < n - 3:
+        big = size[k]
+        count, total, square = count - 1, total - big, square - big * big
+        det = count * square - total * total
+        if det <= 1e-9 * max(1.0, count * square):
+            break
+        own = a + b * big
+        c, d = -(square - total * big) / det, -(count * big - total) / det
+        ends = [(a + c * m + (b + d * m) * s) for m in (1 - own, -own) for s in (size[k + 1], size[-1])]
+        if min(ends) < 0 or max(ends) > 1 or not 0 < own < 1:
+            break
+        move = 1 - own if draw() < own else -own
+        out[k], a, b = (1.0 if move > 0 else 0.0), a + c * move, b + d * move
+        k += 1
+    for i in range(k, n):
+        out[i] = min(1.0, max(0.0, a + b * size[i]))
+    return out
+
+
+def settle(p: list[float], wanted: float, size: list[float], tries: int = 8) -> list[float]:
+    """Landing where all of a source is at hand: turn over the decision that brings the words nearest to
+    `wanted`, while that helps. The first of equals is taken, so reruns agree."""
+    p, s = np.array(p), np.array(size)
+    off = float((p * s).sum()) - wanted
+    for _ in range(tries):
+        after = np.abs(off + np.where(p > 0.5, -s, s))
+        i = int(after.argmin()) if len(s) else 0
+        if not len(s) or after[i] >= abs(off):
+            break
+        off += -s[i] if p[i] > 0.5 else s[i]
+        p[i] = 1 - p[i]
+    return p.tolist()
+
+
 def _flight(pdf: pd.DataFrame, level: int, land: bool, seed: int) -> pd.DataFrame:
     # the largest first: what stays undecided at the end is small, and so is the landing's error
     pdf = pdf.sort_values(["size", "h", "doc_id"], ascending=[False, True, True], kind="stable")
     name = repr((pdf["source"].iloc[0] if pd.notna(pdf["source"].iloc[0]) else None, level, int(pdf["block"].iloc[0]), seed))
     rng = np.random.Generator(np.random.PCG64(xxhash.xxh3_64_intdigest(name.encode("utf-8", "surrogatepass"))))
-    draws = iter(rng.random(3 * len(pdf) + 8).tolist())
-    return pdf.assign(p=fly(pdf["p"].tolist(), pdf["size"].astype(float).tolist(), lambda: next(draws), land)).drop(columns="block")
+    draws = iter(rng.random(4 * len(pdf) + 8).tolist())
+    size, draw = pdf["size"].astype(float).tolist(), lambda: next(draws)
+    p = fly_large_first(pdf["p"].tolist(), size, draw)
+    p = fly(p, size, draw, land)
+    if land and level == 0:
+        p = settle(p, float((pdf["p"] * pdf["size"]).sum()), size)
+    return pdf.assign(p=p).drop(columns="block")
 
 
 def _flier(level: int, land: bool, seed: int):

@@ -53,17 +53,21 @@ def _bucket_counts(batches: Iterator[pa.RecordBatch], p: JoinParams) -> Iterator
     for at in range(0, len(total), step):
         part = total[at : at + step]
         if part.any():
-            yield pa.RecordBatch.from_pydict({"part": pa.array([at // step], pa.int32()), "counts": pa.array([part.tolist()], pa.list_(pa.int64()))})
+            yield pa.RecordBatch.from_pydict({"part": pa.array([at // step], pa.int32()), "counts": pa.array([part.tobytes()], pa.binary())})
+
+
+def _sum_counts(table: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(c.as_py(), np.int64) for c in table.column("counts"))
+    return pa.table({"part": table.column("part")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
 
 def frequency_classes(docs: DataFrame, p: JoinParams) -> np.ndarray:
     """A class for each bucket: 0 up to 4 times the mean count, then one more for every doubling."""
-    rows = docs.select("text").mapInArrow(lambda it: _bucket_counts(it, p), "part int, counts array<long>")
-    summed = rows.select("part", F.posexplode("counts").alias("at", "n")).groupBy("part", "at").agg(F.sum("n").alias("n"))
+    rows = docs.select("text").mapInArrow(lambda it: _bucket_counts(it, p), "part int, counts binary")
+    summed = rows.groupBy("part").applyInArrow(_sum_counts, "part int, counts binary")  # a row from each task, 32 KB
     total = np.zeros(1 << p.bucket_bits)
-    packed = summed.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("at", "n"))).alias("c"))  # 4096 entries at most
-    for r in packed.select("part", F.col("c.n").alias("n")).toLocalIterator():
-        total[r["part"] << 12 : (r["part"] << 12) + len(r["n"])] = r["n"]
+    for r in summed.toLocalIterator():
+        total[r["part"] << 12 : (r["part"] + 1) << 12] = np.frombuffer(r["counts"], np.int64)
     level = np.log2(np.maximum(total, 1) / max(total.mean(), 1.0))
     return np.clip(np.floor(level) - 1, 0, 40).astype(np.uint8)
 
@@ -122,7 +126,8 @@ def _fragments(batches: Iterator[pa.RecordBatch], classes, wanted, p: JoinParams
 
 
 def _shared_grams(batches: Iterator[pa.RecordBatch], twice) -> Iterator[pa.RecordBatch]:
-    """Of each prefix the n-grams that may stand in two documents: x, digest, n, n-gram, place from the end."""
+    """Of each prefix the n-grams that may stand in two documents: x, digest, n, n-gram, `rest` (the n-grams
+    after it in the order) and `past` (those after the prefix)."""
     for rb in batches:
         lists = rb.column(4)
         flat, ends = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
@@ -131,7 +136,7 @@ def _shared_grams(batches: Iterator[pa.RecordBatch], twice) -> Iterator[pa.Recor
         ok = np.flatnonzero(twice.value.holds(flat))
         pick = pa.array(row[ok])
         n = rb.column(3).take(pick)
-        yield pa.RecordBatch.from_arrays([rb.column(0).take(pick), rb.column(1).take(pick), rb.column(2).take(pick), n, pa.array(flat[ok]), pa.array(n.to_numpy() - at[ok])], names=["x", "d1", "d2", "nx", "gram", "rest"])
+        yield pa.RecordBatch.from_arrays([rb.column(0).take(pick), rb.column(1).take(pick), rb.column(2).take(pick), n, pa.array(flat[ok]), pa.array(n.to_numpy() - at[ok] - 1), pa.array(n.to_numpy() - ends[row[ok]])], names=["x", "d1", "d2", "nx", "gram", "rest", "past"])
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,40 +175,54 @@ def near_duplicates(docs: DataFrame, params: JoinParams = JoinParams()) -> DataF
 
     twice = sets.select(F.explode("prefix").alias("gram")).groupBy("gram").agg(F.count("*").alias("held")).where("held > 1").select("gram")
     twice = spark.sparkContext.broadcast(presence(twice, "gram", p.filter_bits))
-    some = sets.select("x", "d1", "d2", "n", "prefix").mapInArrow(lambda it: _shared_grams(it, twice), "x long, d1 long, d2 long, nx long, gram long, rest long")
-    holds = written(some.join(group, ["d1", "d2"]).where("x = rep").select("x", "nx", "gram", "rest").distinct() if repeats else some.join(group, ["d1", "d2"]).where("x = rep").select("x", "nx", "gram", "rest"), "holds")
-    leaders = holds.groupBy("gram").agg(F.min(F.struct("x", "nx")).alias("lead"), F.count("*").alias("held")).where("held > 1")
-    shared = written(holds.join(leaders.select("gram", "lead"), "gram"), "shared")
-
-    alike = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * p.percent
-    stars = shared.where("x <> lead.x").select(F.col("x").alias("b"), F.col("nx").alias("nb"), F.col("lead.x").alias("a"), F.col("lead.nx").alias("na")).where(alike)
-    best = stars.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("hits")).groupBy("b").agg(F.max(F.struct("hits", "a", "na", "nb")).alias("m"))
+    some = sets.select("x", "d1", "d2", "n", "prefix").mapInArrow(lambda it: _shared_grams(it, twice), "x long, d1 long, d2 long, nx long, gram long, rest long, past long")
+    holds = some.join(group, ["d1", "d2"]).where("x = rep").select("gram", F.struct("x", "nx", "rest", "past").alias("h"))
+    holds = written(holds.distinct() if repeats else holds, "holds")
+
+    def pairs_of(met: DataFrame) -> DataFrame:
+        """From rows (l, r) that share an n-gram, the pairs whose sizes and places leave room for enough overlap.
+
+        What two sets share besides the n-grams that met comes after the last of these in both, and after the
+        prefix of one of them."""
+        alike = F.least("l.nx", "r.nx") * 100 >= F.greatest("l.nx", "r.nx") * p.percent
+        both = met.where(alike).groupBy(F.col("l.x").alias("a"), F.col("r.x").alias("b"), F.col("l.nx").alias("na"), F.col("r.nx").alias("nb"), F.greatest("l.past", "r.past").alias("past"))
+        both = both.agg(F.count("*").alias("hits"), F.least(F.min("l.rest"), F.min("r.rest")).alias("rest"))
+        return both.where((F.col("hits") + F.least("rest", "past")) * (100 + p.percent) >= (F.col("na") + F.col("nb")) * p.percent)
+
+    def pieces_of(pairs: DataFrame, label: str) -> DataFrame:
+        """The fragments of the sets that pairs name."""
+        named = written(pairs.select(F.explode(F.array("a", "b")).alias("x")).distinct().join(members, "x").select("x", "doc_id", "d1", "d2"), f"named-{label}")
+        wanted = spark.sparkContext.broadcast(presence(named, "doc_id", p.filter_bits))
+        found = texts.select("doc_id", "text", F.coalesce("doc_id", F.lit(0)).alias("k")).mapInArrow(lambda it: _fragments(it, classes, wanted, p), "doc_id long, d1 long, d2 long, fragment int, grams binary")
+        found = found.join(named, ["doc_id", "d1", "d2"]).select("x", "fragment", "grams")
+        return written(found.dropDuplicates(["x", "fragment"]) if repeats else found, f"fragments-{label}")
+
+    leaders = holds.groupBy("gram").agg(F.min("h").alias("l"), F.count("*").alias("held")).where("held > 1").select("gram", "l")
+    stars = pairs_of(holds.select("gram", F.col("h").alias("r")).join(leaders, "gram").where("l.x <> r.x"))
+    best = stars.groupBy("b").agg(F.max(F.struct("hits", "a", "na", "nb")).alias("m"))
     best = written(best.select("m.a", "b", "m.na", "m.nb"), "stars")
+    links = written(_verify(best, pieces_of(best, "stars"), p), "links")
 
-    wanted = shared.select(F.col("x")).join(members, "x").select("doc_id").distinct()
-    wanted = spark.sparkContext.broadcast(presence(wanted, "doc_id", p.filter_bits))
-    pieces = texts.select("doc_id", "text", F.coalesce("doc_id", F.lit(0)).alias("k")).mapInArrow(lambda it: _fragments(it, classes, wanted, p), "doc_id long, d1 long, d2 long, fragment int, grams binary")
-    pieces = pieces.join(in_class.where("x = rep").select("x", "doc_id", "d1", "d2"), ["doc_id", "d1", "d2"]).select("x", "fragment", "grams")
-    pieces = written(pieces.dropDuplicates(["x", "fragment"]) if repeats else pieces, "fragments")
-
-    links = written(_verify(best, pieces, p), "links")
+    # what the stars left apart: every other pair that shares an n-gram, in different components. The most
+    # frequent component of an n-gram is compared with the others' rows only, never with itself
     found = components(links)
-    # what the stars left apart: every other candidate pair of n-gram holders in different components
-    placed = shared.select("x", "nx", "gram", "rest").join(found.withColumnRenamed("id", "x"), "x", "left").withColumn("c", F.coalesce("component", "x")).drop("component")
+    placed = holds.join(found.select(F.col("id").alias("h_x"), "component"), F.col("h.x") == F.col("h_x"), "left").select("gram", "h", F.coalesce("component", "h.x").alias("c"))
     placed = written(placed, "placed")
-    apart = placed.groupBy("gram").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("gram")
-    open_ = placed.join(apart, "gram")
-    left = open_.select("gram", F.col("x").alias("a"), F.col("nx").alias("na"), F.col("rest").alias("ra"), F.col("c").alias("ca"))
-    right = open_.select("gram", F.col("x").alias("b"), F.col("nx").alias("nb"), F.col("rest").alias("rb"), F.col("c").alias("cb"))
-    room = F.least("ra", "rb") * (100 + p.percent) >= (F.col("na") + F.col("nb")) * p.percent
-    others = left.join(right, "gram").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & alike & room).select("a", "b", "na", "nb").distinct()
-    others = written(others.join(best.select("a", "b"), ["a", "b"], "left_anti"), "others")
-    more = _verify(others, pieces, p)
-    every = links.unionAll(more).unionAll(in_class.where("x <> rep").select(F.col("rep").alias("a"), F.col("x").alias("b")))
+    shares = placed.groupBy("gram", "c").agg(F.count("*").alias("n")).groupBy("gram").agg(F.max(F.struct("n", "c")).alias("m"), F.count("*").alias("k")).where("k > 1")
+    open_ = placed.join(shares.select("gram", F.col("m.c").alias("main")), "gram")
+    side = open_.where("c <> main").select("gram", F.col("h").alias("l"), F.col("c").alias("cl"))
+    rest = open_.select("gram", F.col("h").alias("r"), F.col("c").alias("cr"), "main")
+    met = side.join(rest, "gram").where("cl <> cr and (cr = main or l.x < r.x)")
+    met = met.select(F.least("l", "r").alias("l"), F.greatest("l", "r").alias("r"))
+    others = written(pairs_of(met).select("a", "b", "na", "nb").join(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "others")
+    every = links.unionAll(in_class.where("x <> rep").select(F.col("rep").alias("a"), F.col("x").alias("b")))
+    if not others.isEmpty():
+        every = every.unionAll(_verify(others, pieces_of(others, "others"), p))
     if repeats:
         one = members.groupBy("doc_id").agg(F.min("x").alias("a"))
         every = every.unionAll(members.join(one, "doc_id").where("x <> a").select("a", F.col("x").alias("b")))
     placed = members.join(components(every).withColumnRenamed("id", "x"), "x", "left").select("doc_id", F.coalesce("component", "x").alias("c"))
     low = placed.groupBy("c").agg(F.min("doc_id").alias("component_id"))
-    named = placed.join(low, "c").select("doc_id", "component_id").dropDuplicates(["doc_id"]) if repeats else placed.join(low, "c").select("doc_id", "component_id")
+    named = placed.join(low, "c").select("doc_id", "component_id")
+    named = named.dropDuplicates(["doc_id"]) if repeats else named
     return summary.select("doc_id", F.col("n").alias("n_shingles")).join(named, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

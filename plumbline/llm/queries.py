@@ -93,4 +93,4 @@ SELECT conv_id, count(*) AS n_turns,
     + length(regexp_replace(role, '(\\|###|</turn>|<\||: )', '#\1', 'g'))
     + length(regexp_replace(text, '(\\|###|</turn>|<\|)', '#\1', 'g')))::BIGINT AS formatted_chars
 FROM rows GROUP BY conv_id
-""".replace("\\", "\")
+"""
