@@ -16,6 +16,7 @@ from .langid import fit_language, predict_language
 from .mixing import mix
 from .ngram_join import near_duplicates
 from .quality import fit_quality, score_quality
+from .suffix_dedup import remove_repeats
 from .toxicity import fit_toxicity, score_toxicity
 
 
@@ -32,6 +33,10 @@ def _classified(spark: SparkSession, sf_dir: str, label: str, modulus: int, held
     return score(docs, model, keep=["doc_id", "held_out"]).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(read_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _classified(spark, sf_dir, "quality", 3, 1, fit_quality, score_quality)
 
@@ -72,7 +77,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op3_quality, op4_chat_format, op5_fingerprint, op6_decontamination, op7_mixing, op8_substring_dedup, op9_ngram_join, op10_toxicity)}
+    return {f.__name__: f for f in (op1_language_id, op2_suffix_dedup, op3_quality, op4_chat_format, op5_fingerprint, op6_decontamination, op7_mixing, op8_substring_dedup, op9_ngram_join, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
