@@ -28,11 +28,13 @@ class ToxicParams:
     penalty: float = 3e-4
     rounds: int = 80
     #: About so many labelled documents of each label are fitted on, no longer than fit_chars.
-    fit_docs: int = 1500
+    fit_docs: int = 1200
     fit_chars: int = 8_000
     fit_tasks: int = 6
     #: Buckets in fewer fitting documents get no weight.
-    least_docs: int = 3
+    least_docs: int = 4
+    #: Buckets whose log-count ratio is smaller than this in size tell nothing and get no weight.
+    least_ratio: float = 0.25
 
 
 @dataclass(frozen=True)
@@ -89,15 +91,20 @@ def _present(batches: Iterator[pa.RecordBatch], params: ToxicParams) -> Iterator
 def fit_linear(sets: list[np.ndarray], y: np.ndarray, params: ToxicParams) -> tuple[np.ndarray, float]:
     """Log-count ratios, then logistic regression on the scaled presence features by accelerated gradient steps."""
     size = 1 << params.bucket_bits
-    counts = [np.bincount(np.concatenate([s for s, v in zip(sets, y) if v == k] or [np.zeros(0, np.int64)]), minlength=size) + params.smoothing for k in (0, 1)]
+    counts = [np.full(size, params.smoothing) for _ in (0, 1)]
+    for s, k in zip(sets, y):
+        counts[int(k)][s] += 1  # a set holds a bucket once
     ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
-    seen = np.flatnonzero(counts[0] + counts[1] >= 2 * params.smoothing + params.least_docs)
-    slot = np.full(size, -1, np.int64)
+    seen = np.flatnonzero((counts[0] + counts[1] >= 2 * params.smoothing + params.least_docs) & (np.abs(ratio) >= params.least_ratio))
+    slot = np.full(size, -1, np.int32)
     slot[seen] = np.arange(len(seen))
-    picked = [slot[s] for s in sets]
-    picked = [p[p >= 0] for p in picked]
+    picked = []
+    for s in sets:
+        p = slot[s]
+        picked.append(p[p >= 0])
     starts = np.concatenate([[0], np.cumsum([len(p) for p in picked])])
-    cols = np.concatenate(picked).astype(np.int32) if picked else np.zeros(0, np.int32)
+    cols = np.concatenate(picked) if picked else np.zeros(0, np.int32)
+    del picked
     rows = np.repeat(np.arange(len(sets), dtype=np.int32), np.diff(starts))
     r = ratio[seen]
     norm = np.sqrt(np.bincount(rows, r[cols] ** 2, len(sets)).mean()) or 1.0
@@ -129,7 +136,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, params: ToxicParams = Toxic
     got = sample.select(label, "text").repartition(params.fit_tasks).mapInArrow(lambda it: _present(it, params), "label int, buckets binary").collect()
     got = sorted((r[0], bytes(r[1])) for r in got)
     y = np.array([k for k, _ in got], float)
-    weights, bias = fit_linear([np.frombuffer(s, np.int32).astype(np.int64) for _, s in got], y, params)
+    weights, bias = fit_linear([np.frombuffer(s, np.int32) for _, s in got], y, params)
     return ToxicModel(params, weights, bias)
 
 
