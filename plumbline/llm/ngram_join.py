@@ -1,7 +1,7 @@
 """Exact n-gram Jaccard self-join with vertical partitioning.
 
-The global order of n-grams is by frequency class (counts of hash buckets over all documents), then hash.
-Rare n-grams come first, so the prefixes that two similar documents must share seldom hold common ones.
+The global order of n-grams is by level, then hash: levels come from counts over all documents. Rare n-grams
+come first, so the prefixes that two similar documents must share seldom hold common ones.
 Every document's set, in that order, is cut into fragments of the order; the overlap of a candidate pair is
 counted in each fragment separately and summed per pair. Sets of any size pass in bounded pieces.
 
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .bytehash import shingles, word_hashes
 from .common import attach, written
-from .presence import presence
+from .presence import Presence, presence
 from .components import components
 
 
@@ -37,13 +37,41 @@ class JoinParams:
     width: int = 5
     #: Two documents link when 100 * intersection >= percent * union.
     percent: int = 75
-    fragments: int = 8
-    #: Hash buckets whose counts give the order its frequency classes; fixed size, whatever the input.
+    fragments: int = 4
+    #: Hash buckets whose counts give the order its levels; fixed size, whatever the input.
     bucket_bits: int = 18
+    #: N-grams in the prefixes of more documents than this come last within their level.
+    frequent: int = 32
     #: Bits of the broadcast filters that spare shuffles; fixed size, and a full filter only spares less.
     filter_bits: int = 26
 
 
+def _prefix_length(n: int, p: JoinParams) -> int:
+    """How many n-grams, first in the order, hold one of any similar set."""
+    return n + n * -p.percent // 100 + 1 if n else 0
+
+
+@dataclass(frozen=True)
+class Order:
+    """The global order of n-grams: by level, then hash. Levels come from counts over all documents."""
+
+    bits: int
+    #: Of every hash bucket, how far its count is above the mean (0 up to 4 times, one more for each doubling).
+    levels: np.ndarray
+    #: Which n-grams many prefixes hold; they come last within level 0.
+    frequent: Presence | None = None
+
+    def level(self, h: np.ndarray) -> np.ndarray:
+        out = self.levels[(h >> np.uint64(64 - self.bits)).astype(np.int64)]
+        if self.frequent is None:
+            return out
+        return np.where((out == 0) & self.frequent.holds((h >> np.uint64(24)).view(np.int64)), np.uint8(1), out)
+
+    def sort(self, h: np.ndarray) -> np.ndarray:
+        """Sorted hashes into the order."""
+        return h[np.argsort(self.level(h), kind="stable")]
+
+
 def _bucket_counts(batches: Iterator[pa.RecordBatch], p: JoinParams) -> Iterator[pa.RecordBatch]:
     total = np.zeros(1 << p.bucket_bits, np.int64)
     for rb in batches:
@@ -61,24 +89,39 @@ def _sum_counts(table: pa.Table) -> pa.Table:
     return pa.table({"part": table.column("part")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
 
-def frequency_classes(docs: DataFrame, p: JoinParams) -> np.ndarray:
-    """A class for each bucket: 0 up to 4 times the mean count, then one more for every doubling."""
+def _first_prefixes(batches: Iterator[pa.RecordBatch], order, p: JoinParams) -> Iterator[pa.RecordBatch]:
+    """The top 40 bits of every n-gram of the prefix in the order so far, where it is of level 0."""
+    for rb in batches:
+        found, held = [], 0
+        for _, words in word_hashes(rb.column(0).to_pylist()):
+            h = order.value.sort(shingles(words, p.width))
+            h = h[: _prefix_length(len(h), p)]
+            found.append(h[order.value.level(h) == 0] >> np.uint64(24))
+            held += len(found[-1])
+            if held > 400_000:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["g"])
+                found, held = [], 0
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["g"])
+
+
+def global_order(docs: DataFrame, p: JoinParams) -> Order:
+    """Counts hash buckets over all documents, then n-grams over all prefixes in the order that gives."""
     rows = docs.select("text").mapInArrow(lambda it: _bucket_counts(it, p), "part int, counts binary")
     summed = rows.groupBy("part").applyInArrow(_sum_counts, "part int, counts binary")  # a row from each task, 32 KB
     total = np.zeros(1 << p.bucket_bits)
     for r in summed.toLocalIterator():
         total[r["part"] << 12 : (r["part"] + 1) << 12] = np.frombuffer(r["counts"], np.int64)
-    level = np.log2(np.maximum(total, 1) / max(total.mean(), 1.0))
-    return np.clip(np.floor(level) - 1, 0, 40).astype(np.uint8)
-
-
-def _ordered(words: np.ndarray, classes: np.ndarray, p: JoinParams) -> np.ndarray:
-    """The document's n-grams in the global order."""
-    h = shingles(words, p.width)
-    return h[np.argsort(classes[(h >> np.uint64(64 - p.bucket_bits)).astype(np.int64)], kind="stable")]
+    above = np.floor(np.log2(np.maximum(total, 1) / max(total.mean(), 1.0))) - 1
+    # level 1 is for frequent n-grams of ordinary buckets
+    first = Order(p.bucket_bits, np.where(above >= 1, np.clip(above + 1, 2, 60), 0).astype(np.uint8))
+    shared = docs.sparkSession.sparkContext.broadcast(first)
+    grams = docs.select("text").mapInArrow(lambda it: _first_prefixes(it, shared, p), "g long")
+    frequent = presence(grams.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > p.frequent).select("g"), "g", p.filter_bits)
+    return Order(p.bucket_bits, first.levels, frequent)
 
 
-def _summary(batches: Iterator[pa.RecordBatch], classes, p: JoinParams) -> Iterator[pa.RecordBatch]:
+def _summary(batches: Iterator[pa.RecordBatch], order, p: JoinParams) -> Iterator[pa.RecordBatch]:
     """doc_id, set size, 128-bit digest of the set, prefix."""
     for rb in batches:
         ids, rows, sizes, digests, prefixes, held = rb.column(0), [], [], [], [], 0
@@ -90,12 +133,12 @@ def _summary(batches: Iterator[pa.RecordBatch], classes, p: JoinParams) -> Itera
             return pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), pa.array(sizes, pa.int64()), pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), flat)], names=["doc_id", "n", "d1", "d2", "prefix"])
 
         for row, words in word_hashes(rb.column(1).to_pylist()):
-            grams = _ordered(words, classes.value, p)
+            grams = order.value.sort(shingles(words, p.width))
             n = len(grams)
             rows.append(row)
             sizes.append(n)
             digests.append(_digest(grams))
-            prefixes.append(grams[: n + n * -p.percent // 100 + 1] if n else grams)
+            prefixes.append(grams[: _prefix_length(n, p)])
             held += len(prefixes[-1])
             if held > 400_000:
                 yield out()
@@ -108,7 +151,7 @@ def _digest(grams: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(grams.tobytes())
 
 
-def _fragments(batches: Iterator[pa.RecordBatch], classes, wanted, p: JoinParams) -> Iterator[pa.RecordBatch]:
+def _fragments(batches: Iterator[pa.RecordBatch], order, wanted, p: JoinParams) -> Iterator[pa.RecordBatch]:
     """For documents whose id may be wanted: id, digest, fragment of the order, its n-grams (packed, sorted)."""
     for rb in batches:
         asked = wanted.value.holds(rb.column(2).to_numpy())
@@ -117,10 +160,10 @@ def _fragments(batches: Iterator[pa.RecordBatch], classes, wanted, p: JoinParams
         for row, words in word_hashes(texts):
             h = shingles(words, p.width)
             # frequent n-grams are the order's last fragment; the others are cut by equal ranges of the hash
-            rare = classes.value[(h >> np.uint64(64 - p.bucket_bits)).astype(np.int64)] == 0
+            rare = order.value.level(h) == 0
             at = np.where(rare, (h >> np.uint64(32)) * np.uint64(p.fragments - 1) >> np.uint64(32), np.uint64(p.fragments - 1)).astype(np.int64)
             used = np.unique(at)
-            d1, d2 = np.frombuffer(_digest(_ordered(words, classes.value, p)), ">u8").astype(np.uint64).view(np.int64)
+            d1, d2 = np.frombuffer(_digest(order.value.sort(h)), ">u8").astype(np.uint64).view(np.int64)
             k = len(used)
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.full(k, row))), pa.array(np.full(k, d1)), pa.array(np.full(k, d2)), pa.array(used.astype(np.int32)), pa.array([h[at == f].tobytes() for f in used], pa.binary())], names=["doc_id", "d1", "d2", "fragment", "grams"])
 
@@ -133,7 +176,7 @@ def _shared_grams(batches: Iterator[pa.RecordBatch], twice) -> Iterator[pa.Recor
         flat, ends = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
         row = np.repeat(np.arange(len(ends)), ends)
         at = np.arange(len(flat)) - np.repeat(np.cumsum(ends) - ends, ends)
-        ok = np.flatnonzero(twice.value.holds(flat))
+        ok = np.flatnonzero(twice.value.holds((flat.view(np.uint64) >> np.uint64(24)).view(np.int64)))
         pick = pa.array(row[ok])
         n = rb.column(3).take(pick)
         yield pa.RecordBatch.from_arrays([rb.column(0).take(pick), rb.column(1).take(pick), rb.column(2).take(pick), n, pa.array(flat[ok]), pa.array(n.to_numpy() - at[ok] - 1), pa.array(n.to_numpy() - ends[row[ok]])], names=["x", "d1", "d2", "nx", "gram", "rest", "past"])
@@ -161,8 +204,8 @@ def near_duplicates(docs: DataFrame, params: JoinParams = JoinParams()) -> DataF
     attach(spark)
     p = params
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    classes = spark.sparkContext.broadcast(frequency_classes(texts, p))
-    summary = written(texts.mapInArrow(lambda it: _summary(it, classes, p), "doc_id long, n long, d1 long, d2 long, prefix array<long>"), "sets")
+    order = spark.sparkContext.broadcast(global_order(texts, p))
+    summary = written(texts.mapInArrow(lambda it: _summary(it, order, p), "doc_id long, n long, d1 long, d2 long, prefix array<long>"), "sets")
     # x names a text: the id, or where an id repeats a hash of id and set
     sets = summary.where("n > 0 and doc_id is not null").withColumn("x", F.col("doc_id"))
     repeated = sets.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id", F.lit(True).alias("again"))
@@ -173,8 +216,8 @@ def near_duplicates(docs: DataFrame, params: JoinParams = JoinParams()) -> DataF
     group = written(members.groupBy("d1", "d2").agg(F.min("x").alias("rep")), "classes")
     in_class = members.join(group, ["d1", "d2"])
 
-    twice = sets.select(F.explode("prefix").alias("gram")).groupBy("gram").agg(F.count("*").alias("held")).where("held > 1").select("gram")
-    twice = spark.sparkContext.broadcast(presence(twice, "gram", p.filter_bits))
+    twice = sets.select(F.explode("prefix").alias("gram")).select(F.shiftrightunsigned("gram", 24).alias("g")).groupBy("g").agg(F.count("*").alias("held")).where("held > 1").select("g")
+    twice = spark.sparkContext.broadcast(presence(twice, "g", p.filter_bits))
     some = sets.select("x", "d1", "d2", "n", "prefix").mapInArrow(lambda it: _shared_grams(it, twice), "x long, d1 long, d2 long, nx long, gram long, rest long, past long")
     holds = some.join(group, ["d1", "d2"]).where("x = rep").select("gram", F.struct("x", "nx", "rest", "past").alias("h"))
     holds = written(holds.distinct() if repeats else holds, "holds")
@@ -182,18 +225,18 @@ def near_duplicates(docs: DataFrame, params: JoinParams = JoinParams()) -> DataF
     def pairs_of(met: DataFrame) -> DataFrame:
         """From rows (l, r) that share an n-gram, the pairs whose sizes and places leave room for enough overlap.
 
-        What two sets share besides the n-grams that met comes after the last of these in both, and after the
-        prefix of one of them."""
+        All that two sets share comes at or after the first n-gram that met, in both. What they share besides those
+        that met comes after the last of these in both, and after the prefix of one of them."""
         alike = F.least("l.nx", "r.nx") * 100 >= F.greatest("l.nx", "r.nx") * p.percent
         both = met.where(alike).groupBy(F.col("l.x").alias("a"), F.col("r.x").alias("b"), F.col("l.nx").alias("na"), F.col("r.nx").alias("nb"), F.greatest("l.past", "r.past").alias("past"))
-        both = both.agg(F.count("*").alias("hits"), F.least(F.min("l.rest"), F.min("r.rest")).alias("rest"))
-        return both.where((F.col("hits") + F.least("rest", "past")) * (100 + p.percent) >= (F.col("na") + F.col("nb")) * p.percent)
+        both = both.agg(F.count("*").alias("hits"), F.least(F.min("l.rest"), F.min("r.rest")).alias("rest"), F.least(F.max("l.rest"), F.max("r.rest")).alias("room"))
+        return both.where(F.least(F.col("room") + 1, F.col("hits") + F.least("rest", "past")) * (100 + p.percent) >= (F.col("na") + F.col("nb")) * p.percent)
 
     def pieces_of(pairs: DataFrame, label: str) -> DataFrame:
         """The fragments of the sets that pairs name."""
         named = written(pairs.select(F.explode(F.array("a", "b")).alias("x")).distinct().join(members, "x").select("x", "doc_id", "d1", "d2"), f"named-{label}")
         wanted = spark.sparkContext.broadcast(presence(named, "doc_id", p.filter_bits))
-        found = texts.select("doc_id", "text", F.coalesce("doc_id", F.lit(0)).alias("k")).mapInArrow(lambda it: _fragments(it, classes, wanted, p), "doc_id long, d1 long, d2 long, fragment int, grams binary")
+        found = texts.select("doc_id", "text", F.coalesce("doc_id", F.lit(0)).alias("k")).mapInArrow(lambda it: _fragments(it, order, wanted, p), "doc_id long, d1 long, d2 long, fragment int, grams binary")
         found = found.join(named, ["doc_id", "d1", "d2"]).select("x", "fragment", "grams")
         return written(found.dropDuplicates(["x", "fragment"]) if repeats else found, f"fragments-{label}")
 
