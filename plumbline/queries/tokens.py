@@ -1,2 +1,53 @@
-QUERIES = {}
-SQL = {}
+"""Duplication over the documents' words."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from plumbline.operators import duplication as D
+from plumbline.sources.host import table
+
+QUERIES, SQL = {}, {}
+LEAST = 30
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _words(spark, d):
+    return D.words(table(spark, d, "documents"))
+
+
+_TOK = "SELECT lang AS stream, doc_id AS file, unnest(range(len(w))) AS pos, unnest(w) AS code FROM (SELECT lang, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda x: x <> '') AS w FROM documents)"
+_COV = f"""WITH t AS ({_TOK}),
+g AS (SELECT stream, file, pos, count(*) OVER w AS n, string_agg(code, ' ') OVER w AS g FROM t WINDOW w AS (PARTITION BY stream, file ORDER BY pos ROWS BETWEEN CURRENT ROW AND {LEAST - 1} FOLLOWING)),
+h AS (SELECT stream, file, pos, md5(g) AS g FROM g WHERE n = {LEAST}),
+tw AS (SELECT stream, g FROM h GROUP BY ALL HAVING count(*) > 1),
+c AS (SELECT DISTINCT stream, file, unnest(range(pos, pos + {LEAST})) AS pos FROM h JOIN tw USING (stream, g))"""
+
+
+@query(_COV + " SELECT t.stream, t.file, count(c.pos) AS covered, count(*) AS total, round(count(c.pos) / count(*) * 1000) / 10 AS pct FROM t LEFT JOIN c USING (stream, file, pos) GROUP BY t.stream, t.file")
+def a14_duplication_pct(spark, d):
+    """A14, W4, X: the share of each document's words in a repeat of 30 words or more."""
+    return D.coverage(_words(spark, d), LEAST)
+
+
+@query(_COV + " SELECT stream, file, count(*) AS covered FROM c GROUP BY stream, file")
+def h1_h3_block_coverage(spark, d):
+    """H1-H3, H8: the same coverage from the repeats that the suffix array finds."""
+    blocks = D.file_blocks(_words(spark, d), LEAST)
+    inside = blocks.select("stream", "file", F.explode(F.sequence("pos", F.col("pos") + F.col("tokens") - 1)).alias("p")).distinct()
+    return inside.groupBy("stream", "file").agg(F.count("*").alias("covered"))
+
+
+@query()
+def h7_blocks(spark, d):
+    """Every block's occurrences with its anchors, longest first; the tests hold it against brute force."""
+    return D.file_blocks(_words(spark, d), LEAST).orderBy(F.col("tokens").desc(), "stream", "block", "file", "pos")

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.sources.shared import attach
+
 CUT = "1999-01-01"
 
 _QTY = "CAST(l_quantity AS BIGINT)"
@@ -64,4 +66,5 @@ def metrics_sql(base: bool = False) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    attach(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

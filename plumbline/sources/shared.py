@@ -1,7 +1,8 @@
-"""The checkpoint folder that driver and executors share."""
+"""What driver and executors share: the checkpoint folder, and where this package is."""
 
 from __future__ import annotations
 
+import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -19,3 +20,13 @@ def ensure_shared(spark: SparkSession) -> None:
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="plumbline-"))
     else:
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+
+
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def attach(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it."""
+    env = spark.sparkContext.environment
+    if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, env.get("PYTHONPATH", "")]))
