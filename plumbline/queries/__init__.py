@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import facts, history, rank_gate, stats, tokens
+from . import facts, formats, history, rank_gate, stats, tokens
 
-MODULES = (rank_gate, facts, history, stats, tokens)
+MODULES = (rank_gate, facts, history, stats, tokens, formats)
 
 
 def queries() -> dict:

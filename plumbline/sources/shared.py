@@ -30,3 +30,9 @@ def attach(spark: SparkSession) -> None:
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, env.get("PYTHONPATH", "")]))
+
+
+def shared_path(spark: SparkSession) -> str:
+    """The shared folder's path."""
+    ensure_shared(spark)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
