@@ -110,7 +110,7 @@ def t_critical_95(df: int) -> float:
 
     def tail(t: float) -> float:
         # the density over x = t / (1 - u), u from 0 to 1, by Simpson's rule
-        n, total = 4000, 0.0
+        n, total = 4000, scale if df == 1 else 0.0  # the limit at u = 1
         for i in range(n):
             u = i / n
             x = t + u / (1 - u)
