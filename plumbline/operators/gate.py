@@ -125,10 +125,11 @@ def merge_findings(findings: DataFrame) -> DataFrame:
     place = F.coalesce(*[F.when(F.col("metric") == d, F.lit(i)) for i, (_, d) in enumerate(MERGES)], F.lit(99))
     one = one.withColumn("here", here).withColumn("keeper", keeper).withColumn("place", place).drop("here")
     told = F.concat(F.col("metric"), F.lit(" "), F.when(F.col("has_base"), F.concat(number(round_to("base", 2)), F.lit(" -> "), number(round_to("head", 2)))).otherwise(number(round_to("head", 2))), F.lit(", "), F.col("label"))
-    gone = one.where("keeper is not null").groupBy("package", "severity", "side", F.col("keeper").alias("metric")).agg(F.array_sort(F.collect_list(F.struct("place", F.col("metric").alias("m"), told.alias("told")))).alias("gone"))
-    kept = one.where("keeper is null and not warning").join(gone, ["package", "severity", "side", "metric"], "left")
-    rest = one.where("keeper is null and warning").withColumn("gone", F.lit(None).cast(gone.schema["gone"].dataType))
-    out = kept.select(*rest.columns).unionAll(rest)
+    # the group's findings beside each: a package's few
+    near_all = F.collect_list(F.when(F.col("keeper").isNotNull(), F.struct("place", F.col("metric").alias("m"), told.alias("told"), "keeper"))).over(near)
+    out = one.withColumn("group", near_all).where("keeper is null")
+    mine = F.array_sort(F.filter("group", lambda g: (g["keeper"] == F.col("metric")) & ~F.col("warning")))
+    out = out.withColumn("gone", mine)
     label = F.concat_ws("; ", F.col("label"), F.transform("gone", lambda g: g["told"]))
     also = F.coalesce(F.transform("gone", lambda g: g["m"]), F.array().cast("array<string>"))
     kind = F.when(~F.col("warning") & (F.col("severity") == "fail"), "violation").otherwise("warning")
