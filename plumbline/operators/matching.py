@@ -150,3 +150,17 @@ def rank_sources(pairs: DataFrame) -> DataFrame:
 def grouped_sets(rows: DataFrame, group: str, item: str) -> DataFrame:
     """group, set_key: the canonical key of each group's items."""
     return rows.groupBy(group).agg(F.collect_set(item).alias("items")).select(group, set_key(F.col("items")).alias("set_key"))
+
+
+def reaching(edges: DataFrame, targets: DataFrame, rounds: int = 100) -> DataFrame:
+    """Packages from which a target is reached over edges (source, target), targets included. Each round joins
+    only what the last one added, and is checkpointed to the shared folder."""
+    known = targets.select("package").distinct().checkpoint()
+    front = known
+    for _ in range(rounds):
+        met = edges.join(front.withColumnRenamed("package", "target"), "target", "left_semi").select(F.col("source").alias("package")).distinct()
+        front = met.join(known, "package", "left_anti").checkpoint()
+        if front.isEmpty():
+            return known
+        known = known.unionAll(front).checkpoint()
+    raise RuntimeError("paths too long for the given number of rounds")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import facts, formats, history, rank_gate, stats, tokens
+from . import facts, formats, history, more, rank_gate, stats, tokens
 
-MODULES = (rank_gate, facts, history, stats, tokens, formats)
+MODULES = (rank_gate, facts, history, stats, tokens, formats, more)
 
 
 def queries() -> dict:
