@@ -7,8 +7,9 @@ bytes in UTF-8; strings never cross documents; what counts is the input, not wha
    its anchor: equal windows have equal anchors at equal places. All windows with one anchor lie within a
    segment around it. Segments that are equal as a whole are covered, without any sorting.
 2. The windows of the remaining segments lie left or right of their anchor, and so contain a known half of the
-   segment's core. Only segments whose half stands in another segment too can hold repeated windows.
-3. These few are dealt to shards by that half. A shard sorts its suffixes (Larsson-Sadakane), takes common
+   segment's core. Only segments whose half stands in another segment too can hold repeated windows. Their
+   windows are cut into parts by where they start; equal stretches of a part are covered as they are.
+3. The few stretches that only share a part's core are dealt to shards by it. A shard sorts its suffixes (Larsson-Sadakane), takes common
    prefixes (Kasai) and marks those of `length` or more. Halves with more segments than a shard holds are
    dealt over several shards; the sorted window digests of these are merged by binary search.
 
@@ -40,7 +41,7 @@ class SuffixParams:
     length: int = 400
     gram: int = 64
     #: Bytes of segments in one shard; more of one half are dealt over several shards.
-    shard_bytes: int = 2 << 20
+    shard_bytes: int = 512 << 10
     filter_bits: int = 26
 
     @property
@@ -151,25 +152,56 @@ def _key_rows(batches, p):
             yield pa.RecordBatch.from_arrays([pa.array(key[key != 0]), pa.array(mark[key != 0])], names=["half", "mark"])
 
 
+def _parts(p: SuffixParams, left: bool) -> list[tuple[int, int]]:
+    """Four ranges of how far a window starts before its anchor, of one side."""
+    lo, hi = (p.half, p.reach + 1) if left else (0, p.half)
+    cuts = [lo + (hi - lo) * i // 4 for i in range(5)]
+    return list(zip(cuts[:-1], cuts[1:]))
+
+
 def _found_rows(batches, repeated, mixed, p):
-    """Segments that may be repeated as a whole (half null), and the stretches whose half is in several."""
+    """Segments that may be repeated as a whole (core null); and of anchors whose half is in several segments the
+    stretches that the windows of each part cover, with a hash of the core that all these windows contain."""
+    sides = [(side, i, *r) for side in (0, 1) for i, r in enumerate(_parts(p, side == 0))]
     for rb in batches:
         ids, rk = rb.column(0), rb.column(1)
         for row, raw, anchors, left, right in anchored(_encoded(rb.column(2)), p):
             pair, spans = _digests(raw, anchors, p)
-            out = []
+            place, lo, hi, core, digest = [], [], [], [], []
             for i in np.flatnonzero(repeated.value.holds(pair[:, 0])).tolist():
-                out.append((i, *spans[i], None, None))
-            for side, key in ((0, left), (1, right)):
-                for i in np.flatnonzero((key != 0) & mixed.value.holds(key)).tolist():
-                    a, (lo, hi) = int(anchors[i]), spans[i]
-                    lo, hi = (lo, min(hi, a - p.half + p.length)) if side == 0 else (max(lo, a - p.half + 1), hi)
-                    if hi - lo >= p.length:
-                        out.append((i, lo, hi, int(key[i]), raw[lo:hi]))
-            if out:
-                at, lo, hi, key, piece = zip(*out)
-                pick = pa.array(np.full(len(out), row))
-                yield pa.RecordBatch.from_arrays([ids.take(pick), rk.take(pick), pa.array(pair[list(at), 0]), pa.array(pair[list(at), 1]), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(key, pa.int64()), pa.array(piece, pa.binary())], names=["doc_id", "rk", "d1", "d2", "lo", "hi", "half", "piece"])
+                place.append(i)
+                lo.append(spans[i][0])
+                hi.append(spans[i][1])
+                core.append(None)
+                digest.append(pair[i].astype(">i8").tobytes())
+            near = [(key != 0) & mixed.value.holds(key) for key in (left, right)]
+            for side, part, o0, o1 in sides:
+                for i in np.flatnonzero(near[side]).tolist():
+                    a = int(anchors[i])
+                    first, last = max(0, a - o1 + 1), min(a - o0, len(raw) - p.length)
+                    if last < first:
+                        continue
+                    name = side * 4 + part
+                    place.append(i)
+                    lo.append(first)
+                    hi.append(last + p.length)
+                    core.append(xxhash.xxh3_64_intdigest(raw[a - o0 : a - o1 + 1 + p.length], seed=name) - (1 << 63))
+                    # the place in the part tells apart one stretch that two anchors cover
+                    digest.append(xxhash.xxh3_128_digest(raw[first : last + p.length], seed=name * 4096 + a - first))
+            if place:
+                pick = pa.array(np.full(len(place), row))
+                both = np.frombuffer(b"".join(digest), ">u8").astype(np.uint64).view(np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([ids.take(pick), rk.take(pick), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(core, pa.int64())], names=["doc_id", "rk", "d1", "d2", "lo", "hi", "core"])
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, key, text, wanted stretches) to the stretches' bytes."""
+    for rb in batches:
+        for row, (text, wanted) in enumerate(zip(rb.column(2), rb.column(3))):
+            raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
+            w = wanted.as_py()
+            pick = pa.array(np.full(len(w), row))
+            yield pa.RecordBatch.from_arrays([pa.array([x["core"] for x in w], pa.int64()), rb.column(0).take(pick), rb.column(1).take(pick), pa.array([x["lo"] for x in w], pa.int64()), pa.array([raw[x["lo"] : x["hi"]] for x in w], pa.binary())], names=["half", "doc_id", "rk", "lo", "piece"])
 
 
 def repeated_in_shard(stretches: list[tuple[object, int, bytes]], length: int) -> Iterator[tuple[object, np.ndarray, np.ndarray, bytes]]:
@@ -236,6 +268,16 @@ def _merge_shards(table: pa.Table) -> pa.Table:
     return table.filter(pa.array(last - first > 1)).select(["doc_id", "rk", "lo", "hi"])
 
 
+def _only(wanted):
+    """Keeps rows whose second column the filter may hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in batches:
+            yield rb.filter(pa.array(wanted.value.holds(rb.column(1).to_numpy())))
+
+    return run
+
+
 def repeated_spans(docs: DataFrame, p: SuffixParams) -> DataFrame:
     """(doc_id, rk, lo, hi): stretches to remove, overlapping ones included."""
     spark = docs.sparkSession
@@ -250,12 +292,22 @@ def repeated_spans(docs: DataFrame, p: SuffixParams) -> DataFrame:
     mixed = written(mixed, "mixed")
     has_repeat = spark.sparkContext.broadcast(presence(repeated, "d1", p.filter_bits))
     has_half = spark.sparkContext.broadcast(presence(mixed, "half", p.filter_bits))
-    found = written(keyed.mapInArrow(lambda it: _found_rows(it, has_repeat, has_half, p), f"doc_id {kind}, rk long, d1 long, d2 long, lo long, hi long, half long, piece binary"), "found")
-    whole = found.where("half is null").select("doc_id", "rk", "lo", "hi", "d1", "d2").join(repeated, ["d1", "d2"]).where(F.col("hi") - F.col("lo") >= p.length).select("doc_id", "rk", "lo", "hi")
-
-    # equal segments have one representative; those that repeat need no search of their own
-    stretch = found.where("half is not null").groupBy("half", "d1", "d2").agg(F.min(F.struct("doc_id", "rk", "lo", "piece")).alias("s")).select("half", "s.*")
-    stretch = written(stretch.join(mixed, "half", "left_semi"), "stretches")
+    found = written(keyed.mapInArrow(lambda it: _found_rows(it, has_repeat, has_half, p), f"doc_id {kind}, rk long, d1 long, d2 long, lo long, hi long, core long"), "found")
+    spot = ["doc_id", "rk", "lo", "hi"]
+    whole = found.where("core is null").select(*spot, "d1", "d2").join(repeated, ["d1", "d2"]).where(F.col("hi") - F.col("lo") >= p.length).select(*spot)
+
+    # equal stretches are covered as they are; single ones that share their core with others remain for the search
+    parts = found.where("core is not null")
+    kinds = written(parts.groupBy("core", "d1", "d2").agg(F.count("*").alias("n"), F.min(F.struct(*spot)).alias("s")), "kinds")
+    again = parts.join(kinds.where("n > 1").select("core", "d1", "d2"), ["core", "d1", "d2"]).select(*spot)
+    open_ = kinds.groupBy("core").agg(F.count("*").alias("k"), F.min("n").alias("least")).where("k > 1 and least = 1").select("core")
+    asked = kinds.join(open_, "core").select("core", "s.*").groupBy("doc_id", "rk").agg(F.collect_set(F.struct("core", "lo", "hi")).alias("wanted"))
+    asked = written(asked, "asked")
+    has_text = spark.sparkContext.broadcast(presence(asked, "rk", p.filter_bits))
+    texts = keyed.mapInArrow(_only(has_text), keyed.schema).dropDuplicates(["doc_id", "rk"])
+    asked = asked.select(F.col("doc_id").alias("id2"), F.col("rk").alias("rk2"), "wanted")
+    met = texts.join(asked, (F.col("rk") == F.col("rk2")) & F.col("doc_id").eqNullSafe(F.col("id2"))).select("doc_id", "rk", "text", "wanted")
+    stretch = written(met.mapInArrow(_pieces, f"half long, doc_id {kind}, rk long, lo long, piece binary"), "stretches")
     load = stretch.groupBy("half").agg(F.count("*").alias("rows"), F.sum(F.length("piece")).alias("bytes")).where("rows > 1")
     load = written(load, "load")
     total = load.agg(F.sum("bytes")).first()[0] or 0
@@ -268,9 +320,9 @@ def repeated_spans(docs: DataFrame, p: SuffixParams) -> DataFrame:
         dealt = dealt.groupBy("half", F.pmod(F.xxhash64("doc_id", "rk"), "parts").alias("part")).applyInArrow(lambda t: _shard(t, p, True), spans_type)
         dealt = written(dealt, "dealt")
         spans = spans.unionAll(dealt.where("w1 is null").select("doc_id", "rk", "lo", "hi"))
-        ranges = max(1, -(-dealt.count() // 400_000))
+        ranges = max(1, -(-dealt.count() // 100_000))
         spans = spans.unionAll(dealt.where("w1 is not null").groupBy(F.pmod("w2", F.lit(ranges)).alias("range")).applyInArrow(_merge_shards, f"doc_id {kind}, rk long, lo long, hi long"))
-    return whole.unionAll(spans)
+    return whole.unionAll(again).unionAll(spans)
 
 
 def merged_runs(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -315,11 +367,7 @@ def remove_repeats(docs: DataFrame, params: SuffixParams = SuffixParams()) -> Da
     schema = f"doc_id {kind}, {_RESULT}"
     clean = keyed.mapInArrow(lambda it: _results(it, touched), schema)
 
-    def only(it):
-        for rb in it:
-            yield rb.filter(pa.array(touched.value.holds(rb.column(1).to_numpy())))
-
-    some = keyed.mapInArrow(only, keyed.schema)
+    some = keyed.mapInArrow(_only(touched), keyed.schema)
     spans = spans.select(F.col("doc_id").alias("id2"), F.col("rk").alias("rk2"), "spans")
     met = some.join(spans, (F.col("rk") == F.col("rk2")) & F.col("doc_id").eqNullSafe(F.col("id2")), "left").select("doc_id", "rk", "text", "spans")
     return clean.unionAll(met.mapInArrow(lambda it: _results(it, None), schema))
