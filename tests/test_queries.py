@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -20,7 +21,7 @@ def duck(tiny):
 
 
 def plain(v):
-    if v is None or v != v:
+    if v is None or pd.isna(v):
         return None
     return f"{float(v):.6g}" if isinstance(v, (int, float)) or hasattr(v, "dtype") else str(v)
 
