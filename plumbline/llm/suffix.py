@@ -59,7 +59,8 @@ def common_prefixes(symbols: np.ndarray, sa: np.ndarray, place: np.ndarray, rank
 
     Kasai's rule: one symbol on in the text the common prefix is at most one shorter. It holds for suffixes that
     differ within `depth`; those of one rank share `depth`, and the symbol after such a run starts from nothing.
-    The strings that make up the text (begin, length; each ends with a symbol of its own) are walked side by side.
+    The strings that make up the text (each ends with a symbol of its own) are walked side by side, from their
+    begins over as many suffixes as `lengths` says; other suffixes have 0.
     """
     out = np.zeros(len(symbols), np.int64)
     h = np.zeros(len(begins), np.int64)

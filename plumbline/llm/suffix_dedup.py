@@ -221,7 +221,8 @@ def repeated_in_shard(stretches: list[tuple[object, int, bytes]], length: int) -
         symbols[b : b + len(m[2])] = np.frombuffer(m[2], np.uint8)
         symbols[b + len(m[2])] = 256 + i  # an end of its own
     sa, place, rank = suffix_array(symbols, length)
-    lcp = common_prefixes(symbols, sa, place, rank, begins, lengths, length)
+    # only suffixes of a whole window and more can share one, so the walk ends with a stretch's last window
+    lcp = common_prefixes(symbols, sa, place, rank, begins, lengths - length, length)
     after = np.append(lcp[sa[1:]], 0)[place] if len(sa) else lcp
     twice = np.maximum(lcp, after) >= length
     for b, m in zip(begins.tolist(), merged):
