@@ -11,6 +11,7 @@ from .chat import format_conversations, read_back
 from .chunk_dedup import dedup_chunks
 from .common import id_remainder, read_table
 from .decontam import find_leaks
+from .decontam_sql import leaks_sql
 from .fingerprint import fingerprint_edits
 from .langid import fit_language, predict_language
 from .mixing import mix
@@ -81,7 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat_format": OP4_SQL}
+    return {"op4_chat_format": OP4_SQL, "op6_decontamination": leaks_sql()}
 
 
 OP4_SQL = r"""
