@@ -6,13 +6,15 @@ Every document's set, in that order, is cut into fragments of the order; the ove
 counted in each fragment separately and summed per pair. Sets of any size pass in bounded pieces.
 
 Copies (equal sets) form a class with its smallest id as representative. A first round verifies each
-representative against the smallest holder of each n-gram of its prefix, so a group of thousands of near
-copies costs a star, not all pairs. A second round verifies every remaining candidate pair that the first
-left in different components, so no link between components is lost.
-
-Nulls: a null text has no n-grams; documents without any link with nothing. A null doc_id gets no
-component of its own (null) but takes part in no link. Rows that repeat an id count as that one document:
-their links add up. Empty tables give empty results.
+representative against the smallest holder of each n-gram of its prefix. A second round verifies every
+remaining candidate pair that the first left in different groups. Pairs within a group of three or more are
+all counted against each other in cells of two blocks of texts, by matrix products over the n-grams that
+both blocks hold. So every link between different texts is verified; a group of m near copies has up to
+m * (m - 1) / 2 of them, and the work grows as they do.
+
+Nulls: a null text has no n-grams and links with nothing. A null doc_id gets no component of its own (null)
+and takes part in no link. Rows that repeat an id count as that one document: their links add up. Empty
+tables give empty results.
 """
 
 from __future__ import annotations
@@ -44,6 +46,9 @@ class JoinParams:
     frequent: int = 32
     #: Bits of the broadcast filters that spare shuffles; fixed size, and a full filter only spares less.
     filter_bits: int = 26
+    #: Texts, and n-grams, of a block of a group whose pairs are all counted; a cell holds two blocks.
+    block_texts: int = 4096
+    block_grams: int = 4_000_000
 
 
 def _prefix_length(n: int, p: JoinParams) -> int:
@@ -198,8 +203,105 @@ def _verify(pairs: DataFrame, pieces: DataFrame, p: JoinParams) -> DataFrame:
     return pairs.join(summed, ["a", "b"]).where(F.col("both") * (100 + p.percent) >= (F.col("na") + F.col("nb")) * p.percent).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
-    """doc_id, n_shingles and component_id, one row for each row of docs."""
+def _met(flat: np.ndarray, row: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Overlaps of the texts `left` with the texts `right`; entry e says that text row[e] holds n-gram flat[e]."""
+    place_l, place_r = (np.full(row.max(initial=0) + 1, -1) for _ in range(2))
+    place_l[left], place_r[right] = np.arange(len(left)), np.arange(len(right))
+    _, col = np.unique(flat, return_inverse=True)
+    in_l, in_r = place_l[row] >= 0, place_r[row] >= 0
+    held_l, held_r = (np.bincount(col[x], minlength=col.max(initial=0) + 1) for x in (in_l, in_r))
+    out = np.zeros((len(left), len(right)), np.int32)
+    # n-grams of many pairs as matrix products, those of few pair by pair
+    many = held_l * held_r > 2048
+    wide = np.flatnonzero(many)
+    slot = np.full(len(many), -1)
+    slot[wide] = np.arange(len(wide))
+    for at in range(0, len(wide), 1024):
+        ml, mr = (np.zeros((len(x), min(1024, len(wide) - at)), np.float32) for x in (left, right))
+        here = (slot[col] >= at) & (slot[col] < at + 1024)
+        for m, place, own in ((ml, place_l, in_l), (mr, place_r, in_r)):
+            e = np.flatnonzero(here & own)
+            m[place[row[e]], slot[col[e]] - at] = 1
+        for k in range(0, len(left), 512):
+            out[k : k + 512] += (ml[k : k + 512] @ mr.T).astype(np.int32)
+    el, er = (np.flatnonzero(~many[col] & own) for own in (in_l & (held_r[col] > 0), in_r & (held_l[col] > 0)))
+    er = er[np.argsort(col[er], kind="stable")]
+    few = np.where(~many & (held_l > 0), held_r, 0)
+    begin, times = np.cumsum(few) - few, held_r[col[el]]
+    cuts = np.searchsorted(np.cumsum(times), np.arange(0, times.sum() + 4_000_000, 4_000_000))
+    for a, b in zip(cuts, [*cuts[1:], len(el)]):
+        t = times[a:b]
+        step = np.arange(t.sum()) - np.repeat(np.cumsum(t) - t, t)
+        other = er[np.repeat(begin[col[el[a:b]]], t) + step]
+        np.add.at(out.reshape(-1), np.repeat(place_l[row[el[a:b]]], t) * len(right) + place_r[row[other]], 1)
+    return out
+
+
+def _linked(table: pa.Table, p: JoinParams) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a cell (x, n, own, low, high, grams) the texts of its two blocks, and places (i, j) of those that link."""
+    x, first = np.unique(table.column("x").to_numpy(), return_index=True)
+    n, own = table.column("n").to_numpy()[first], table.column("own").to_numpy()[first]
+    low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+    packed = [g.as_py() for g in table.column("grams")]
+    row = np.repeat(np.searchsorted(x, table.column("x").to_numpy()), [len(g) // 8 for g in packed])
+    left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
+    if not len(left) or not len(right):
+        return x[left], x[right], np.zeros(0, np.int64), np.zeros(0, np.int64)
+    both = _met(np.frombuffer(b"".join(packed), np.uint64), row, left, right)
+    found_i, found_j = [], []
+    for k in range(0, len(left), 512):
+        ok = both[k : k + 512].astype(np.int64) * (100 + p.percent) >= (n[left[k : k + 512], None] + n[right]) * p.percent
+        i, j = np.nonzero(ok)
+        keep = i + k < j if low == high else np.ones(len(i), bool)
+        found_i.append((i[keep] + k).astype(np.int32))
+        found_j.append(j[keep].astype(np.int32))
+    return x[left], x[right], np.concatenate(found_i), np.concatenate(found_j)
+
+
+def _count_cell(table: pa.Table, p: JoinParams) -> pa.Table:
+    left, right, i, j = _linked(table, p)
+    return pa.table({"x": np.concatenate([left, right]), "k": np.concatenate([np.bincount(i, minlength=len(left)), np.bincount(j, minlength=len(right))])})
+
+
+def _pairs_cell(table: pa.Table, p: JoinParams) -> pa.Table:
+    left, right, i, j = _linked(table, p)
+    return pa.table({"a": np.minimum(left[i], right[j]), "b": np.maximum(left[i], right[j])})
+
+
+@dataclass(frozen=True)
+class Joined:
+    """The join's parts. x names a text: the id, or where an id repeats a hash of id and set; rep names the
+    texts that are equal as sets, by the smallest x."""
+
+    params: JoinParams
+    #: doc_id, n of every row.
+    summary: DataFrame
+    #: x, doc_id, rep of every text with n-grams.
+    classes: DataFrame
+    repeats: bool
+    #: Verified links (a, b) that suffice for the components of representatives.
+    enough: DataFrame
+    #: Verified links (a, b) outside the groups whose pairs are all counted in cells.
+    apart: DataFrame
+    #: c, low, high, own, x, n, grams: the cells; a text stands in each cell of its block.
+    cells: DataFrame
+
+    def pairs(self) -> DataFrame:
+        """Every link (a, b), a < b, between representatives, once."""
+        p = self.params
+        inside = self.cells.groupBy("c", "low", "high").applyInArrow(lambda t: _pairs_cell(t, p), "a long, b long")
+        return self.apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionAll(inside)
+
+    def link_counts(self) -> DataFrame:
+        """rep, k: with how many other representatives each links, where it does."""
+        p = self.params
+        inside = self.cells.groupBy("c", "low", "high").applyInArrow(lambda t: _count_cell(t, p), "x long, k long")
+        ends = self.apart.select(F.explode(F.array("a", "b")).alias("x"), F.lit(1).cast("long").alias("k"))
+        return ends.unionAll(inside).groupBy(F.col("x").alias("rep")).agg(F.sum("k").alias("k"))
+
+
+def similarity_join(docs: DataFrame, params: JoinParams = JoinParams()) -> Joined:
+    """Every link between different texts, and which documents are equal as sets."""
     spark = docs.sparkSession
     attach(spark)
     p = params
@@ -244,7 +346,8 @@ def near_duplicates(docs: DataFrame, params: JoinParams = JoinParams()) -> DataF
     stars = pairs_of(holds.select("gram", F.col("h").alias("r")).join(leaders, "gram").where("l.x <> r.x"))
     best = stars.groupBy("b").agg(F.max(F.struct("hits", "a", "na", "nb")).alias("m"))
     best = written(best.select("m.a", "b", "m.na", "m.nb"), "stars")
-    links = written(_verify(best, pieces_of(best, "stars"), p), "links")
+    pieces = pieces_of(best, "stars")
+    links = written(_verify(best, pieces, p), "links")
 
     # what the stars left apart: every other pair that shares an n-gram, in different components. The most
     # frequent component of an n-gram is compared with the others' rows only, never with itself
@@ -258,14 +361,42 @@ def near_duplicates(docs: DataFrame, params: JoinParams = JoinParams()) -> DataF
     met = side.join(rest, "gram").where("cl <> cr and (cr = main or l.x < r.x)")
     met = met.select(F.least("l", "r").alias("l"), F.greatest("l", "r").alias("r"))
     others = written(pairs_of(met).select("a", "b", "na", "nb").join(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "others")
-    every = links.unionAll(in_class.where("x <> rep").select(F.col("rep").alias("a"), F.col("x").alias("b")))
+    enough, apart = links, links.limit(0)
     if not others.isEmpty():
-        every = every.unionAll(_verify(others, pieces_of(others, "others"), p))
+        apart = written(_verify(others, pieces_of(others, "others"), p), "apart")
+        enough = links.unionAll(apart)
+
+    # the stars' groups: of two texts the link is verified already, of more every pair is counted in cells
+    grouped = found.unionAll(found.select(F.col("component").alias("id"), "component").distinct()).select(F.col("id").alias("x"), F.col("component").alias("c")).join(members.select("x", "n"), "x")
+    sizes = grouped.groupBy("c").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
+    pair = links.join(sizes.where("m = 2").select("c"), F.least("a", "b") == F.col("c"), "left_semi")
+    blocks = sizes.where("m > 2").select("c", F.greatest(F.ceil(F.col("m") / p.block_texts), F.ceil(F.col("total") / p.block_grams)).cast("int").alias("blocks"))
+    dealt = grouped.join(blocks, "c").withColumn("own", F.pmod(F.xxhash64("x"), "blocks").cast("int"))
+    dealt = dealt.join(pieces.select("x", "grams"), "x").select("c", "own", "x", "n", "grams", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
+    cells = dealt.select("c", F.least("own", "j").alias("low"), F.greatest("own", "j").alias("high"), "own", "x", "n", "grams")
+    return Joined(p, summary, in_class.select("x", "doc_id", "rep"), repeats, enough, apart.unionAll(pair), cells)
+
+
+def near_duplicates(docs: DataFrame, params: JoinParams = JoinParams(), count_links: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id and n_links, one row for each row of docs.
+
+    n_links counts the other texts (different as sets) that link with the document's. Without count_links that
+    column is left out, and links that components don't need aren't verified.
+    """
+    joined = similarity_join(docs, params)
+    summary, classes, repeats = joined.summary, joined.classes, joined.repeats
+    every = joined.enough.unionAll(classes.where("x <> rep").select(F.col("rep").alias("a"), F.col("x").alias("b")))
     if repeats:
-        one = members.groupBy("doc_id").agg(F.min("x").alias("a"))
-        every = every.unionAll(members.join(one, "doc_id").where("x <> a").select("a", F.col("x").alias("b")))
-    placed = members.join(components(every).withColumnRenamed("id", "x"), "x", "left").select("doc_id", F.coalesce("component", "x").alias("c"))
+        one = classes.groupBy("doc_id").agg(F.min("x").alias("a"))
+        every = every.unionAll(classes.join(one, "doc_id").where("x <> a").select("a", F.col("x").alias("b")))
+    placed = classes.join(components(every).withColumnRenamed("id", "x"), "x", "left").select("doc_id", "rep", F.coalesce("component", "x").alias("c"))
     low = placed.groupBy("c").agg(F.min("doc_id").alias("component_id"))
-    named = placed.join(low, "c").select("doc_id", "component_id")
-    named = named.dropDuplicates(["doc_id"]) if repeats else named
-    return summary.select("doc_id", F.col("n").alias("n_shingles")).join(named, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = placed.join(low, "c").select("doc_id", "rep", "component_id")
+    if count_links:
+        named = named.join(joined.link_counts(), "rep", "left").select("doc_id", "component_id", F.coalesce("k", F.lit(0)).alias("k"))
+        named = named.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.sum("k").alias("k")) if repeats else named
+    else:
+        named = named.select("doc_id", "component_id")
+        named = named.dropDuplicates(["doc_id"]) if repeats else named
+    rows = summary.select("doc_id", F.col("n").alias("n_shingles")).join(named, "doc_id", "left")
+    return rows.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), *([F.coalesce("k", F.lit(0)).alias("n_links")] if count_links else []))

@@ -79,6 +79,37 @@ def test_ngram_join_with_frequent_grams_is_the_same(spark, docs):
     assert got == components_of([(r[0], r[1]) for r in corpus()])
 
 
+def links_of(rows):
+    """Every pair of different sets that links."""
+    s = sorted({x for _, t in rows if (x := sets_of(t))}, key=sorted)
+    return {frozenset((x, y)) for k, x in enumerate(s) for y in s[:k] if 100 * len(x & y) >= 75 * len(x | y)}
+
+
+@pytest.mark.parametrize("blocks", [{}, {"block_texts": 7}, {"block_grams": 900, "bucket_bits": 13, "filter_bits": 13}])
+def test_ngram_join_gives_every_link(spark, blocks):
+    """A large group of near copies (some pairs in it don't link), a pair, and exact copies."""
+    rng = random.Random(8)
+    base, rows = [f"w{k}" for k in range(120)], []
+    for i in range(50):
+        w = list(base)
+        for _ in range(rng.randint(0, 2)):
+            w[rng.randrange(len(w))] = rng.choice("xyz")
+        rows.append((i, " ".join(w)))
+    pair = " ".join(f"p{k}" for k in range(40))
+    rows += [(80, pair), (81, pair + " more"), (82, pair), (90, "alone here"), (91, None)]
+    text = dict(rows)
+    want = links_of(rows)
+    different = len({sets_of(text[i]) for i in range(50)})
+    assert 200 < len(want) < different * (different - 1) / 2
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    p = ngram_join.JoinParams(**blocks)
+    got = [(r.a, r.b) for r in ngram_join.similarity_join(df, p).pairs().collect()]
+    assert len(got) == len(want) and all(a < b for a, b in got)
+    assert {frozenset((sets_of(text[a]), sets_of(text[b]))) for a, b in got} == want
+    n = {r.doc_id: r.n_links for r in ngram_join.near_duplicates(df, p).collect()}
+    assert n == {i: sum(sets_of(t) in q for q in want) if sets_of(t) else 0 for i, t in rows}
+
+
 def covered(texts, length):
     seen = {}
     for i, b in enumerate(texts):
