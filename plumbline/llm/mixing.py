@@ -4,7 +4,9 @@ Every source gets a target number of words. A document is taken floor(target / s
 once more with a fractional inclusion probability. The cube method then moves the probabilities along null
 vectors of the constraints (documents and words taken stay the same) until they are 0 or 1. The flight runs
 in blocks of bounded size within a source; the two or fewer undecided documents of each block fly on
-together, level by level, until one block for a source is left and lands its last two.
+together, with a few decided ones, level by level. Each source lands in the level where one block of it is
+left, whatever the other sources' sizes: its last two are rounded, and the block's decisions are turned over
+where that brings its words nearer to the target.
 
 Nulls: a null text has size 0; null sources are one source, last in order. Repeated rows are separate
 documents. A source without words has target 0. Sources' totals come to the driver (at most max_sources).
@@ -136,7 +138,8 @@ def settle(p: list[float], wanted: float, size: list[float], tries: int = 8) ->
     return p.tolist()
 
 
-def _flight(pdf: pd.DataFrame, level: int, land: bool, seed: int) -> pd.DataFrame:
+def _flight(pdf: pd.DataFrame, level: int, params: MixParams) -> pd.DataFrame:
+    land, seed = int(pdf["blocks"].iloc[0]) == 1, params.seed
     # the largest first: what stays undecided at the end is small, and so is the landing's error
     pdf = pdf.sort_values(["size", "h", "doc_id"], ascending=[False, True, True], kind="stable")
     name = repr((pdf["source"].iloc[0] if pd.notna(pdf["source"].iloc[0]) else None, level, int(pdf["block"].iloc[0]), seed))
@@ -145,14 +148,22 @@ def _flight(pdf: pd.DataFrame, level: int, land: bool, seed: int) -> pd.DataFram
     size, draw = pdf["size"].astype(float).tolist(), lambda: next(draws)
     p = fly_large_first(pdf["p"].tolist(), size, draw)
     p = fly(p, size, draw, land)
-    if land and level == 0:
+    if land:
         p = settle(p, float((pdf["p"] * pdf["size"]).sum()), size)
-    return pdf.assign(p=p).drop(columns="block")
-
-
-def _flier(level: int, land: bool, seed: int):
+    pdf = pdf.assign(p=p).drop(columns=["block", "blocks"])
+    on = np.zeros(len(pdf), bool)
+    if not land:
+        # the undecided fly on, and some decided ones for the source's settling
+        decided = pdf["p"].isin((0.0, 1.0)).to_numpy()
+        order = np.lexsort((pdf["h"], ~decided))
+        on = ~decided
+        on[order[: min(int(decided.sum()), max(0, params.block_rows // 64 - 2))]] = True
+    return pdf.assign(on=on)
+
+
+def _flier(level: int, params: MixParams):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _flight(pdf, level, land, seed)
+        return _flight(pdf, level, params)
 
     return run
 
@@ -178,18 +189,18 @@ def mix(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
     rows = sizes.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("name")), "left").drop("name")
     settled = rows.where(~(F.col("part") > 0)).select("doc_id", "source", "size", F.lit(0.0).alias("p"))
     todo = rows.where("part > 0").select("doc_id", "source", "size", F.col("part").alias("p"), F.xxhash64("doc_id", "size").alias("h"))
-    schema, done, level = "doc_id long, source string, size long, p double, h long", [settled], 0
+    schema, done, level = "doc_id long, source string, size long, p double, h long, on boolean", [settled], 0
     while True:
         counts = [(r["source"], -(-r["n"] // params.block_rows)) for r in todo.groupBy("source").agg(F.count("*").alias("n")).collect()]
         land = all(n == 1 for _, n in counts)
         blocks = spark.createDataFrame(counts, "name string, blocks long")
-        dealt = todo.join(F.broadcast(blocks), F.col("source").eqNullSafe(F.col("name"))).select("doc_id", "source", "size", "p", "h", F.pmod(F.xxhash64("h", F.lit(level)), "blocks").alias("block"))
-        flown = dealt.groupBy("source", "block").applyInPandas(_flier(level, land, params.seed), schema)
+        dealt = todo.join(F.broadcast(blocks), F.col("source").eqNullSafe(F.col("name"))).select("doc_id", "source", "size", "p", "h", F.pmod(F.xxhash64("h", F.lit(level)), "blocks").alias("block"), "blocks")
+        flown = dealt.groupBy("source", "block").applyInPandas(_flier(level, params), schema)
         flown = written(flown, f"flight{level}")
-        done.append(flown.where("p = 0 or p = 1").select("doc_id", "source", "size", "p"))
+        done.append(flown.where("not on").select("doc_id", "source", "size", "p"))
         if land:
             break
-        todo, level = flown.where("p > 0 and p < 1"), level + 1
+        todo, level = flown.where("on").drop("on"), level + 1
     every = done[0]
     for d in done[1:]:
         every = every.unionAll(d)

@@ -257,6 +257,22 @@ def test_mixing_blocks_and_shares(spark):
     assert mixing.share_out([0, 5], [1, 2], 3, 5) == [0.0, 5.0]
 
 
+def test_small_source_settles_beside_a_large_one(spark):
+    """A source of one block gets the same rows taken whether another source fits in one block or not."""
+    rng = random.Random(9)
+    size = [rng.randint(1, 90) for _ in range(150)]
+    small = [(i, "w " * n, "en", "a", None, None, None) for i, n in enumerate(size)]
+    large = [(1000 + i, "w " * rng.randint(1, 90), "en", "b", None, None, None) for i in range(2000)]
+    docs = spark.createDataFrame(small + large, SCHEMA)
+    one, many = (mixing.mix(docs, mixing.MixParams(block_rows=k, most_repeats=1.5)).collect() for k in (4000, 256))
+    for s in "ab":
+        total, target = sum(r.taken for r in many if r.source == s), next(r.target for r in many if r.source == s)
+        assert abs(total - target) <= 1
+    own = lambda rows: sorted((r.doc_id, r.taken) for r in rows if r.source == "a")
+    assert own(one) == own(many)
+    assert len(many) == 2150 and len({r.doc_id for r in many}) == 2150
+
+
 def test_cube_keeps_totals():
     rng = random.Random(5)
     size = sorted((rng.randint(1, 100) for _ in range(200)), reverse=True)
