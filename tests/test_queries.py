@@ -38,6 +38,14 @@ def test_same_as_sql(spark, duck, tiny, name):
     assert rows_of(got) == rows_of(want)
 
 
+def test_source_lines_with_block_comments(spark, tmp_path):
+    """Documents with block comments have a row too, and lines inside comments don't count."""
+    rows = [(1, "a\n/* b\nc */\nd // e\n"), (2, "/* all\nof it */"), (3, "x\ny"), (4, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.sloc for r in QUERIES["a3_source_lines"](spark, str(tmp_path)).collect()}
+    assert got == {1: 2, 2: 0, 3: 2, 4: 0}
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
