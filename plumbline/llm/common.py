@@ -17,8 +17,15 @@ ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 ASCII_SPACE = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
 
+#: Rows of an Arrow batch where the session has Spark's default; texts are long, and a worker holds a batch several times.
+BATCH_ROWS = 1000
+
+
 def attach(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it."""
+    """Let Python workers import this package from where the driver has it, and keep their batches small."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows, "10000") == "10000":
+        spark.conf.set(rows, str(BATCH_ROWS))
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, env.get("PYTHONPATH", "")]))
@@ -44,7 +51,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/plumbline-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def discard(done: DataFrame) -> None:
+    """Delete what `written` gave, once everything that reads it has itself been written."""
+    jvm, conf = done.sparkSession._jvm, done.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(done.written_path)
+    path.getFileSystem(conf).delete(path, True)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,26 +73,26 @@ def id_remainder(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % F.lit(modulus)
 
 
-def text_batches(texts: Iterable[str | None], size: int = 1 << 18) -> Iterator[list[tuple[int, str]]]:
-    """Cut texts into batches of at most about `size` characters; a longer text comes in several pieces.
-
-    Yields lists of (row, piece). A row's pieces come in order; empty and null texts give one empty piece.
-    """
+def text_batches(texts: Iterable[str], size: int = 1 << 18) -> Iterator[list[tuple[int, str]]]:
+    """Lists of (row, text) of together at most about `size` characters; a longer text comes in a list of its own."""
     batch: list[tuple[int, str]] = []
     room = size
     for row, text in enumerate(texts):
-        text = text or ""
-        for at in range(0, max(1, len(text)), size):
-            piece = text[at : at + size]
-            if len(piece) > room and batch:
-                yield batch
-                batch, room = [], size
-            batch.append((row, piece))
-            room -= len(piece) + 1
+        if batch and len(text) > room:
+            yield batch
+            batch, room = [], size
+        batch.append((row, text))
+        room -= len(text) + 1
     if batch:
         yield batch
 
 
+def overlapping(text: str, overlap: int, size: int = 1 << 18) -> Iterator[str]:
+    """The text in pieces of `size` characters and the `overlap` before them: no run of overlap + 1 is missed."""
+    for at in range(0, max(1, len(text)), size):
+        yield text[max(0, at - overlap) : at + size]
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Bijective finaliser over uint64: every input bit reaches every output bit."""
     x = x ^ (x >> np.uint64(32))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -26,6 +26,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         # a star forest: every vertex on the left once, and no root is itself on the left
         left = after.groupBy("a").agg(F.count("*").alias("n"))
         done = after.join(after.select(F.col("a").alias("b")).distinct(), "b", "left_semi").isEmpty() and left.where("n > 1").isEmpty()
+        discard(edges)
         edges = after
         if done:
             break

@@ -1,20 +1,27 @@
 """Exact n-gram Jaccard self-join with vertical partitioning.
 
-The global order of n-grams is by level, then hash: levels come from counts over all documents. Rare n-grams
-come first, so the prefixes that two similar documents must share seldom hold common ones.
-Every document's set, in that order, is cut into fragments of the order; the overlap of a candidate pair is
-counted in each fragment separately and summed per pair. Sets of any size pass in bounded pieces.
-
-Copies (equal sets) form a class with its smallest id as representative. A first round verifies each
-representative against the smallest holder of each n-gram of its prefix. A second round verifies every
-remaining candidate pair that the first left in different groups. Pairs within a group of three or more are
-all counted against each other in cells of two blocks of texts, by matrix products over the n-grams that
-both blocks hold. So every link between different texts is verified; a group of m near copies has up to
-m * (m - 1) / 2 of them, and the work grows as they do.
+N-grams are 64-bit hashes; "equal" below means equal hashes.
+
+1. Open texts. N-grams in the lower part of the hash range (`zone`) are counted over all documents. A text in
+   which more than a quarter of all its n-grams stand nowhere else can't link; only the others stay open. Their
+   sets are written once, and no text is read again.
+2. Candidates. Open texts that are equal as sets form a class with its smallest id as representative. Over the
+   representatives the global order of n-grams is exact: by how many hold one, then by hash. Two sets that link
+   share an n-gram in the first quarter of either, so rare n-grams meet first.
+3. Every set is cut into fragments of the hash range; the overlap of a candidate pair is counted in each fragment
+   separately and summed per pair. First each representative is counted against its best star, a holder of an
+   n-gram of its prefix; in a second round those still outside against a star of the largest group they meet.
+   Texts with at least `near` percent in common with their star form groups.
+4. Pairs within a group of three or more are all counted in cells of two blocks of texts, fragment by fragment,
+   by matrix products over the n-grams that both blocks hold: no row is made for a pair. Pairs across groups
+   meet on the n-grams of their prefixes and are counted like the stars.
+
+So every link between different texts is verified; a group of m near copies has up to m * (m - 1) / 2 of them,
+and the arithmetic grows as they do, not the rows. How texts are grouped only decides which way counts a pair.
 
 Nulls: a null text has no n-grams and links with nothing. A null doc_id gets no component of its own (null)
-and takes part in no link. Rows that repeat an id count as that one document: their links add up. Empty
-tables give empty results.
+and takes part in no link. Rows that repeat an id count as that one document: their links add up. Columns
+besides doc_id and text are ignored, whatever their names. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -24,14 +31,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytehash import shingles, word_hashes
-from .common import attach, written
-from .presence import Presence, presence
+from .common import attach, discard, written
 from .components import components
+from .presence import sized_presence
 
 
 @dataclass(frozen=True)
@@ -39,173 +47,109 @@ class JoinParams:
     width: int = 5
     #: Two documents link when 100 * intersection >= percent * union.
     percent: int = 75
+    #: A power of two.
     fragments: int = 4
-    #: Hash buckets whose counts give the order its levels; fixed size, whatever the input.
-    bucket_bits: int = 18
-    #: N-grams in the prefixes of more documents than this come last within their level.
-    frequent: int = 32
-    #: Bits of the broadcast filters that spare shuffles; fixed size, and a full filter only spares less.
-    filter_bits: int = 26
+    #: Share of the hash range whose n-grams are counted over all texts.
+    zone: float = 0.4
+    #: The largest bitmap of repeated n-grams, in bits as a power of two; a full one only leaves more texts open.
+    most_bits: int = 28
+    #: Texts with this percentage in common with their star are in one group.
+    near: int = 40
     #: Texts, and n-grams, of a block of a group whose pairs are all counted; a cell holds two blocks.
-    block_texts: int = 4096
-    block_grams: int = 4_000_000
+    block_texts: int = 2048
+    block_grams: int = 1_000_000
 
 
-def _prefix_length(n: int, p: JoinParams) -> int:
-    """How many n-grams, first in the order, hold one of any similar set."""
-    return n + n * -p.percent // 100 + 1 if n else 0
+def _prefix_length(n, p: JoinParams):
+    """How many n-grams, first in the order, hold one of any set that links; for numbers and arrays."""
+    return n - (n * p.percent + 99) // 100 + 1
 
 
-@dataclass(frozen=True)
-class Order:
-    """The global order of n-grams: by level, then hash. Levels come from counts over all documents."""
-
-    bits: int
-    #: Of every hash bucket, how far its count is above the mean (0 up to 4 times, one more for each doubling).
-    levels: np.ndarray
-    #: Which n-grams many prefixes hold; they come last within level 0.
-    frequent: Presence | None = None
-
-    def level(self, h: np.ndarray) -> np.ndarray:
-        out = self.levels[(h >> np.uint64(64 - self.bits)).astype(np.int64)]
-        if self.frequent is None:
-            return out
-        return np.where((out == 0) & self.frequent.holds((h >> np.uint64(24)).view(np.int64)), np.uint8(1), out)
-
-    def sort(self, h: np.ndarray) -> np.ndarray:
-        """Sorted hashes into the order."""
-        return h[np.argsort(self.level(h), kind="stable")]
+def _in_zone(h: np.ndarray, p: JoinParams) -> np.ndarray:
+    """Of sorted hashes those in the counted zone."""
+    return h[: np.searchsorted(h, np.uint64(int(p.zone * 2.0**64)))]
 
 
-def _bucket_counts(batches: Iterator[pa.RecordBatch], p: JoinParams) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1 << p.bucket_bits, np.int64)
-    for rb in batches:
-        for _, words in word_hashes(rb.column(0).to_pylist()):
-            np.add.at(total, (shingles(words, p.width) >> np.uint64(64 - p.bucket_bits)).astype(np.int64), 1)
-    step = 1 << 12
-    for at in range(0, len(total), step):
-        part = total[at : at + step]
-        if part.any():
-            yield pa.RecordBatch.from_pydict({"part": pa.array([at // step], pa.int32()), "counts": pa.array([part.tobytes()], pa.binary())})
-
-
-def _sum_counts(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(c.as_py(), np.int64) for c in table.column("counts"))
-    return pa.table({"part": table.column("part")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
-
-
-def _first_prefixes(batches: Iterator[pa.RecordBatch], order, p: JoinParams) -> Iterator[pa.RecordBatch]:
-    """The top 40 bits of every n-gram of the prefix in the order so far, where it is of level 0."""
+def _zone_rows(batches: Iterator[pa.RecordBatch], p: JoinParams) -> Iterator[pa.RecordBatch]:
     for rb in batches:
         found, held = [], 0
         for _, words in word_hashes(rb.column(0).to_pylist()):
-            h = order.value.sort(shingles(words, p.width))
-            h = h[: _prefix_length(len(h), p)]
-            found.append(h[order.value.level(h) == 0] >> np.uint64(24))
+            found.append(_in_zone(shingles(words, p.width), p))
             held += len(found[-1])
-            if held > 400_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["g"])
+            if held > 200_000:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["gram"])
                 found, held = [], 0
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["g"])
-
-
-def global_order(docs: DataFrame, p: JoinParams) -> Order:
-    """Counts hash buckets over all documents, then n-grams over all prefixes in the order that gives."""
-    rows = docs.select("text").mapInArrow(lambda it: _bucket_counts(it, p), "part int, counts binary")
-    summed = rows.groupBy("part").applyInArrow(_sum_counts, "part int, counts binary")  # a row from each task, 32 KB
-    total = np.zeros(1 << p.bucket_bits)
-    for r in summed.toLocalIterator():
-        total[r["part"] << 12 : (r["part"] + 1) << 12] = np.frombuffer(r["counts"], np.int64)
-    above = np.floor(np.log2(np.maximum(total, 1) / max(total.mean(), 1.0))) - 1
-    # level 1 is for frequent n-grams of ordinary buckets
-    first = Order(p.bucket_bits, np.where(above >= 1, np.clip(above + 1, 2, 60), 0).astype(np.uint8))
-    shared = docs.sparkSession.sparkContext.broadcast(first)
-    grams = docs.select("text").mapInArrow(lambda it: _first_prefixes(it, shared, p), "g long")
-    frequent = presence(grams.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > p.frequent).select("g"), "g", p.filter_bits)
-    return Order(p.bucket_bits, first.levels, frequent)
-
-
-def _summary(batches: Iterator[pa.RecordBatch], order, p: JoinParams) -> Iterator[pa.RecordBatch]:
-    """doc_id, set size, 128-bit digest of the set, prefix."""
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["gram"])
+
+
+def _set_rows(batches: Iterator[pa.RecordBatch], repeated, p: JoinParams) -> Iterator[pa.RecordBatch]:
+    """doc_id, set size, 128-bit digest of the set; of open texts also the set."""
     for rb in batches:
-        ids, rows, sizes, digests, prefixes, held = rb.column(0), [], [], [], [], 0
+        ids, rows, sizes, digests, sets, held = rb.column(0), [], [], [], [], 0
 
         def out():
             pair = np.frombuffer(b"".join(digests), ">u8").astype(np.uint64).view(np.int64).reshape(-1, 2)
-            lengths = np.cumsum([0] + [len(x) for x in prefixes])
-            flat = pa.array(np.concatenate(prefixes).view(np.int64))
-            return pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), pa.array(sizes, pa.int64()), pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), flat)], names=["doc_id", "n", "d1", "d2", "prefix"])
+            ends = np.cumsum([0] + [0 if s is None else len(s) for s in sets])
+            flat = np.concatenate([s for s in sets if s is not None] or [np.zeros(0, np.uint64)])
+            closed = pa.array([s is None for s in sets], pa.bool_())
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64)), mask=closed)
+            return pa.RecordBatch.from_arrays([ids.take(pa.array(rows)), pa.array(sizes, pa.int64()), pa.array(pair[:, 0]), pa.array(pair[:, 1]), pc.invert(closed), lists], names=["doc_id", "n", "d1", "d2", "open", "grams"])
 
         for row, words in word_hashes(rb.column(1).to_pylist()):
-            grams = order.value.sort(shingles(words, p.width))
-            n = len(grams)
+            h = shingles(words, p.width)
+            zone = _in_zone(h, p)
+            alone = len(zone) - int(np.count_nonzero(repeated.value.holds(zone.view(np.int64))))
             rows.append(row)
-            sizes.append(n)
-            digests.append(_digest(grams))
-            prefixes.append(grams[: _prefix_length(n, p)])
-            held += len(prefixes[-1])
-            if held > 400_000:
+            sizes.append(len(h))
+            digests.append(xxhash.xxh3_128_digest(h.tobytes()))
+            sets.append(h if len(h) and alone < _prefix_length(len(h), p) else None)
+            held += 8 if sets[-1] is None else len(h)
+            if held > 200_000:
                 yield out()
-                rows, sizes, digests, prefixes, held = [], [], [], [], 0
+                rows, sizes, digests, sets, held = [], [], [], [], 0
         if rows:
             yield out()
 
 
-def _digest(grams: np.ndarray) -> bytes:
-    return xxhash.xxh3_128_digest(grams.tobytes())
-
-
-def _fragments(batches: Iterator[pa.RecordBatch], order, wanted, p: JoinParams) -> Iterator[pa.RecordBatch]:
-    """For documents whose id may be wanted: id, digest, fragment of the order, its n-grams (packed, sorted)."""
-    for rb in batches:
-        asked = wanted.value.holds(rb.column(2).to_numpy())
-        rows = np.flatnonzero(asked)
-        ids, texts = rb.column(0).take(pa.array(rows)), rb.column(1).take(pa.array(rows)).to_pylist()
-        for row, words in word_hashes(texts):
-            h = shingles(words, p.width)
-            # frequent n-grams are the order's last fragment; the others are cut by equal ranges of the hash
-            rare = order.value.level(h) == 0
-            at = np.where(rare, (h >> np.uint64(32)) * np.uint64(p.fragments - 1) >> np.uint64(32), np.uint64(p.fragments - 1)).astype(np.int64)
-            used = np.unique(at)
-            d1, d2 = np.frombuffer(_digest(order.value.sort(h)), ">u8").astype(np.uint64).view(np.int64)
-            k = len(used)
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.full(k, row))), pa.array(np.full(k, d1)), pa.array(np.full(k, d2)), pa.array(used.astype(np.int32)), pa.array([h[at == f].tobytes() for f in used], pa.binary())], names=["doc_id", "d1", "d2", "fragment", "grams"])
-
-
-def _shared_grams(batches: Iterator[pa.RecordBatch], twice) -> Iterator[pa.RecordBatch]:
-    """Of each prefix the n-grams that may stand in two documents: x, digest, n, n-gram, `rest` (the n-grams
-    after it in the order) and `past` (those after the prefix)."""
+def _cut(batches: Iterator[pa.RecordBatch], p: JoinParams) -> Iterator[pa.RecordBatch]:
+    """(x, grams) to (x, fragment, its n-grams packed and sorted)."""
+    shift = np.uint64(64 - (p.fragments - 1).bit_length())
     for rb in batches:
-        lists = rb.column(4)
-        flat, ends = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
-        row = np.repeat(np.arange(len(ends)), ends)
-        at = np.arange(len(flat)) - np.repeat(np.cumsum(ends) - ends, ends)
-        ok = np.flatnonzero(twice.value.holds((flat.view(np.uint64) >> np.uint64(24)).view(np.int64)))
-        pick = pa.array(row[ok])
-        n = rb.column(3).take(pick)
-        yield pa.RecordBatch.from_arrays([rb.column(0).take(pick), rb.column(1).take(pick), rb.column(2).take(pick), n, pa.array(flat[ok]), pa.array(n.to_numpy() - at[ok] - 1), pa.array(n.to_numpy() - ends[row[ok]])], names=["x", "d1", "d2", "nx", "gram", "rest", "past"])
+        xs, fragments, packed = [], [], []
+        for x, grams in zip(rb.column(0).to_pylist(), rb.column(1)):
+            h = grams.values.to_numpy().view(np.uint64)
+            cuts = np.searchsorted(h >> shift if p.fragments > 1 else h * np.uint64(0), np.arange(p.fragments + 1, dtype=np.uint64))
+            for f, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
+                if a < b:
+                    xs.append(x)
+                    fragments.append(f)
+                    packed.append(h[a:b].tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(xs, pa.int64()), pa.array(fragments, pa.int32()), pa.array(packed, pa.binary())], names=["x", "fragment", "grams"])
 
 
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rb in batches:
-        left, right = rb.column(2), rb.column(3)
-        n = [len(np.intersect1d(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), assume_unique=True)) for x, y in zip(left, right)]
+        n = [len(np.intersect1d(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), assume_unique=True)) for x, y in zip(rb.column(2), rb.column(3))]
         yield pa.RecordBatch.from_arrays([rb.column(0), rb.column(1), pa.array(n, pa.int64())], names=["a", "b", "n"])
 
 
-def _verify(pairs: DataFrame, pieces: DataFrame, p: JoinParams) -> DataFrame:
-    """Of pairs (a, b, na, nb) those that link. Partial overlaps by fragment, summed per pair."""
-    left = pieces.select(F.col("x").alias("a"), "fragment", F.col("grams").alias("ga"))
+def _counted(pairs: DataFrame, pieces: DataFrame) -> DataFrame:
+    """(a, b, na, nb) with `both`, the overlap: partial ones by fragment, summed per pair. Pairs without any go."""
     right = pieces.select(F.col("x").alias("b"), "fragment", F.col("grams").alias("gb"))
-    met = pairs.select("a", "b").join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "ga", "gb")
+    left = pieces.select(F.col("x").alias("a"), "fragment", F.col("grams").alias("ga"))
+    met = pairs.select("a", "b").join(right, "b").join(left, ["a", "fragment"]).select("a", "b", "ga", "gb")
     summed = met.mapInArrow(_overlaps, "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("both"))
-    return pairs.join(summed, ["a", "b"]).where(F.col("both") * (100 + p.percent) >= (F.col("na") + F.col("nb")) * p.percent).select("a", "b")
+    return pairs.join(summed, ["a", "b"])
+
+
+def _alike(percent: int) -> Column:
+    return F.col("both") * (100 + percent) >= (F.col("na") + F.col("nb")) * percent
 
 
 def _met(flat: np.ndarray, row: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Overlaps of the texts `left` with the texts `right`; entry e says that text row[e] holds n-gram flat[e]."""
-    place_l, place_r = (np.full(row.max(initial=0) + 1, -1) for _ in range(2))
+    place_l, place_r = (np.full(max(row.max(initial=0), left.max(initial=0), right.max(initial=0)) + 1, -1) for _ in range(2))
     place_l[left], place_r[right] = np.arange(len(left)), np.arange(len(right))
     _, col = np.unique(flat, return_inverse=True)
     in_l, in_r = place_l[row] >= 0, place_r[row] >= 0
@@ -228,7 +172,7 @@ def _met(flat: np.ndarray, row: np.ndarray, left: np.ndarray, right: np.ndarray)
     er = er[np.argsort(col[er], kind="stable")]
     few = np.where(~many & (held_l > 0), held_r, 0)
     begin, times = np.cumsum(few) - few, held_r[col[el]]
-    cuts = np.searchsorted(np.cumsum(times), np.arange(0, times.sum() + 4_000_000, 4_000_000))
+    cuts = np.searchsorted(np.cumsum(times), np.arange(0, times.sum() + 1_000_000, 1_000_000))
     for a, b in zip(cuts, [*cuts[1:], len(el)]):
         t = times[a:b]
         step = np.arange(t.sum()) - np.repeat(np.cumsum(t) - t, t)
@@ -239,15 +183,22 @@ def _met(flat: np.ndarray, row: np.ndarray, left: np.ndarray, right: np.ndarray)
 
 def _linked(table: pa.Table, p: JoinParams) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of a cell (x, n, own, low, high, grams) the texts of its two blocks, and places (i, j) of those that link."""
-    x, first = np.unique(table.column("x").to_numpy(), return_index=True)
-    n, own = table.column("n").to_numpy()[first], table.column("own").to_numpy()[first]
+    order = np.argsort(table.column("x").to_numpy(), kind="stable")
+    x, n, own = (table.column(c).to_numpy()[order] for c in ("x", "n", "own"))
     low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
-    packed = [g.as_py() for g in table.column("grams")]
-    row = np.repeat(np.searchsorted(x, table.column("x").to_numpy()), [len(g) // 8 for g in packed])
     left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
     if not len(left) or not len(right):
         return x[left], x[right], np.zeros(0, np.int64), np.zeros(0, np.int64)
-    both = _met(np.frombuffer(b"".join(packed), np.uint64), row, left, right)
+    lists = table.column("grams").combine_chunks()
+    offsets = lists.offsets.to_numpy()
+    flat, row = lists.values.to_numpy()[offsets[0] : offsets[-1]].view(np.uint64), np.empty(len(order), np.int64)
+    row[order] = np.arange(len(order))
+    row = np.repeat(row, np.diff(offsets))
+    fragment = (flat >> np.uint64(64 - (p.fragments - 1).bit_length())).astype(np.int64) if p.fragments > 1 else np.zeros(len(flat), np.int64)
+    both = np.zeros((len(left), len(right)), np.int32)
+    for f in range(p.fragments):
+        here = np.flatnonzero(fragment == f)
+        both += _met(flat[here], row[here], left, right)
     found_i, found_j = [], []
     for k in range(0, len(left), 512):
         ok = both[k : k + 512].astype(np.int64) * (100 + p.percent) >= (n[left[k : k + 512], None] + n[right]) * p.percent
@@ -259,8 +210,24 @@ def _linked(table: pa.Table, p: JoinParams) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def _count_cell(table: pa.Table, p: JoinParams) -> pa.Table:
+    """x, k links in this cell, and the smallest text that its links in this cell reach; texts without links go."""
     left, right, i, j = _linked(table, p)
-    return pa.table({"x": np.concatenate([left, right]), "k": np.concatenate([np.bincount(i, minlength=len(left)), np.bincount(j, minlength=len(right))])})
+    x, at = np.unique(np.concatenate([left, right]), return_inverse=True)
+    i, j = at[i], at[len(left) + j]  # x ascends, so the smallest place is the smallest text
+    k = np.bincount(i, minlength=len(x)) + np.bincount(j, minlength=len(x))
+    low, ends, other = np.arange(len(x)), np.concatenate([i, j]), np.concatenate([j, i])
+    order = np.argsort(ends, kind="stable")
+    ends, other = ends[order], other[order]
+    first = np.flatnonzero(np.diff(ends, prepend=-1))
+    while len(ends):
+        after = low.copy()
+        after[ends[first]] = np.minimum(low[ends[first]], np.minimum.reduceat(low[other], first))
+        after = after[after]
+        if (after == low).all():
+            break
+        low = after
+    some = k > 0
+    return pa.table({"x": x[some], "k": k[some], "low": x[low[some]]})
 
 
 def _pairs_cell(table: pa.Table, p: JoinParams) -> pa.Table:
@@ -276,11 +243,9 @@ class Joined:
     params: JoinParams
     #: doc_id, n of every row.
     summary: DataFrame
-    #: x, doc_id, rep of every text with n-grams.
+    #: x, doc_id, rep of every open text.
     classes: DataFrame
     repeats: bool
-    #: Verified links (a, b) that suffice for the components of representatives.
-    enough: DataFrame
     #: Verified links (a, b) outside the groups whose pairs are all counted in cells.
     apart: DataFrame
     #: c, low, high, own, x, n, grams: the cells; a text stands in each cell of its block.
@@ -292,111 +257,157 @@ class Joined:
         inside = self.cells.groupBy("c", "low", "high").applyInArrow(lambda t: _pairs_cell(t, p), "a long, b long")
         return self.apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionAll(inside)
 
-    def link_counts(self) -> DataFrame:
-        """rep, k: with how many other representatives each links, where it does."""
+    def counted(self) -> DataFrame:
+        """x, k, low: rows whose k sum up to the number of other representatives that x links with, and whose
+        links (x, low) reach as far as all links do."""
         p = self.params
-        inside = self.cells.groupBy("c", "low", "high").applyInArrow(lambda t: _count_cell(t, p), "x long, k long")
-        ends = self.apart.select(F.explode(F.array("a", "b")).alias("x"), F.lit(1).cast("long").alias("k"))
-        return ends.unionAll(inside).groupBy(F.col("x").alias("rep")).agg(F.sum("k").alias("k"))
+        inside = self.cells.groupBy("c", "low", "high").applyInArrow(lambda t: _count_cell(t, p), "x long, k long, low long")
+        low = F.least("a", "b").alias("low")
+        ends = self.apart.select(F.explode(F.array("a", "b")).alias("x"), F.lit(1).cast("long").alias("k"), low)
+        return ends.unionAll(inside)
+
+
+def _open_sets(docs: DataFrame, p: JoinParams) -> DataFrame:
+    """doc_id, n, d1, d2 and `open` of every row, and the sets of open ones."""
+    spark = docs.sparkSession
+    grams = docs.select("text").mapInArrow(lambda it: _zone_rows(it, p), "gram long")
+    repeated = written(grams.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "repeated")
+    known = spark.sparkContext.broadcast(sized_presence(repeated, "gram", p.most_bits))
+    rows = written(docs.mapInArrow(lambda it: _set_rows(it, known, p), "doc_id long, n long, d1 long, d2 long, open boolean, grams array<long>"), "sets")
+    known.destroy()
+    discard(repeated)
+    return rows
+
+
+def _prefixes(reps: DataFrame, p: JoinParams) -> DataFrame:
+    """(gram, h) of every n-gram of a prefix that another set holds too; h is x, its size, the n-grams before this
+    one in the order that some other set holds (`before`), those after it (`rest`) and after the prefix (`past`)."""
+    held = reps.select("x", "n", F.explode("grams").alias("gram"))
+    many = held.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1")
+    mine = held.join(many, "gram").groupBy("x", "n").agg(F.sort_array(F.collect_list(F.struct("c", "gram"))).alias("s"))
+    # n-grams that no other set holds come first in the order
+    alone = F.col("n") - F.size("s")
+    length = F.col("n") - F.expr(f"(n * {p.percent} + 99) div 100") + 1
+    mine = mine.where(length > alone).select("x", "n", alone.alias("alone"), length.alias("length"), F.slice("s", F.lit(1), (length - alone).cast("int")).alias("s"))
+    rows = mine.select("x", "n", "alone", "length", F.posexplode("s").alias("at", "g"))
+    return rows.select(F.col("g.gram").alias("gram"), F.struct("x", F.col("n").alias("nx"), F.col("at").cast("long").alias("before"), (F.col("n") - F.col("alone") - F.col("at") - 1).alias("rest"), (F.col("n") - F.col("length")).alias("past")).alias("h"))
+
+
+def _meeting(l: str, r: str, p: JoinParams) -> tuple[Column, Column]:
+    """Of rows (l, r) that share an n-gram: whether it may bring them together, and how many n-grams of theirs at
+    most come after the prefix of one of them.
+
+    Of two sets that link the smaller one (by size, then x) shares more of its own: for it a shorter prefix will
+    do. Before the n-gram they share no more than either has in common with any set at all, after it no more than
+    either has."""
+    least_shared = lambda n: F.ceil(F.col(n) * (2 * p.percent) / (100 + p.percent)).cast("long")
+    smaller = F.struct(f"{l}.nx", f"{l}.x") < F.struct(f"{r}.nx", f"{r}.x")
+    past = [F.when(less, least_shared(f"{k}.nx") - 1).otherwise(F.col(f"{k}.past")) for k, less in ((l, smaller), (r, ~smaller))]
+    alike = F.least(f"{l}.nx", f"{r}.nx") * 100 >= F.greatest(f"{l}.nx", f"{r}.nx") * p.percent
+    most = F.least(f"{l}.before", f"{r}.before") + 1 + F.least(f"{l}.rest", f"{r}.rest")
+    enough = most * (100 + p.percent) >= (F.col(f"{l}.nx") + F.col(f"{r}.nx")) * p.percent
+    return alike & enough & (F.col(f"{l}.rest") >= past[0]) & (F.col(f"{r}.rest") >= past[1]), F.greatest(*past)
+
+
+def _possible(met: DataFrame, p: JoinParams) -> DataFrame:
+    """From rows (l, r) that share an n-gram, the pairs whose sizes and places leave room for enough overlap.
+
+    All that two sets share comes at or after the first n-gram that met, in both. What they share besides those
+    that met comes after the last of these in both, and after the prefix of one of them."""
+    meets, past = _meeting("l", "r", p)
+    both = met.where(meets).groupBy(F.col("l.x").alias("a"), F.col("r.x").alias("b"), F.col("l.nx").alias("na"), F.col("r.nx").alias("nb"), past.alias("past"))
+    both = both.agg(F.count("*").alias("hits"), F.least(F.min("l.rest"), F.min("r.rest")).alias("rest"), F.least(F.max("l.rest"), F.max("r.rest")).alias("room"))
+    return both.where(F.least(F.col("room") + 1, F.col("hits") + F.least("rest", "past")) * (100 + p.percent) >= (F.col("na") + F.col("nb")) * p.percent)
 
 
 def similarity_join(docs: DataFrame, params: JoinParams = JoinParams()) -> Joined:
     """Every link between different texts, and which documents are equal as sets."""
-    spark = docs.sparkSession
-    attach(spark)
+    attach(docs.sparkSession)
     p = params
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    order = spark.sparkContext.broadcast(global_order(texts, p))
-    summary = written(texts.mapInArrow(lambda it: _summary(it, order, p), "doc_id long, n long, d1 long, d2 long, prefix array<long>"), "sets")
+    summary = _open_sets(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), p)
     # x names a text: the id, or where an id repeats a hash of id and set
-    sets = summary.where("n > 0 and doc_id is not null").withColumn("x", F.col("doc_id"))
-    repeated = sets.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id", F.lit(True).alias("again"))
-    repeats = not repeated.isEmpty()
+    texts = summary.where("open and doc_id is not null").withColumn("x", F.col("doc_id"))
+    again = texts.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id", F.lit(True).alias("again"))
+    repeats = not again.isEmpty()
     if repeats:
-        sets = sets.join(repeated, "doc_id", "left").withColumn("x", F.when(F.col("again"), F.xxhash64("doc_id", "d1", "d2")).otherwise(F.col("doc_id")))
-    members = written(sets.select("x", "doc_id", "n", "d1", "d2").dropDuplicates(["x"]) if repeats else sets.select("x", "doc_id", "n", "d1", "d2"), "members")
+        texts = texts.join(again, "doc_id", "left").withColumn("x", F.when(F.col("again"), F.xxhash64("doc_id", "d1", "d2")).otherwise(F.col("doc_id")))
+        texts = texts.dropDuplicates(["x"])
+    members = texts.select("x", "doc_id", "d1", "d2")
     group = written(members.groupBy("d1", "d2").agg(F.min("x").alias("rep")), "classes")
-    in_class = members.join(group, ["d1", "d2"])
-
-    twice = sets.select(F.explode("prefix").alias("gram")).select(F.shiftrightunsigned("gram", 24).alias("g")).groupBy("g").agg(F.count("*").alias("held")).where("held > 1").select("g")
-    twice = spark.sparkContext.broadcast(presence(twice, "g", p.filter_bits))
-    some = sets.select("x", "d1", "d2", "n", "prefix").mapInArrow(lambda it: _shared_grams(it, twice), "x long, d1 long, d2 long, nx long, gram long, rest long, past long")
-    holds = some.join(group, ["d1", "d2"]).where("x = rep").select("gram", F.struct("x", "nx", "rest", "past").alias("h"))
-    holds = written(holds.distinct() if repeats else holds, "holds")
-
-    def pairs_of(met: DataFrame) -> DataFrame:
-        """From rows (l, r) that share an n-gram, the pairs whose sizes and places leave room for enough overlap.
-
-        All that two sets share comes at or after the first n-gram that met, in both. What they share besides those
-        that met comes after the last of these in both, and after the prefix of one of them."""
-        alike = F.least("l.nx", "r.nx") * 100 >= F.greatest("l.nx", "r.nx") * p.percent
-        both = met.where(alike).groupBy(F.col("l.x").alias("a"), F.col("r.x").alias("b"), F.col("l.nx").alias("na"), F.col("r.nx").alias("nb"), F.greatest("l.past", "r.past").alias("past"))
-        both = both.agg(F.count("*").alias("hits"), F.least(F.min("l.rest"), F.min("r.rest")).alias("rest"), F.least(F.max("l.rest"), F.max("r.rest")).alias("room"))
-        return both.where(F.least(F.col("room") + 1, F.col("hits") + F.least("rest", "past")) * (100 + p.percent) >= (F.col("na") + F.col("nb")) * p.percent)
-
-    def pieces_of(pairs: DataFrame, label: str) -> DataFrame:
-        """The fragments of the sets that pairs name."""
-        named = written(pairs.select(F.explode(F.array("a", "b")).alias("x")).distinct().join(members, "x").select("x", "doc_id", "d1", "d2"), f"named-{label}")
-        wanted = spark.sparkContext.broadcast(presence(named, "doc_id", p.filter_bits))
-        found = texts.select("doc_id", "text", F.coalesce("doc_id", F.lit(0)).alias("k")).mapInArrow(lambda it: _fragments(it, order, wanted, p), "doc_id long, d1 long, d2 long, fragment int, grams binary")
-        found = found.join(named, ["doc_id", "d1", "d2"]).select("x", "fragment", "grams")
-        return written(found.dropDuplicates(["x", "fragment"]) if repeats else found, f"fragments-{label}")
-
-    leaders = holds.groupBy("gram").agg(F.min("h").alias("l"), F.count("*").alias("held")).where("held > 1").select("gram", "l")
-    stars = pairs_of(holds.select("gram", F.col("h").alias("r")).join(leaders, "gram").where("l.x <> r.x"))
-    best = stars.groupBy("b").agg(F.max(F.struct("hits", "a", "na", "nb")).alias("m"))
-    best = written(best.select("m.a", "b", "m.na", "m.nb"), "stars")
-    pieces = pieces_of(best, "stars")
-    links = written(_verify(best, pieces, p), "links")
-
-    # what the stars left apart: every other pair that shares an n-gram, in different components. The most
-    # frequent component of an n-gram is compared with the others' rows only, never with itself
-    found = components(links)
-    placed = holds.join(found.select(F.col("id").alias("h_x"), "component"), F.col("h.x") == F.col("h_x"), "left").select("gram", "h", F.coalesce("component", "h.x").alias("c"))
-    placed = written(placed, "placed")
-    shares = placed.groupBy("gram", "c").agg(F.count("*").alias("n")).groupBy("gram").agg(F.max(F.struct("n", "c")).alias("m"), F.count("*").alias("k")).where("k > 1")
-    open_ = placed.join(shares.select("gram", F.col("m.c").alias("main")), "gram")
+    classes = members.join(group, ["d1", "d2"]).select("x", "doc_id", "rep")
+    reps = written(texts.join(group.select(F.col("rep").alias("x")), "x", "left_semi").select("x", "n", "grams"), "reps")
+
+    holds = written(_prefixes(reps, p), "holds")
+    pieces = written(reps.select("x", "grams").mapInArrow(lambda it: _cut(it, p), "x long, fragment int, grams binary"), "pieces")
+    unshared = F.struct(F.expr("h.nx - h.before - h.rest"), "h.x")
+
+    def starred(met: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
+        """Of rows (l, r) each r's best l, and of these pairs those that are near, with their overlap."""
+        best = _possible(met, p).groupBy("b").agg(F.max(F.struct("hits", "a", "na", "nb")).alias("m"))
+        best = written(best.select("m.a", "b", "m.na", "m.nb"), f"stars-{label}")
+        return best, written(_counted(best, pieces).where(_alike(min(p.near, p.percent))), f"near-{label}")
+
+    def placed_in(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(gram, h, c): c is the group of h's text; and of n-grams in several groups the most frequent one, its
+        star there and how many rows are in others."""
+        rows = holds.join(found.select(F.col("id").alias("h_x"), "component"), F.col("h.x") == F.col("h_x"), "left")
+        rows = written(rows.select("gram", "h", F.coalesce("component", "h.x").alias("c")), "placed")
+        shares = rows.groupBy("gram", "c").agg(F.count("*").alias("n"), F.min_by("h", unshared).alias("l"))
+        return rows, shares.groupBy("gram").agg(F.max(F.struct("n", "c", "l")).alias("m"), F.count("*").alias("k")).where("k > 1").select("gram", F.col("m.c").alias("main"), F.col("m.l").alias("l"))
+
+    # stars: the holder of each n-gram with the fewest n-grams of its own; then that of the most frequent group
+    leaders = holds.groupBy("gram").agg(F.min_by("h", unshared).alias("l"), F.count("*").alias("held")).where("held > 1").select("gram", "l")
+    best, counted = starred(holds.select("gram", F.col("h").alias("r")).join(leaders, "gram").where("l.x <> r.x"), "first")
+    placed, shares = placed_in(components(counted.select("a", "b")))
+    more, near = starred(placed.join(shares, "gram").where("c <> main").select("l", F.col("h").alias("r")), "second")
+    best, counted = best.unionAll(more), counted.unionAll(near)
+    discard(placed)
+
+    # across groups: every other pair that shares an n-gram of its prefixes. The most frequent group of an n-gram
+    # is compared with the others' rows only, never with itself
+    found = components(counted.select("a", "b"))
+    placed, shares = placed_in(found)
+    open_ = placed.join(shares.select("gram", "main"), "gram")
     side = open_.where("c <> main").select("gram", F.col("h").alias("l"), F.col("c").alias("cl"))
     rest = open_.select("gram", F.col("h").alias("r"), F.col("c").alias("cr"), "main")
-    met = side.join(rest, "gram").where("cl <> cr and (cr = main or l.x < r.x)")
-    met = met.select(F.least("l", "r").alias("l"), F.greatest("l", "r").alias("r"))
-    others = written(pairs_of(met).select("a", "b", "na", "nb").join(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "others")
-    enough, apart = links, links.limit(0)
+    met = side.join(rest, "gram").where(F.expr("cl <> cr and (cr = main or l.x < r.x)") & _meeting("l", "r", p)[0])
+    tried = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    others = _possible(met.select(F.least("l", "r").alias("l"), F.greatest("l", "r").alias("r")), p).select("a", "b", "na", "nb")
+    others = written(others.join(tried, ["a", "b"], "left_anti"), "others")
+    apart = counted.limit(0).select("a", "b")
     if not others.isEmpty():
-        apart = written(_verify(others, pieces_of(others, "others"), p), "apart")
-        enough = links.unionAll(apart)
+        apart = written(_counted(others, pieces).where(_alike(p.percent)).select("a", "b"), "apart")
 
-    # the stars' groups: of two texts the link is verified already, of more every pair is counted in cells
-    grouped = found.unionAll(found.select(F.col("component").alias("id"), "component").distinct()).select(F.col("id").alias("x"), F.col("component").alias("c")).join(members.select("x", "n"), "x")
+    # within groups: of two texts the overlap is counted already, of more every pair is counted in cells
+    grouped = found.unionAll(found.select(F.col("component").alias("id"), "component").distinct()).select(F.col("id").alias("x"), F.col("component").alias("c")).join(reps, "x")
     sizes = grouped.groupBy("c").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
-    pair = links.join(sizes.where("m = 2").select("c"), F.least("a", "b") == F.col("c"), "left_semi")
-    blocks = sizes.where("m > 2").select("c", F.greatest(F.ceil(F.col("m") / p.block_texts), F.ceil(F.col("total") / p.block_grams)).cast("int").alias("blocks"))
-    dealt = grouped.join(blocks, "c").withColumn("own", F.pmod(F.xxhash64("x"), "blocks").cast("int"))
-    dealt = dealt.join(pieces.select("x", "grams"), "x").select("c", "own", "x", "n", "grams", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
+    sizes = written(sizes.where("m > 2").select("c", F.greatest(F.ceil(F.col("m") / p.block_texts), F.ceil(F.col("total") / p.block_grams)).cast("int").alias("blocks")), "blocks")
+    upper = found.select(F.col("id").alias("upper"), F.col("component").alias("c"))  # of two linked texts the larger is never a root
+    pair = counted.where(_alike(p.percent)).join(upper, F.greatest("a", "b") == F.col("upper")).join(sizes.select("c"), "c", "left_anti").select("a", "b")
+    dealt = grouped.join(sizes, "c").withColumn("own", F.pmod(F.xxhash64("x"), "blocks").cast("int"))
+    dealt = dealt.select("c", "own", "x", "n", "grams", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
     cells = dealt.select("c", F.least("own", "j").alias("low"), F.greatest("own", "j").alias("high"), "own", "x", "n", "grams")
-    return Joined(p, summary, in_class.select("x", "doc_id", "rep"), repeats, enough, apart.unionAll(pair), cells)
+    for done in (holds, placed, others, pieces):
+        discard(done)
+    return Joined(p, summary.select("doc_id", "n"), classes, repeats, apart.unionAll(pair), cells)
 
 
-def near_duplicates(docs: DataFrame, params: JoinParams = JoinParams(), count_links: bool = True) -> DataFrame:
+def near_duplicates(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
     """doc_id, n_shingles, component_id and n_links, one row for each row of docs.
 
-    n_links counts the other texts (different as sets) that link with the document's. Without count_links that
-    column is left out, and links that components don't need aren't verified.
+    n_links counts the other texts (different as sets) that link with the document's.
     """
     joined = similarity_join(docs, params)
     summary, classes, repeats = joined.summary, joined.classes, joined.repeats
-    every = joined.enough.unionAll(classes.where("x <> rep").select(F.col("rep").alias("a"), F.col("x").alias("b")))
+    counted = written(joined.counted(), "links")
+    every = counted.where("x <> low").select(F.col("low").alias("a"), F.col("x").alias("b")).unionAll(classes.where("x <> rep").select(F.col("rep").alias("a"), F.col("x").alias("b")))
     if repeats:
         one = classes.groupBy("doc_id").agg(F.min("x").alias("a"))
         every = every.unionAll(classes.join(one, "doc_id").where("x <> a").select("a", F.col("x").alias("b")))
     placed = classes.join(components(every).withColumnRenamed("id", "x"), "x", "left").select("doc_id", "rep", F.coalesce("component", "x").alias("c"))
     low = placed.groupBy("c").agg(F.min("doc_id").alias("component_id"))
-    named = placed.join(low, "c").select("doc_id", "rep", "component_id")
-    if count_links:
-        named = named.join(joined.link_counts(), "rep", "left").select("doc_id", "component_id", F.coalesce("k", F.lit(0)).alias("k"))
-        named = named.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.sum("k").alias("k")) if repeats else named
-    else:
-        named = named.select("doc_id", "component_id")
-        named = named.dropDuplicates(["doc_id"]) if repeats else named
+    links = counted.groupBy(F.col("x").alias("rep")).agg(F.sum("k").alias("k"))
+    named = placed.join(low, "c").join(links, "rep", "left").select("doc_id", "component_id", F.coalesce("k", F.lit(0)).alias("k"))
+    named = named.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.sum("k").alias("k")) if repeats else named
     rows = summary.select("doc_id", F.col("n").alias("n_shingles")).join(named, "doc_id", "left")
-    return rows.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), *([F.coalesce("k", F.lit(0)).alias("n_links")] if count_links else []))
+    return rows.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("k", F.lit(0)).alias("n_links"))

@@ -46,3 +46,9 @@ def presence(keys: DataFrame, column: str, bits: int) -> Presence:
         part = np.frombuffer(bytes(r["bytes"]), np.uint8)[: max(0, len(words) - at)]
         words[at : at + len(part)] = part
     return Presence(bits, words)
+
+
+def sized_presence(keys: DataFrame, column: str, most_bits: int) -> Presence:
+    """The bitmap of a written table's keys with 16 bits or more for each, up to 2 ** most_bits in all."""
+    n = keys.count()
+    return presence(keys, column, max(10, min(most_bits, (16 * n).bit_length())))

@@ -4,11 +4,15 @@ Features are the hashed character n-grams present in a text (presence, not count
 the log ratio of its smoothed document frequencies in toxic and other labelled text; a logistic
 classifier with an L2 penalty is then fitted on the scaled features. The model is one array of fixed
 size (2 ** bucket_bits floats), broadcast. Null and empty texts get the score of a text without features.
-Repeated rows score alike. Without both labels the score is the share of label 1, or 0.
+Repeated rows score alike, and so do texts with the same n-grams. Texts of any length count each n-gram once.
+Without both labels the score is near 1 where only label 1 occurs and near 0 otherwise; an empty table gives an
+empty result. Labels that are neither 0 nor 1 are ignored; of several for one doc_id the smallest counts. Columns
+besides those named are ignored; one in `keep` that is named `score` stands before the result's.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, bounded_labels, text_batches
+from .common import attach, bounded_labels, overlapping, text_batches
 
 
 @dataclass(frozen=True)
@@ -45,9 +49,17 @@ class ToxicModel:
     bias: float
 
 
+_SPACE = re.compile(r"\s+")
+
+
+def folded(text: str | None) -> str:
+    """Lower case, white space and NUL folded to single spaces, a space at either end."""
+    return f" {_SPACE.sub(' ', (text or '').lower().replace(chr(0), ' ')).strip()} "
+
+
 def _buckets(batch: list[tuple[int, str]], params: ToxicParams) -> tuple[np.ndarray, np.ndarray]:
-    """(piece, bucket) of every n-gram of the lower-cased pieces, white space folded; repeats included."""
-    joined = "\0".join(" " + " ".join(piece.lower().replace("\0", " ").split()) + " " for _, piece in batch)
+    """(place in the batch, bucket) of every n-gram of folded texts; repeats included."""
+    joined = "\0".join(text for _, text in batch)
     cps = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     doc = np.cumsum(cps == 0)
     shift, pieces, found = np.uint32(32 - params.bucket_bits), [], []
@@ -66,15 +78,28 @@ def _buckets(batch: list[tuple[int, str]], params: ToxicParams) -> tuple[np.ndar
     return np.concatenate(pieces), np.concatenate(found)
 
 
-def features(texts: list[str | None], params: ToxicParams) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-    """Batches of (row, bucket, rows begun) with each bucket of a row once in a batch; long texts span batches."""
-    for batch in text_batches(texts):
-        piece, bucket = _buckets(batch, params)
+def features(texts: list[str | None], params: ToxicParams) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Batches of (row, bucket) with each bucket of a row once. A long text is hashed in overlapping pieces, whose
+    buckets are gathered first."""
+    size = 1 << params.bucket_bits
+    for batch in text_batches([folded(t) for t in texts], PIECE):
+        if len(batch) == 1 and len(batch[0][1]) > PIECE:
+            held = np.zeros(size, bool)
+            for piece in overlapping(batch[0][1], max(params.orders) - 1, PIECE):
+                held[_buckets([(0, piece)], params)[1]] = True
+            bucket = np.flatnonzero(held)
+            yield np.full(len(bucket), batch[0][0]), bucket
+            continue
+        place, bucket = _buckets(batch, params)
         rows = np.fromiter((r for r, _ in batch), np.int64, len(batch))
-        code = (piece << params.bucket_bits) | bucket
+        code = (place << params.bucket_bits) | bucket
         code.sort()
         code = code[np.flatnonzero(np.diff(code, prepend=-1))] if len(code) else code
-        yield rows[code >> params.bucket_bits], code & ((1 << params.bucket_bits) - 1), batch[-1][0]
+        yield rows[code >> params.bucket_bits], code & (size - 1)
+
+
+#: Characters that are hashed at once.
+PIECE = 1 << 18
 
 
 def _present(batches: Iterator[pa.RecordBatch], params: ToxicParams) -> Iterator[pa.RecordBatch]:
@@ -82,7 +107,7 @@ def _present(batches: Iterator[pa.RecordBatch], params: ToxicParams) -> Iterator
         label, texts = rb.column(0).to_pylist(), rb.column(1).to_pylist()
         for at in range(0, len(texts), 200):
             part = texts[at : at + 200]
-            rows, buckets = zip(*((r, b) for r, b, _ in features(part, params))) if part else ((), ())
+            rows, buckets = zip(*features(part, params)) if part else ((), ())
             rows, buckets = np.concatenate(rows), np.concatenate(buckets)
             sets = [np.unique(buckets[rows == i]).astype(np.int32).tobytes() for i in range(len(part))]
             yield pa.RecordBatch.from_pydict({"label": pa.array(label[at : at + 200], pa.int32()), "buckets": pa.array(sets, pa.binary())})
@@ -141,9 +166,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, params: ToxicParams = Toxic
 
 
 def score_batch(texts: list[str | None], model: ToxicModel) -> np.ndarray:
-    """Probabilities. A text longer than a batch counts a bucket once for each of its pieces it stands in."""
+    """Probabilities from the buckets that each whole text holds."""
     total = np.full(len(texts), model.bias)
-    for rows, buckets, _ in features(texts, model.params):
+    for rows, buckets in features(texts, model.params):
         total += np.bincount(rows, model.weights[buckets], len(texts))
     return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
