@@ -10,8 +10,10 @@ with a backslash before every control string (and backslash) inside roles and te
 be read back exactly. The loss mask covers the bodies of assistant turns.
 
 Nulls: a null text is empty, a null role is empty, a null part is skipped. Rows are taken by turn, then role,
-then text, nulls first. A null conv_id is one conversation of its own. A conversation is one output row and
-so is held by one task; its size is its own, not the table's.
+then text, nulls first; repeated rows are messages of their own. A null conv_id is one conversation of its own.
+An empty table gives an empty result. Texts of any length are formatted whole: a conversation is one output row
+and so is held by one task; its size is its own, not the table's. Columns besides conv_id, turn, role, text and
+parts are ignored; a column `parts` of another type is ignored too.
 """
 
 from __future__ import annotations
@@ -144,9 +146,11 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
 
 
 def grouped(messages: DataFrame) -> DataFrame:
-    """conv_id and its messages in order. A column `parts` (array of PART_TYPE), where there is one and it is
-    not null, stands before `text`."""
-    parts = F.col("parts") if "parts" in messages.columns else F.lit(None).cast(f"array<{PART_TYPE}>")
+    """conv_id and its messages in order. A column `parts` of type array<PART_TYPE>, where there is one and it is
+    not null, stands before `text`; a column of that name and another type is ignored."""
+    nothing = F.lit(None).cast(f"array<{PART_TYPE}>")
+    given = "parts" in messages.columns and messages.schema["parts"].dataType.simpleString() == messages.select(nothing.alias("p")).schema["p"].dataType.simpleString()
+    parts = F.col("parts") if given else nothing
     row = F.struct("turn", "role", "text", parts.alias("parts"))
     return messages.select("conv_id", row.alias("m")).groupBy("conv_id").agg(F.array_sort(F.collect_list("m")).alias("messages"))
 

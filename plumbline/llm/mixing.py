@@ -9,14 +9,14 @@ left, whatever the other sources' sizes: its last two are rounded, and the block
 where that brings its words nearer to the target.
 
 Nulls: a null text has size 0; null sources are one source, last in order. Repeated rows are separate
-documents. A source without words has target 0. Sources' totals come to the driver (at most max_sources).
+documents. Documents that tie in size are taken in the order of a hash of id and size, then id; rows alike in
+these too are interchangeable. Texts of any length are counted whole. A source without words has target 0; an
+empty table gives an empty result. Columns besides doc_id, text and source are ignored, whatever their names.
 Draws are seeded by source, level and block: reruns agree.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,25 +35,48 @@ class MixParams:
     #: A target is at most so many times its source's size.
     most_repeats: float = 3.0
     block_rows: int = 4000
-    max_sources: int = 1_000_000
+    #: Tables with a row for each source are broadcast up to this many rows, and joined by a shuffle beyond.
+    broadcast_rows: int = 100_000
     seed: int = 7
 
 
-def share_out(sizes: Sequence[int], weights: Sequence[float], most: float, total: float) -> list[float]:
-    """Targets by weight, none above most x size; what is above is shared again among the others."""
-    targets, open_, rest = [0.0] * len(sizes), list(range(len(sizes))), float(total)
-    while open_:
-        unit = rest / sum(weights[i] for i in open_)
-        over = [i for i in open_ if weights[i] * unit > most * sizes[i]]
-        if not over:
-            for i in open_:
-                targets[i] = weights[i] * unit
+def source_targets(sizes: DataFrame, params: MixParams) -> DataFrame:
+    """source, source_size, target, whole, part: one row for each source of the rows (source, size).
+
+    Sources take their weight by their place in code point order, null last. Targets share out all sizes by weight;
+    what is above most_repeats x size is shared again among the others, round by round. Only two sums a round,
+    and how many sources each partition of the sorted list holds, come to the driver.
+    """
+    spark = sizes.sparkSession
+    totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    # a distributed sort; the high bits of the id are the partition, the low ones the place in it
+    order = written(totals.orderBy(F.col("source").asc_nulls_last()).withColumn("id", F.monotonically_increasing_id()), "sources")
+    held = sorted((r[0], r[1]) for r in order.groupBy(F.shiftright("id", 33)).count().collect())
+    before, starts = 0, []
+    for part, n in held:
+        starts.append((part, before))
+        before += n
+    starts = spark.createDataFrame(starts, "part long, before long")
+    weights = F.array(*[F.lit(float(w)) for w in params.weights])
+    place = F.col("before") + F.col("id") - F.shiftleft(F.col("part"), 33)
+    table = order.withColumn("part", F.shiftright("id", 33)).join(F.broadcast(starts), "part")
+    table = table.select("source", "source_size", F.get(weights, (place % len(params.weights)).cast("int")).alias("weight"), (F.col("source_size") * params.most_repeats).alias("most"), F.lit(None).cast("double").alias("target"))
+    rest = float(table.agg(F.sum("source_size")).first()[0] or 0)
+    while True:
+        open_ = table.where("target is null").agg(F.sum("weight")).first()[0]
+        if not open_:
             break
-        for i in over:
-            targets[i] = most * sizes[i]
-            rest -= targets[i]
-        open_ = [i for i in open_ if i not in set(over)]
-    return targets
+        unit = rest / open_
+        over = F.col("target").isNull() & (F.col("weight") * unit > F.col("most"))
+        gone = table.where(over).agg(F.sum("most"), F.count("*")).first()
+        if not gone[1]:
+            table = table.withColumn("target", F.coalesce("target", F.col("weight") * unit))
+            break
+        rest -= gone[0]
+        table = written(table.withColumn("target", F.when(over, F.col("most")).otherwise(F.col("target"))), "targets")
+    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    whole = F.floor(ratio + 1e-12).cast("long")
+    return written(table.select("source", "source_size", "target", whole.alias("whole"), F.greatest(F.lit(0.0), ratio - whole).alias("part")), "plan")
 
 
 def fly(p: list[float], size: list[float], draw, land: bool) -> list[float]:
@@ -141,7 +164,8 @@ def settle(p: list[float], wanted: float, size: list[float], tries: int = 8) ->
 def _flight(pdf: pd.DataFrame, level: int, params: MixParams) -> pd.DataFrame:
     land, seed = int(pdf["blocks"].iloc[0]) == 1, params.seed
     # the largest first: what stays undecided at the end is small, and so is the landing's error
-    pdf = pdf.sort_values(["size", "h", "doc_id"], ascending=[False, True, True], kind="stable")
+    # rows alike in all of these are interchangeable
+    pdf = pdf.sort_values(["size", "h", "doc_id", "p"], ascending=[False, True, True, True], kind="stable")
     name = repr((pdf["source"].iloc[0] if pd.notna(pdf["source"].iloc[0]) else None, level, int(pdf["block"].iloc[0]), seed))
     rng = np.random.Generator(np.random.PCG64(xxhash.xxh3_64_intdigest(name.encode("utf-8", "surrogatepass"))))
     draws = iter(rng.random(4 * len(pdf) + 8).tolist())
@@ -174,35 +198,28 @@ def mix(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
     attach(spark)
     sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"))
     sizes = written(sizes, "sizes")
-    found = sizes.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("docs")).limit(params.max_sources + 1).collect()
-    if len(found) > params.max_sources:
-        raise ValueError(f"more than {params.max_sources} sources")
-    found = sorted(found, key=lambda r: (r["source"] is None, r["source"] or ""))
-    weights = [params.weights[i % len(params.weights)] for i in range(len(found))]
-    targets = share_out([r["size"] for r in found], weights, params.most_repeats, sum(r["size"] for r in found))
-    table = []
-    for r, t in zip(found, targets):
-        ratio = t / r["size"] if r["size"] else 0.0
-        whole = math.floor(ratio + 1e-12)
-        table.append((r["source"], r["size"], t, whole, max(0.0, ratio - whole)))
-    plan = spark.createDataFrame(table, "name string, source_size long, target double, whole long, part double")
-    rows = sizes.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("name")), "left").drop("name")
+    plan = source_targets(sizes, params)
+    few = plan.limit(params.broadcast_rows + 1).count() <= params.broadcast_rows
+
+    def by_source(rows: DataFrame, table: DataFrame) -> DataFrame:
+        table = table.withColumnRenamed("source", "name")
+        return rows.join(F.broadcast(table) if few else table, F.col("source").eqNullSafe(F.col("name")), "left").drop("name")
+
+    rows = by_source(sizes, plan)
     settled = rows.where(~(F.col("part") > 0)).select("doc_id", "source", "size", F.lit(0.0).alias("p"))
     todo = rows.where("part > 0").select("doc_id", "source", "size", F.col("part").alias("p"), F.xxhash64("doc_id", "size").alias("h"))
     schema, done, level = "doc_id long, source string, size long, p double, h long, on boolean", [settled], 0
     while True:
-        counts = [(r["source"], -(-r["n"] // params.block_rows)) for r in todo.groupBy("source").agg(F.count("*").alias("n")).collect()]
-        land = all(n == 1 for _, n in counts)
-        blocks = spark.createDataFrame(counts, "name string, blocks long")
-        dealt = todo.join(F.broadcast(blocks), F.col("source").eqNullSafe(F.col("name"))).select("doc_id", "source", "size", "p", "h", F.pmod(F.xxhash64("h", F.lit(level)), "blocks").alias("block"), "blocks")
+        blocks = written(todo.groupBy("source").agg(F.ceil(F.count("*") / params.block_rows).alias("blocks")), f"blocks{level}")
+        dealt = by_source(todo, blocks).select("doc_id", "source", "size", "p", "h", F.pmod(F.xxhash64("h", F.lit(level)), "blocks").alias("block"), "blocks")
         flown = dealt.groupBy("source", "block").applyInPandas(_flier(level, params), schema)
         flown = written(flown, f"flight{level}")
         done.append(flown.where("not on").select("doc_id", "source", "size", "p"))
-        if land:
+        if blocks.where("blocks > 1").isEmpty():
             break
         todo, level = flown.where("on").drop("on"), level + 1
     every = done[0]
     for d in done[1:]:
         every = every.unionAll(d)
-    taken = every.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("name")), "left")
+    taken = by_source(every, plan)
     return taken.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * (F.col("whole") + F.col("p").cast("long"))).alias("taken"))

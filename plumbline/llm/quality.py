@@ -4,7 +4,10 @@ Two zstandard dictionaries are made from bounded samples of good and bad labelle
 compressed in blocks with either; the difference of the compressed sizes over the raw size is the
 feature, and a logistic curve fitted on labelled documents that the dictionaries have not seen turns it
 into a probability. Null and empty texts have the feature of an empty text and so a score like any other.
-Repeated rows score alike. Without labels of both kinds the score is the share of label 1, or 0.5.
+Repeated rows score alike, and so do texts that tie in size and difference. Long texts are compressed whole,
+block by block. Without labels of both kinds the score is the share of label 1, or 0.5; an empty table gives an
+empty result. Labels that are neither 0 nor 1 are ignored; of several for one doc_id the smallest counts. Columns
+besides those named are ignored; one in `keep` that is named `score` stands before the result's.
 """
 
 from __future__ import annotations
@@ -28,10 +31,8 @@ class QualityParams:
     dict_bytes: int = 32 * 1024
     #: About so many labelled documents of each label make the dictionaries, as many others the calibration.
     fit_docs: int = 1500
-    #: Longer documents aren't fitted on.
+    #: Longer documents aren't fitted on; shorter ones are fitted on whole.
     fit_chars: int = 12_000
-    #: Bytes of each fitting document that become dictionary material.
-    fit_share: int = 4096
 
 
 @dataclass(frozen=True)
@@ -85,7 +86,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarra
 
 def _dictionary(texts: list[str], params: QualityParams) -> bytes:
     """A trained zstandard dictionary; raw content where there is too little to train on."""
-    blocks = [raw[at : at + params.block] for raw in (t.encode("utf-8", "surrogatepass")[: params.fit_share] for t in texts) for at in range(0, len(raw), params.block)]
+    blocks = [raw[at : at + params.block] for raw in (t.encode("utf-8", "surrogatepass") for t in texts) for at in range(0, len(raw), params.block)]
     try:
         return zstandard.train_dictionary(params.dict_bytes, blocks).as_bytes()
     except zstandard.ZstdError:
