@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 the next one's docs. All but the last return the columns of documents.
 
 Null and repeated rows: a null or letterless text is rejected by the first stage. Rows with a null doc_id
-belong to no group of near duplicates and stay. Of rows that share a doc_id one stays after the second stage.
+belong to no group of near duplicates and stay. Of rows that share a doc_id the smallest (by the columns in
+their order) stays after the second stage.
 Empty tables give empty results; columns besides those of documents are dropped by the first stage.
 """
 
@@ -35,13 +36,14 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest doc_id of each group of near duplicates."""
-    groups = near_duplicates(docs, count_links=False)
+    groups = near_duplicates(docs)
     others = groups.where("doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(others, "doc_id", "left_anti").select(*COLUMNS)
     again = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     if again.isEmpty():
         return kept
-    twice = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    least = F.min(F.struct(*COLUMNS)).alias("row")  # the same one each time
+    twice = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(least).select("row.*")
     return kept.join(again, "doc_id", "left_anti").select(*COLUMNS).unionAll(twice)
 
 
