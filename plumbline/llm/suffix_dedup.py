@@ -8,10 +8,14 @@ bytes in UTF-8; strings never cross documents; what counts is the input, not wha
    segment around it. Segments that are equal as a whole are covered, without any sorting.
 2. The windows of the remaining segments lie left or right of their anchor, and so contain a known half of the
    segment's core. Only segments whose half stands in another segment too can hold repeated windows. Their
-   windows are cut into parts by where they start; equal stretches of a part are covered as they are.
-3. The few stretches that only share a part's core are dealt to shards by it. A shard sorts its suffixes (Larsson-Sadakane), takes common
-   prefixes (Kasai) and marks those of `length` or more. Halves with more segments than a shard holds are
-   dealt over several shards; the sorted window digests of these are merged by binary search.
+   windows are cut into parts by where they start; all windows of a part contain a core, and only what stands
+   before and after it tells them apart. Equal stretches of a part are covered as they are.
+3. The stretches that only share a core are dealt to shards by it, with the core as one symbol. A shard sorts
+   its suffixes (Larsson-Sadakane), takes common prefixes (Kasai) and marks those of a whole window. Cores with
+   more stretches than a shard holds are dealt over several shards; the sorted window digests of these are
+   merged by binary search.
+
+Equal means equal 128-bit digests for segments, cores and margins, and equal symbols within a shard.
 
 Nulls: a null text is empty. Rows that repeat are separate documents and cover one another; rows that share
 id and text get equal results. Texts shorter than `length` keep everything. Empty tables give empty results.
@@ -29,20 +33,24 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bytehash import BLOCK, Prefix
+from .bytehash import BLOCK, gear_hashes
 from .chunk_dedup import row_keyed, without
-from .common import attach, mix64, written
-from .presence import presence
+from .common import attach, written
+from .presence import sized_presence
 from .suffix import common_prefixes, suffix_array
 
 
 @dataclass(frozen=True)
 class SuffixParams:
     length: int = 400
-    gram: int = 64
-    #: Bytes of segments in one shard; more of one half are dealt over several shards.
+    #: Bytes whose hash makes an anchor: what the gear hash covers.
+    gram: int = 32
+    #: Of the places one in 2 ** sparse_bits is looked at for anchors first.
+    sparse_bits: int = 4
+    #: Symbols of collapsed stretches in one shard; more of one core are dealt over several shards.
     shard_bytes: int = 512 << 10
-    filter_bits: int = 26
+    #: The largest bitmap of repeated keys, in bits as a power of two.
+    most_bits: int = 28
 
     @property
     def reach(self) -> int:
@@ -54,60 +62,60 @@ class SuffixParams:
         return self.reach // 2
 
 
-def _block_anchors(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, p: SuffixParams) -> tuple[np.ndarray, Prefix]:
-    """Anchors (ascending, each once) of the windows that lie within one of the stretches begins..ends."""
-    prefix = Prefix(data)
-    n = len(data)
-    if n < p.length:
-        return np.zeros(0, np.int64), prefix
-    at = np.arange(n - p.gram + 1)
-    low = np.uint64((1 << 21) - 1)
-    value = (prefix.of(at, at + p.gram) & ~low) | (low - at.astype(np.uint64))
-    w = p.reach + 1
-    padded = np.full(-(-len(value) // w) * w, np.uint64(0xFFFFFFFFFFFFFFFF))
-    padded[: len(value)] = value
-    rows = padded.reshape(-1, w)
-    ahead = np.minimum.accumulate(rows, axis=1).ravel()
-    behind = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
-    starts = np.arange(n - p.length + 1)
-    least = np.minimum(behind[starts], ahead[starts + w - 1])
-    change = np.zeros(n + 1, np.int64)
+def _anchors(data: np.ndarray, begins: np.ndarray, ends: np.ndarray, p: SuffixParams) -> np.ndarray:
+    """Anchors (ascending) of the windows that lie within one of the stretches begins..ends of the bytes.
+
+    Places whose hash is low are looked at first: the smallest of a window is among them if it has any. Stretches
+    with a window that has none are looked at whole.
+    """
     fits = ends - begins >= p.length
-    np.add.at(change, begins[fits], 1)
-    np.add.at(change, ends[fits] - p.length + 1, -1)
-    chosen = least[np.cumsum(change)[: len(starts)] > 0]
-    anchors = (low - (chosen & low)).astype(np.int64)
-    return anchors[np.flatnonzero(np.diff(anchors, prepend=-1))], prefix
-
-
-def anchored(texts: list[bytes], p: SuffixParams) -> Iterator[tuple[int, bytes, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each text with windows: (row, bytes, anchors, left keys, right keys); a key of 0 is none."""
-    step = BLOCK // 2
-
-    def keys(prefix, anchors, offset, begin, end):
-        """Hashes of the core's left and right half where the text has them."""
-        local = anchors - offset
-        left, right = np.zeros(len(anchors), np.uint64), np.zeros(len(anchors), np.uint64)
-        ok = anchors - p.half >= begin
-        left[ok] = prefix.of(local[ok] - p.half, local[ok] + p.gram) | np.uint64(1)
-        ok = anchors + p.gram + p.half <= end
-        right[ok] = mix64(prefix.of(local[ok], local[ok] + p.gram + p.half) ^ np.uint64(0x5851F42D4C957F2D)) | np.uint64(1)
-        return left.view(np.int64), right.view(np.int64)
-
-    at = 0
+    begins, ends = begins[fits], ends[fits]
+    if not len(begins):
+        return np.zeros(0, np.int64)
+    h = gear_hashes(data)[p.gram - 1 :]  # of the gram that begins at each place
+    at = np.flatnonzero(h < np.uint32(1 << (32 - p.sparse_bits)))
+    own = np.searchsorted(begins, at, side="right") - 1
+    inside = (own >= 0) & (at <= ends[own] - p.gram)
+    at, own = at[inside], own[inside]
+    # a gap of more than `reach` places without one
+    edges = np.concatenate([at, begins - 1, ends - p.gram + 1])
+    edges.sort()
+    wide = edges[:-1][np.diff(edges) > p.reach + 1]
+    bare = np.unique(np.searchsorted(begins, wide + 1, side="right") - 1)
+    bare = bare[(bare >= 0)]
+    if len(bare):
+        every = np.concatenate([np.arange(begins[i], ends[i] - p.gram + 1) for i in bare.tolist()])
+        at = np.concatenate([at[~np.isin(own, bare)], every])
+        at.sort()
+        own = np.searchsorted(begins, at, side="right") - 1
+    value, n = h[at], len(at)
+    low, high = np.maximum(begins[own] - 1, at - p.reach - 1), np.minimum(ends[own] - p.gram + 1, at + p.reach + 1)
+    # nearest place to the left with a smaller hash, to the right with one as small: the last of equals counts
+    for side, bound in ((-1, low), (1, high)):
+        open_, step = np.arange(n), side
+        while len(open_):
+            other = open_ + step
+            ok = (other >= 0) & (other < n)
+            open_, other = open_[ok], other[ok]
+            ok = (at[other] - bound[open_]) * side < 0
+            open_, other = open_[ok], other[ok]
+            found = value[other] < value[open_] if side < 0 else value[other] <= value[open_]
+            bound[open_[found]] = at[other[found]]
+            open_, step = open_[~found], step + side
+    return at[high - low - 2 >= p.reach]
+
+
+def anchored(texts: list[bytes], p: SuffixParams) -> Iterator[tuple[int, bytes, np.ndarray]]:
+    """(row, bytes, anchors) of each text with windows."""
+    step, at = BLOCK // 2, 0
     while at < len(texts):
         if len(texts[at]) > step:
-            raw, last, parts = texts[at], -1, []
-            for s in range(0, len(raw), step):
-                lo, hi = max(0, s - 2 * p.length), min(len(raw), s + step + 2 * p.length)
-                found, prefix = _block_anchors(np.frombuffer(raw, np.uint8, hi - lo, lo), np.array([s - lo]), np.array([min(len(raw), s + step + p.length - 1) - lo]), p)
-                found = found + lo
-                found = found[found > last]
-                if len(found):
-                    last = int(found[-1])
-                    parts.append((found, *keys(prefix, found, lo, 0, len(raw))))
-            if parts:
-                yield at, raw, *(np.concatenate(x) for x in zip(*parts))
+            raw, parts = texts[at], []
+            # each block gives the anchors of the windows that begin in it
+            for s in range(0, max(1, len(raw) - p.length + 1), step):
+                hi = min(len(raw), s + step + p.length - 1)
+                parts.append(_anchors(np.frombuffer(raw, np.uint8, hi - s, s), np.array([0]), np.array([hi - s]), p) + s)
+            yield at, raw, np.unique(np.concatenate(parts))
             at += 1
             continue
         stop, size = at, 0
@@ -115,41 +123,60 @@ def anchored(texts: list[bytes], p: SuffixParams) -> Iterator[tuple[int, bytes,
             size += len(texts[stop])
             stop += 1
         bounds = np.cumsum([0] + [len(t) for t in texts[at:stop]])
-        found, prefix = _block_anchors(np.frombuffer(b"".join(texts[at:stop]), np.uint8), bounds[:-1], bounds[1:], p)
+        found = _anchors(np.frombuffer(b"".join(texts[at:stop]), np.uint8), bounds[:-1], bounds[1:], p)
         cuts = np.searchsorted(found, bounds)
-        for i in range(stop - at):
-            own = found[cuts[i] : cuts[i + 1]]
-            if len(own):
-                left, right = keys(prefix, own, 0, bounds[i], bounds[i + 1])
-                yield at + i, texts[at + i], own - bounds[i], left, right
+        for i in np.flatnonzero(np.diff(cuts)).tolist():
+            yield at + i, texts[at + i], found[cuts[i] : cuts[i + 1]] - bounds[i]
         at = stop
 
 
-def _digests(raw: bytes, anchors: np.ndarray, p: SuffixParams) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """128-bit digests of each anchor's segment (with the anchor's place in it), and the segments."""
-    spans = [(max(0, a - p.reach), min(len(raw), a + p.length)) for a in anchors.tolist()]
-    digests = b"".join(xxhash.xxh3_128_digest(raw[lo:hi], seed=a - lo) for a, (lo, hi) in zip(anchors.tolist(), spans))
-    return np.frombuffer(digests, ">u8").astype(np.uint64).view(np.int64).reshape(-1, 2), spans
+def _longs(digests: list[bytes]) -> np.ndarray:
+    """128-bit digests as rows of two longs."""
+    return np.frombuffer(b"".join(digests), ">u8").astype(np.uint64).view(np.int64).reshape(-1, 2)
 
 
-def _encoded(column: pa.Array) -> list[bytes]:
-    return [(t or "").encode("utf-8", "surrogatepass") for t in column.to_pylist()]
+def _segments(raw: bytes, anchors: list[int], p: SuffixParams) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Digests of each anchor's segment (with the anchor's place in it), and the segments."""
+    spans = [(max(0, a - p.reach), min(len(raw), a + p.length)) for a in anchors]
+    return _longs([xxhash.xxh3_128_digest(raw[lo:hi], seed=a - lo) for a, (lo, hi) in zip(anchors, spans)]), spans
 
 
-def _digest_rows(batches, p):
-    for rb in batches:
-        for _, raw, anchors, _, _ in anchored(_encoded(rb.column(2)), p):
-            pair, _ = _digests(raw, anchors, p)
-            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["d1", "d2"])
+def _halves(raw: bytes, anchors: list[int], p: SuffixParams) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the core's left and right half; 0 where the text ends before."""
+    core = p.gram + p.half
+    left = [xxhash.xxh3_64_intdigest(raw[a - p.half : a + p.gram]) | 1 if a >= p.half else 0 for a in anchors]
+    right = [xxhash.xxh3_64_intdigest(raw[a : a + core], seed=1) | 1 if a + core <= len(raw) else 0 for a in anchors]
+    return np.array(left, np.uint64).view(np.int64), np.array(right, np.uint64).view(np.int64)
+
+
+def _encoded(column: pa.Array) -> list[bytes]:
+    return [(t or "").encode("utf-8", "surrogatepass") for t in column.to_pylist()]
 
 
 def _key_rows(batches, p):
-    """(half, digest) of each segment: which halves stand in different segments?"""
+    """Of each segment (0, digest, 0), and (1, half, 0, digest in short) for either half of its core: which segments
+    are repeated as a whole, which halves stand in different segments?"""
     for rb in batches:
-        for _, raw, anchors, left, right in anchored(_encoded(rb.column(2)), p):
-            pair, _ = _digests(raw, anchors, p)
-            key, mark = np.concatenate([left, right]), np.concatenate([pair[:, 0] ^ pair[:, 1]] * 2)
-            yield pa.RecordBatch.from_arrays([pa.array(key[key != 0]), pa.array(mark[key != 0])], names=["half", "mark"])
+        kinds, k1, k2, marks, held = [], [], [], [], 0
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(kinds)), *(pa.array(np.concatenate(c)) for c in (k1, k2, marks))], names=["kind", "k1", "k2", "mark"])
+
+        for _, raw, anchors in anchored(_encoded(rb.column(2)), p):
+            anchors = anchors.tolist()
+            pair, _ = _segments(raw, anchors, p)
+            half = np.concatenate(_halves(raw, anchors, p))
+            n, ok = len(anchors), half != 0
+            kinds.append(np.concatenate([np.zeros(n, np.int8), np.ones(int(ok.sum()), np.int8)]))
+            k1.append(np.concatenate([pair[:, 0], half[ok]]))
+            k2.append(np.concatenate([pair[:, 1], np.zeros(int(ok.sum()), np.int64)]))
+            marks.append(np.concatenate([np.zeros(n, np.int64), np.concatenate([pair[:, 0] ^ pair[:, 1]] * 2)[ok]]))
+            held += 3 * n
+            if held > 100_000:
+                yield out()
+                kinds, k1, k2, marks, held = [], [], [], [], 0
+        if held:
+            yield out()
 
 
 def _parts(p: SuffixParams, left: bool) -> list[tuple[int, int]]:
@@ -160,74 +187,62 @@ def _parts(p: SuffixParams, left: bool) -> list[tuple[int, int]]:
 
 
 def _found_rows(batches, repeated, mixed, p):
-    """Segments that may be repeated as a whole (core null); and of anchors whose half is in several segments the
-    stretches that the windows of each part cover, with a hash of the core that all these windows contain."""
-    sides = [(side, i, *r) for side in (0, 1) for i, r in enumerate(_parts(p, side == 0))]
+    """Segments that may be repeated as a whole (c1 null); and of anchors whose half is in several segments one row
+    for each part: the digest (c1, c2) of the core that all windows of the part contain, what the part's windows
+    cover before and after that core, and a digest (d1, d2) of these margins.
+
+    Of segments that may be repeated as a whole a task gives the parts once: the others are covered anyway.
+    """
+    sides = [(side, *r) for side in (0, 1) for r in _parts(p, side == 0)]
+    seen: set[tuple[int, int]] = set()
     for rb in batches:
         ids, rk = rb.column(0), rb.column(1)
-        for row, raw, anchors, left, right in anchored(_encoded(rb.column(2)), p):
-            pair, spans = _digests(raw, anchors, p)
-            place, lo, hi, core, digest = [], [], [], [], []
-            for i in np.flatnonzero(repeated.value.holds(pair[:, 0])).tolist():
-                place.append(i)
-                lo.append(spans[i][0])
-                hi.append(spans[i][1])
-                core.append(None)
-                digest.append(pair[i].astype(">i8").tobytes())
-            near = [(key != 0) & mixed.value.holds(key) for key in (left, right)]
-            for side, part, o0, o1 in sides:
+        place, spans, cores, digests, margins = [], [], [], [], []
+
+        def out():
+            pick = pa.array(np.array(place))
+            none = pa.array(np.array([c is None for c in cores]))
+            core, both = _longs([c or bytes(16) for c in cores]), _longs(digests)
+            lo, hi = np.array(spans, np.int64).T
+            return pa.RecordBatch.from_arrays(
+                [ids.take(pick), rk.take(pick), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(lo), pa.array(hi), pa.array(core[:, 0], mask=none.to_numpy(zero_copy_only=False)), pa.array(core[:, 1]), pa.array([m and m[0] for m in margins], pa.binary()), pa.array([m and m[1] for m in margins], pa.binary()), pa.array([m and m[2] for m in margins], pa.int32())],
+                names=["doc_id", "rk", "d1", "d2", "lo", "hi", "c1", "c2", "before", "after", "width"],
+            )
+
+        for row, raw, anchors in anchored(_encoded(rb.column(2)), p):
+            anchors = anchors.tolist()
+            pair, whole = _segments(raw, anchors, p)
+            likely = repeated.value.holds(pair[:, 0])
+            fresh = ~likely
+            for i in np.flatnonzero(likely).tolist():
+                place.append(row)
+                spans.append(whole[i])
+                cores.append(None)
+                digests.append(pair[i].astype(">i8").tobytes())
+                margins.append(None)
+                name = (int(pair[i, 0]), int(pair[i, 1]))
+                if name not in seen:
+                    seen.add(name)
+                    fresh[i] = True
+            near = [(key != 0) & mixed.value.holds(key) & fresh for key in _halves(raw, anchors, p)]
+            for name, (side, o0, o1) in enumerate(sides):
                 for i in np.flatnonzero(near[side]).tolist():
-                    a = int(anchors[i])
+                    a = anchors[i]
                     first, last = max(0, a - o1 + 1), min(a - o0, len(raw) - p.length)
                     if last < first:
                         continue
-                    name = side * 4 + part
-                    place.append(i)
-                    lo.append(first)
-                    hi.append(last + p.length)
-                    core.append(xxhash.xxh3_64_intdigest(raw[a - o0 : a - o1 + 1 + p.length], seed=name) - (1 << 63))
-                    # the place in the part tells apart one stretch that two anchors cover
-                    digest.append(xxhash.xxh3_128_digest(raw[first : last + p.length], seed=name * 4096 + a - first))
-            if place:
-                pick = pa.array(np.full(len(place), row))
-                both = np.frombuffer(b"".join(digest), ">u8").astype(np.uint64).view(np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([ids.take(pick), rk.take(pick), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(lo, pa.int64()), pa.array(hi, pa.int64()), pa.array(core, pa.int64())], names=["doc_id", "rk", "d1", "d2", "lo", "hi", "core"])
-
-
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, key, text, wanted stretches) to the stretches' bytes."""
-    for rb in batches:
-        for row, (text, wanted) in enumerate(zip(rb.column(2), rb.column(3))):
-            raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
-            w = wanted.as_py()
-            pick = pa.array(np.full(len(w), row))
-            yield pa.RecordBatch.from_arrays([pa.array([x["core"] for x in w], pa.int64()), rb.column(0).take(pick), rb.column(1).take(pick), pa.array([x["lo"] for x in w], pa.int64()), pa.array([raw[x["lo"] : x["hi"]] for x in w], pa.binary())], names=["half", "doc_id", "rk", "lo", "piece"])
-
-
-def repeated_in_shard(stretches: list[tuple[object, int, bytes]], length: int) -> Iterator[tuple[object, np.ndarray, np.ndarray, bytes]]:
-    """Of stretches (document, offset, bytes): (document, offsets of all windows, whether each stands twice
-    in the shard, bytes from the first offset). Overlapping stretches of a document are one."""
-    merged: list[list] = []
-    for doc, lo, piece in sorted(stretches, key=lambda x: (repr(x[0]), x[1])):
-        if merged and merged[-1][0] == doc and lo <= merged[-1][1] + len(merged[-1][2]):
-            have = merged[-1][1] + len(merged[-1][2])
-            merged[-1][2] += piece[max(0, have - lo) :]
-        else:
-            merged.append([doc, lo, bytearray(piece)])
-    lengths = np.array([len(m[2]) + 1 for m in merged])
-    begins = np.cumsum(lengths) - lengths
-    symbols = np.empty(int(lengths.sum()), np.int64)
-    for i, (b, m) in enumerate(zip(begins.tolist(), merged)):
-        symbols[b : b + len(m[2])] = np.frombuffer(m[2], np.uint8)
-        symbols[b + len(m[2])] = 256 + i  # an end of its own
-    sa, place, rank = suffix_array(symbols, length)
-    # only suffixes of a whole window and more can share one, so the walk ends with a stretch's last window
-    lcp = common_prefixes(symbols, sa, place, rank, begins, lengths - length, length)
-    after = np.append(lcp[sa[1:]], 0)[place] if len(sa) else lcp
-    twice = np.maximum(lcp, after) >= length
-    for b, m in zip(begins.tolist(), merged):
-        windows = len(m[2]) - length + 1
-        yield m[0], np.arange(windows) + m[1], twice[b : b + windows], bytes(m[2])
+                    begin, end = a - o0, a - o1 + 1 + p.length
+                    before, after = raw[first:begin], raw[end : last + p.length]
+                    place.append(row)
+                    spans.append((first, last + p.length))
+                    cores.append(xxhash.xxh3_128_digest(raw[begin:end], seed=name))
+                    digests.append(xxhash.xxh3_128_digest(before + after, seed=len(before)))
+                    margins.append((before, after, o1 - o0))
+            if len(place) > 20_000:
+                yield out()
+                place, spans, cores, digests, margins = [], [], [], [], []
+        if place:
+            yield out()
 
 
 def runs_of(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
@@ -239,20 +254,68 @@ def runs_of(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
     return [(int(a), int(b) + length) for a, b in zip(starts[np.append(0, cut + 1)], starts[np.append(cut, len(starts) - 1)])]
 
 
+def _collapsed(core: np.ndarray, before: list[bytes], after: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The stretches as one line of symbols, each with one symbol for its core and an end; their begins and lengths."""
+    head, tail = (np.fromiter(map(len, x), np.int64, len(x)) for x in (before, after))
+    lengths = head + tail + 2
+    begins = np.cumsum(lengths) - lengths
+    symbols = np.empty(int(lengths.sum()), np.int64)
+    for start, pieces, size in ((begins, before, head), (begins + head + 1, after, tail)):
+        at = np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        symbols[at] = np.frombuffer(b"".join(pieces), np.uint8)
+    symbols[begins + head] = 257 + core
+    symbols[begins + lengths - 1] = 256
+    return symbols, begins, lengths
+
+
+def repeated_in_shard(core: np.ndarray, before: list[bytes], after: list[bytes], width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(stretch, place) of every window that stands twice among the stretches.
+
+    Stretches with equal cores (numbers from 0) are told apart by what stands before and after: a window is `width`
+    symbols of the collapsed stretch, its core among them.
+    """
+    symbols, begins, lengths = _collapsed(core, before, after)
+    depth = int(width.max())
+    sa, place, rank = suffix_array(symbols, depth)
+    # only suffixes of a whole window and more can share one, so the walk ends with a stretch's last window
+    windows = lengths - width
+    lcp = common_prefixes(symbols, sa, place, rank, begins, windows, depth)
+    after_ = np.append(lcp[sa[1:]], 0)[place] if len(sa) else lcp
+    stretch = np.repeat(np.arange(len(begins)), windows)
+    at = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+    spot = begins[stretch] + at
+    ok = np.maximum(lcp[spot], after_[spot]) >= width[stretch]
+    return stretch[ok], at[ok]
+
+
 def _shard(table: pa.Table, p: SuffixParams, merge: bool) -> pa.Table:
     """Spans of windows that stand twice in the shard; with `merge` also the digests (w1, w2) of all."""
-    ids, rk, lo, piece = (table.column(c).to_pylist() for c in ("doc_id", "rk", "lo", "piece"))
-    kind = table.schema.field("doc_id").type
-    out: list[tuple] = []
-    for (doc, key), at, twice, raw in repeated_in_shard([((d, r), a, b) for d, r, a, b in zip(ids, rk, lo, piece)], p.length):
-        out += [(doc, key, a, b, None, None) for a, b in runs_of(at[twice], p.length)]
-        if merge:
-            # those repeated here too: another shard's window may repeat one of them
-            for i in range(len(at)):
-                w1, w2 = np.frombuffer(xxhash.xxh3_128_digest(raw[i : i + p.length]), ">u8").astype(np.uint64).view(np.int64).tolist()
-                out.append((doc, key, int(at[i]), int(at[i]) + p.length, w1, w2))
-    cols = list(zip(*out)) or [()] * 6
-    return pa.table([pa.array(cols[0], kind), *(pa.array(c, pa.int64()) for c in cols[1:])], names=["doc_id", "rk", "lo", "hi", "w1", "w2"])
+    lo, width = (table.column(c).to_numpy() for c in ("lo", "width"))
+    before, after = (table.column(c).to_pylist() for c in ("before", "after"))
+    pair = np.stack([table.column("c1").to_numpy(), table.column("c2").to_numpy()], axis=1)
+    _, core = np.unique(pair, axis=0, return_inverse=True)
+    stretch, at = repeated_in_shard(core.ravel(), before, after, width.astype(np.int64))
+    first = np.flatnonzero(np.diff(stretch, prepend=-1))
+    # windows of a part overlap, so those of one stretch cover one run
+    row, start = stretch[first], lo[stretch[first]] + at[first]
+    stop = lo[row] + (np.maximum.reduceat(at, first) if len(first) else at) + p.length
+    w = np.zeros((len(row), 2), np.int64)
+    none = np.ones(len(row), bool)
+    if merge:
+        # those repeated here too: another shard's window may repeat one of them
+        rows, places, digests = [], [], []
+        for i, (x, y) in enumerate(zip(before, after)):
+            name = pair[i].tobytes()
+            for t in range(len(x) + len(y) + 2 - int(width[i])):
+                rows.append(i)
+                places.append(t)
+                digests.append(xxhash.xxh3_128_digest(name + x[t:] + y[: int(width[i]) - 1 - len(x) + t], seed=len(x) - t))
+        rows, places = np.array(rows, np.int64), np.array(places, np.int64)
+        row, start, stop = np.concatenate([row, rows]), np.concatenate([start, lo[rows] + places]), np.concatenate([stop, lo[rows] + places + p.length])
+        w, none = np.concatenate([w, _longs(digests)]), np.concatenate([none, np.zeros(len(rows), bool)])
+    pick = pa.array(row)
+    ids = [table.column(c).combine_chunks().take(pick) for c in ("doc_id", "rk")]
+    return pa.table([*ids, pa.array(start), pa.array(stop), pa.array(w[:, 0], mask=none), pa.array(w[:, 1], mask=none)], names=["doc_id", "rk", "lo", "hi", "w1", "w2"])
 
 
 def _merge_shards(table: pa.Table) -> pa.Table:
@@ -286,40 +349,36 @@ def repeated_spans(docs: DataFrame, p: SuffixParams) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     spans_type = f"doc_id {kind}, rk long, lo long, hi long, w1 long, w2 long"
     keyed = row_keyed(docs.where(F.length("text") > 0)).select("doc_id", F.col("__key").alias("rk"), "text")
-    marks = keyed.mapInArrow(lambda it: _digest_rows(it, p), "d1 long, d2 long")
-    repeated = written(marks.groupBy("d1", "d2").agg(F.count("*").alias("n")).where("n > 1").select("d1", "d2"), "repeated")
-    halves = keyed.mapInArrow(lambda it: _key_rows(it, p), "half long, mark long")
-    mixed = halves.groupBy("half").agg(F.min("mark").alias("a"), F.max("mark").alias("b")).where("a <> b").select("half")
-    mixed = written(mixed, "mixed")
-    has_repeat = spark.sparkContext.broadcast(presence(repeated, "d1", p.filter_bits))
-    has_half = spark.sparkContext.broadcast(presence(mixed, "half", p.filter_bits))
-    found = written(keyed.mapInArrow(lambda it: _found_rows(it, has_repeat, has_half, p), f"doc_id {kind}, rk long, d1 long, d2 long, lo long, hi long, core long"), "found")
+    keys = keyed.mapInArrow(lambda it: _key_rows(it, p), "kind byte, k1 long, k2 long, mark long")
+    keys = keys.groupBy("kind", "k1", "k2").agg(F.count("*").alias("n"), F.min("mark").alias("a"), F.max("mark").alias("b"))
+    keys = written(keys.where("case when kind = 0 then n > 1 else a <> b end").select("kind", "k1", "k2"), "keys")
+    repeated, mixed = keys.where("kind = 0").select(F.col("k1").alias("d1"), F.col("k2").alias("d2")), keys.where("kind = 1").select(F.col("k1").alias("half"))
+    has_repeat = spark.sparkContext.broadcast(sized_presence(repeated, "d1", p.most_bits))
+    has_half = spark.sparkContext.broadcast(sized_presence(mixed, "half", p.most_bits))
+    found = keyed.mapInArrow(lambda it: _found_rows(it, has_repeat, has_half, p), f"doc_id {kind}, rk long, d1 long, d2 long, lo long, hi long, c1 long, c2 long, before binary, after binary, width int")
+    found = written(found, "found")
+    has_repeat.destroy()
+    has_half.destroy()
     spot = ["doc_id", "rk", "lo", "hi"]
-    whole = found.where("core is null").select(*spot, "d1", "d2").join(repeated, ["d1", "d2"]).where(F.col("hi") - F.col("lo") >= p.length).select(*spot)
-
-    # equal stretches are covered as they are; single ones that share their core with others remain for the search
-    parts = found.where("core is not null")
-    kinds = written(parts.groupBy("core", "d1", "d2").agg(F.count("*").alias("n"), F.min(F.struct(*spot)).alias("s")), "kinds")
-    again = parts.join(kinds.where("n > 1").select("core", "d1", "d2"), ["core", "d1", "d2"]).select(*spot)
-    open_ = kinds.groupBy("core").agg(F.count("*").alias("k"), F.min("n").alias("least")).where("k > 1 and least = 1").select("core")
-    asked = kinds.join(open_, "core").select("core", "s.*").groupBy("doc_id", "rk").agg(F.collect_set(F.struct("core", "lo", "hi")).alias("wanted"))
-    asked = written(asked, "asked")
-    has_text = spark.sparkContext.broadcast(presence(asked, "rk", p.filter_bits))
-    texts = keyed.mapInArrow(_only(has_text), keyed.schema).dropDuplicates(["doc_id", "rk"])
-    asked = asked.select(F.col("doc_id").alias("id2"), F.col("rk").alias("rk2"), "wanted")
-    met = texts.join(asked, (F.col("rk") == F.col("rk2")) & F.col("doc_id").eqNullSafe(F.col("id2"))).select("doc_id", "rk", "text", "wanted")
-    stretch = written(met.mapInArrow(_pieces, f"half long, doc_id {kind}, rk long, lo long, piece binary"), "stretches")
-    load = stretch.groupBy("half").agg(F.count("*").alias("rows"), F.sum(F.length("piece")).alias("bytes")).where("rows > 1")
-    load = written(load, "load")
-    total = load.agg(F.sum("bytes")).first()[0] or 0
-    shards = max(1, -(-total // (p.shard_bytes // 2)))
-    small = stretch.join(load.where(F.col("bytes") <= p.shard_bytes).select("half"), "half")
-    spans = small.groupBy(F.pmod(F.xxhash64("half"), F.lit(shards)).alias("shard")).applyInArrow(lambda t: _shard(t, p, False), spans_type).select("doc_id", "rk", "lo", "hi")
-    large = load.where(F.col("bytes") > p.shard_bytes)
+    whole = found.where("c1 is null").select(*spot, "d1", "d2").join(repeated, ["d1", "d2"]).where(F.col("hi") - F.col("lo") >= p.length).select(*spot)
+
+    # equal stretches are covered as they are; of cores with a single one each different stretch is searched
+    parts = found.where("c1 is not null")
+    kinds = written(parts.groupBy("c1", "c2", "d1", "d2").agg(F.count("*").alias("n")), "kinds")
+    again = parts.select(*spot, "c1", "c2", "d1", "d2").join(kinds.where("n > 1").select("c1", "c2", "d1", "d2"), ["c1", "c2", "d1", "d2"]).select(*spot)
+    open_ = kinds.groupBy("c1", "c2").agg(F.count("*").alias("k"), F.min("n").alias("least")).where("k > 1 and least = 1").select("c1", "c2", "k")
+    one = F.min(F.struct(*spot, "before", "after", "width")).alias("s")
+    stretch = parts.join(open_, ["c1", "c2"]).groupBy("c1", "c2", "d1", "d2", "k").agg(one).select("c1", "c2", "k", "s.*")
+    stretch = written(stretch, "stretches")
+    # a core's stretches are all of about twice its part's width
+    most = max(2, p.shard_bytes // (p.half // 2))
+    shards = max(1, -(-stretch.count() // (most // 2)))
+    small = stretch.where(F.col("k") <= most).groupBy(F.pmod(F.xxhash64("c1", "c2"), F.lit(shards)).alias("shard"))
+    spans = small.applyInArrow(lambda t: _shard(t, p, False), spans_type).select("doc_id", "rk", "lo", "hi")
+    large = stretch.where(F.col("k") > most)
     if not large.isEmpty():
-        dealt = stretch.join(large.select("half", F.ceil(F.col("bytes") / p.shard_bytes).alias("parts")), "half")
-        dealt = dealt.groupBy("half", F.pmod(F.xxhash64("doc_id", "rk"), "parts").alias("part")).applyInArrow(lambda t: _shard(t, p, True), spans_type)
-        dealt = written(dealt, "dealt")
+        dealt = large.groupBy("c1", "c2", F.pmod(F.xxhash64("doc_id", "rk"), F.ceil(F.col("k") / most)).alias("part"))
+        dealt = written(dealt.applyInArrow(lambda t: _shard(t, p, True), spans_type), "dealt")
         spans = spans.unionAll(dealt.where("w1 is null").select("doc_id", "rk", "lo", "hi"))
         ranges = max(1, -(-dealt.count() // 100_000))
         spans = spans.unionAll(dealt.where("w1 is not null").groupBy(F.pmod("w2", F.lit(ranges)).alias("range")).applyInArrow(_merge_shards, f"doc_id {kind}, rk long, lo long, hi long"))
@@ -363,7 +422,7 @@ def remove_repeats(docs: DataFrame, params: SuffixParams = SuffixParams()) -> Da
     kind = docs.schema["doc_id"].dataType.simpleString()
     spans = repeated_spans(docs, p).groupBy("doc_id", "rk").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
     spans = written(spans, "spans")
-    touched = spark.sparkContext.broadcast(presence(spans, "rk", p.filter_bits))
+    touched = spark.sparkContext.broadcast(sized_presence(spans, "rk", p.most_bits))
     keyed = row_keyed(docs).select("doc_id", F.col("__key").alias("rk"), "text")
     schema = f"doc_id {kind}, {_RESULT}"
     clean = keyed.mapInArrow(lambda it: _results(it, touched), schema)
