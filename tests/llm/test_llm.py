@@ -73,8 +73,8 @@ def test_ngram_join_is_brute_force(spark, docs):
     assert got == components_of([(r[0], r[1]) for r in corpus()])
 
 
-def test_ngram_join_with_frequent_grams_is_the_same(spark, docs):
-    p = ngram_join.JoinParams(frequent=1, bucket_bits=13, filter_bits=13)
+def test_ngram_join_with_all_texts_open_is_the_same(spark, docs):
+    p = ngram_join.JoinParams(zone=0.1, most_bits=10, near=75, fragments=1)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(docs, p).collect()}
     assert got == components_of([(r[0], r[1]) for r in corpus()])
 
@@ -85,7 +85,7 @@ def links_of(rows):
     return {frozenset((x, y)) for k, x in enumerate(s) for y in s[:k] if 100 * len(x & y) >= 75 * len(x | y)}
 
 
-@pytest.mark.parametrize("blocks", [{}, {"block_texts": 7}, {"block_grams": 900, "bucket_bits": 13, "filter_bits": 13}])
+@pytest.mark.parametrize("blocks", [{}, {"block_texts": 7}, {"block_grams": 900, "near": 75}, {"near": 5, "fragments": 16}])
 def test_ngram_join_gives_every_link(spark, blocks):
     """A large group of near copies (some pairs in it don't link), a pair, and exact copies."""
     rng = random.Random(8)
@@ -110,6 +110,29 @@ def test_ngram_join_gives_every_link(spark, blocks):
     assert n == {i: sum(sets_of(t) in q for q in want) if sets_of(t) else 0 for i, t in rows}
 
 
+def test_ngram_join_of_near_copies_under_the_threshold(spark):
+    """Copies edited so much that most pairs don't link, at other sizes and beside a passage that all share."""
+    rng = random.Random(21)
+    base, rows = [f"w{k}" for k in range(100)], []
+    for i in range(70):
+        w = list(base)
+        for at in rng.sample(range(100), rng.choice([0, 1, 1, 2, 5])):
+            w[at] = f"e{rng.randrange(400)}"
+        rows.append((i, " ".join(w[rng.randint(0, 5) :] + [f"t{rng.randrange(9)}" for _ in range(rng.randint(0, 6))])))
+    for i in range(100, 130):
+        own = [f"o{rng.randrange(5000)}" for _ in range(rng.choice([5, 15, 30, 60]))]
+        rows.append((i, " ".join(base[:50] + own)))
+    text, want = dict(rows), links_of(rows)
+    assert 100 < len(want) < 1500
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for p in (ngram_join.JoinParams(), ngram_join.JoinParams(near=75, zone=0.2)):
+        got = [(r.a, r.b) for r in ngram_join.similarity_join(df, p).pairs().collect()]
+        assert len(got) == len(set(got)) == len(want)
+        assert {frozenset((sets_of(text[a]), sets_of(text[b]))) for a, b in got} == want
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.near_duplicates(df).collect()}
+    assert got == components_of(rows)
+
+
 def covered(texts, length):
     seen = {}
     for i, b in enumerate(texts):
@@ -123,7 +146,7 @@ def covered(texts, length):
     return out
 
 
-@pytest.mark.parametrize("shard", [2 << 20, 3000])
+@pytest.mark.parametrize("shard", [2 << 20, 100])
 def test_suffix_dedup_is_brute_force(spark, docs, shard):
     rows = corpus()
     texts = [(t or "").encode() for _, t, *_ in rows]
@@ -253,8 +276,32 @@ def test_mixing_blocks_and_shares(spark):
     for s in "ab":
         own = [r for r in got if r.source == s]
         assert abs(sum(r.taken for r in own) - own[0].target) < 200
-    assert mixing.share_out([10, 100], [1, 1], 3, 110) == [30.0, 80.0]
-    assert mixing.share_out([0, 5], [1, 2], 3, 5) == [0.0, 5.0]
+
+
+def shared_out(sizes, weights, most):
+    """Targets by weight, worked out one source after the other."""
+    targets, rest = {}, float(sum(sizes))
+    while len(targets) < len(sizes):
+        left = [i for i in range(len(sizes)) if i not in targets]
+        unit = rest / sum(weights[i] for i in left)
+        over = [i for i in left if weights[i] * unit > most * sizes[i]]
+        targets |= {i: most * sizes[i] if over else weights[i] * unit for i in over or left}
+        rest -= sum(most * sizes[i] for i in over)
+    return [targets[i] for i in range(len(sizes))]
+
+
+@pytest.mark.parametrize("broadcast_rows", [100_000, 0])
+def test_targets_are_shared_out_by_weight(spark, broadcast_rows):
+    rng = random.Random(4)
+    names = sorted([f"s{i}" for i in range(40)] + ["é", "Z", "a", "\U0001f600", "\uffee"])
+    sizes = {n: rng.choice([0, 3, 50, 4000, rng.randint(1, 300)]) for n in [*names, None]}
+    rows = [(i, "w " * k, n) for i, (n, k) in enumerate(sizes.items())]
+    want = dict(zip([*names, None], shared_out(list(sizes.values()), [(1, 2, 3)[i % 3] for i in range(len(sizes))], 3)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = mixing.mix(df, mixing.MixParams(broadcast_rows=broadcast_rows)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r.size, r.source_size) == (sizes[r.source],) * 2 and r.target == pytest.approx(want[r.source])
 
 
 def test_small_source_settles_beside_a_large_one(spark):
