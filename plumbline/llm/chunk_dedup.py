@@ -8,7 +8,8 @@ is valid text.
 
 Nulls: a null text is empty; a null doc_id sorts first. Rows that repeat both id and text are one document:
 they get equal results, and its first occurrence stays in each. Rows that share an id only are different
-documents. Empty tables give empty results; other columns are ignored or carried.
+documents. Texts of any length are chunked whole. Empty tables give empty results; other columns are ignored
+or carried: a carried column that is named like one of the results stands before it under the same name.
 """
 
 from __future__ import annotations
@@ -24,7 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytehash import BLOCK, gear_hashes
-from .common import attach
+from .common import attach, discard, written
+from .presence import sized_presence
 
 
 @dataclass(frozen=True)
@@ -34,6 +36,8 @@ class ChunkParams:
     shortest: int = 16
     longest: int = 256
     least_run: int = 64
+    #: The largest bitmap of repeated digests, in bits as a power of two.
+    most_bits: int = 28
 
 
 def _candidates(raw: bytes, params: ChunkParams) -> np.ndarray:
@@ -91,15 +95,18 @@ def chunk_ends(texts: list[bytes], params: ChunkParams) -> Iterator[list[int]]:
         at = stop
 
 
-def _chunk_rows(batches: Iterator[pa.RecordBatch], params: ChunkParams) -> Iterator[pa.RecordBatch]:
+def _chunk_rows(batches: Iterator[pa.RecordBatch], params: ChunkParams, repeated=None) -> Iterator[pa.RecordBatch]:
+    """(id, key, text) to rows of its chunks; with `repeated` only of those whose digest that filter may hold."""
     for rb in batches:
         ids, keys, texts = rb.column(0), rb.column(1), [(t or "").encode("utf-8", "surrogatepass") for t in rb.column(2).to_pylist()]
         rows, starts, sizes, digests = [], [], [], []
 
         def out():
-            pick = pa.array(np.repeat(np.array([r for r, _ in rows], np.int64), [n for _, n in rows]))
             pair = np.frombuffer(b"".join(digests), ">u8").astype(np.uint64).view(np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([ids.take(pick), keys.take(pick), pa.array(starts, pa.int32()), pa.array(sizes, pa.int32()), pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["doc_id", "row_key", "at", "size", "d1", "d2"])
+            ok = slice(None) if repeated is None else np.flatnonzero(repeated.value.holds(pair[:, 0]))
+            pick = pa.array(np.repeat(np.array([r for r, _ in rows], np.int64), [n for _, n in rows])[ok])
+            at, size = np.array(starts, np.int32)[ok], np.array(sizes, np.int32)[ok]
+            return pa.RecordBatch.from_arrays([ids.take(pick), keys.take(pick), pa.array(at), pa.array(size), pa.array(pair[ok, 0]), pa.array(pair[ok, 1])], names=["doc_id", "row_key", "at", "size", "d1", "d2"])
 
         for row, (raw, ends) in enumerate(zip(texts, chunk_ends(texts, params))):
             begun = 0
@@ -116,6 +123,11 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch], params: ChunkParams) -> Itera
             yield out()
 
 
+def _digests_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rb in batches:
+        yield pa.RecordBatch.from_arrays([rb.column(4)], names=["d1"])
+
+
 def removed_runs(places: list[tuple[int, int]], least: int) -> list[tuple[int, int]]:
     """Merge matched chunks (start, size) into maximal runs (start, end) of at least `least` bytes."""
     runs: list[list[int]] = []
@@ -141,10 +153,20 @@ def row_keyed(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def matched_chunks(docs: DataFrame, params: ChunkParams) -> DataFrame:
-    """One row (doc_id, row_key, places) for each document with chunks that stand earlier in the corpus."""
+    """One row (doc_id, row_key, places) for each document with chunks that stand earlier in the corpus.
+
+    First only half of each digest is counted; a bitmap of the repeated ones, sized by their number up to
+    most_bits, then spares most other chunks the shuffle that finds first places. A full bitmap spares none.
+    """
     attach(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    chunks = row_keyed(docs).select("doc_id", "__key", "text").mapInArrow(lambda it: _chunk_rows(it, params), f"doc_id {kind}, row_key long, at int, size int, d1 long, d2 long")
+    keyed = row_keyed(docs).select("doc_id", "__key", "text")
+    halves = keyed.mapInArrow(lambda it: _digests_only(_chunk_rows(it, params)), "d1 long")
+    repeated = written(halves.groupBy("d1").agg(F.count("*").alias("n")).where("n > 1").select("d1"), "digests")
+    known = docs.sparkSession.sparkContext.broadcast(sized_presence(repeated, "d1", params.most_bits))
+    chunks = written(keyed.mapInArrow(lambda it: _chunk_rows(it, params, known), f"doc_id {kind}, row_key long, at int, size int, d1 long, d2 long"), "chunks")
+    known.destroy()
+    discard(repeated)
     first = F.min(F.struct("doc_id", "row_key", "at")).alias("first")
     again = chunks.groupBy("d1", "d2").agg(first, F.count("*").alias("n")).where("n > 1").select("d1", "d2", "first")
     later = chunks.join(again, ["d1", "d2"]).where(~(F.struct("doc_id", "row_key", "at").eqNullSafe(F.col("first"))))
