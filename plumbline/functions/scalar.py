@@ -194,13 +194,66 @@ def delta_from_iqr(iqr: Column, percent: bool = False) -> Column:
     return F.greatest(F.ceil(iqr / 4 / step - 1e-9) * step, F.lit(step))
 
 
-def glob_regex(pattern: str) -> str:
-    """An anchored regex for a path glob: ** spans segments, * and ? stay in one; a match covers what is below."""
+def module_relative(path: Column, module: Column) -> Column:
+    """A package's directory in its module: '.' for the module itself; paths outside stay."""
+    return F.when(path == module, ".").when(path.startswith(F.concat(module, F.lit("/"))), F.substr(path, F.length(module) + 2)).otherwise(path)
+
+
+def import_path(module: Column, directory: Column) -> Column:
+    return F.when(directory == ".", module).otherwise(F.concat(module, F.lit("/"), directory))
+
+
+def is_below(path: Column, root: Column) -> Column:
+    """A strict descendant."""
+    return path.startswith(F.concat(root, F.lit("/")))
+
+
+def is_stdlib(path: Column) -> Column:
+    """Standard library paths have no dot in their first segment."""
+    return ~F.split_part(path, F.lit("/"), F.lit(1)).contains(".")
+
+
+class BadPattern(ValueError):
+    """An exclude pattern that can't be read."""
+
+
+def _segment_regex(segment: str) -> str:
+    """One path segment of a glob: * and ? stay in it, [abc], [a-z] and [^a] are classes, a backslash escapes."""
     import re
 
-    parts = []
-    for segment in pattern.strip("/").split("/"):
-        parts.append("**" if segment == "**" else "".join("[^/]*" if c == "*" else "[^/]" if c == "?" else re.escape(c) for c in segment))
+    token = re.compile(r"(?P<star>\*)|(?P<one>\?)|\[(?P<no>\^?)(?P<set>(?:\\.|[^\]\\])+)\]|\\(?P<esc>.)|(?P<plain>[^\[\\])", re.S)
+    out, at = "", 0
+    while at < len(segment):
+        m = token.match(segment, at)
+        if m is None:
+            raise BadPattern(f"malformed segment {segment!r}")
+        if m["set"] is not None:
+            ranges = re.findall(r"(\\.|[^\\])(?:-(\\.|[^\\]))?", m["set"], re.S)
+            bare = re.sub(r"\\.", "x", m["set"], flags=re.S)
+            if bare[0] == "-" or bare[-1] == "-":
+                raise BadPattern(f"malformed segment {segment!r}")
+            bound = lambda c: re.escape(c[-1])
+            out += "[" + ("^/" if m["no"] else "") + "".join(bound(a) + (f"-{bound(b)}" if b else "") for a, b in ranges) + "]"
+        else:
+            out += "[^/]*" if m["star"] else "[^/]" if m["one"] else re.escape(m["esc"] or m["plain"])
+        at = m.end()
+    return out
+
+
+def glob_regex(pattern: str) -> str:
+    """An anchored regex for a path glob: ** spans segments; a match covers what is below. Patterns that are empty,
+    absolute, leave the root, mix ** with other characters or have an open class are refused."""
+    if not pattern.strip():
+        raise BadPattern("empty pattern")
+    if pattern.startswith("/"):
+        raise BadPattern("pattern must be relative to the module root")
+    segments = pattern.removesuffix("/").split("/")
+    for s in segments:
+        if s in ("", ".", ".."):
+            raise BadPattern(f"segment {s!r} not allowed")
+        if "**" in s and s != "**":
+            raise BadPattern("** must be a whole path segment")
+    parts = ["**" if s == "**" else _segment_regex(s) for s in segments]
     out = ""
     for i, s in enumerate(parts):
         if s == "**":

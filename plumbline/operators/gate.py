@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalar import EPSILON, round_to
-from plumbline.plans.rules import MODULE_WIDE
+from plumbline.plans.rules import MODULE_WIDE, Rule
 
 
 def number(v: Column) -> Column:
@@ -139,14 +139,15 @@ def merge_findings(findings: DataFrame) -> DataFrame:
 def exempt(findings: DataFrame, exemptions: DataFrame, today: str) -> DataFrame:
     """Adds `reason`: the first unexpired exemption's, where exemptions cover the metric and every `also`.
 
-    exemptions: ord, package, metric, reason, expires (date; the last day counts). Plain warnings aren't exempted.
-    """
+    exemptions: ord, package, metric, reason, expires (date; the last day counts); configuration, so a package's are
+    one broadcast row and a finding is decided in its own. Plain warnings aren't exempted."""
     valid = exemptions.where((F.trim("reason") != "") & (F.col("expires").isNull() | (F.col("expires") >= F.lit(today).cast("date"))))
-    asked = findings.where("not warning").select("package", "ord", "metric", "also", F.explode(F.array_distinct(F.concat(F.array("metric"), "also"))).alias("one"))
-    met = asked.join(F.broadcast(valid.select(F.col("package").alias("p"), F.col("metric").alias("m"), F.col("ord").alias("n"), "reason")), (F.col("package") == F.col("p")) & (F.col("one") == F.col("m")))
-    held = met.groupBy("package", "ord", "metric", F.size("also").alias("others")).agg(F.count_distinct("one").alias("covered"), F.min(F.struct("n", "reason")).alias("first"))
-    held = held.where("covered = others + 1").select("package", "ord", "metric", F.col("first.reason").alias("reason"))
-    return findings.join(held.withColumn("warning", F.lit(False)), ["package", "ord", "metric", "warning"], "left")
+    per = valid.groupBy("package").agg(F.array_sort(F.collect_list(F.struct("ord", "metric", "reason"))).alias("__ex"))
+    met = findings.join(F.broadcast(per), "package", "left")
+    asked = F.array_distinct(F.concat(F.array("metric"), "also"))
+    hits = F.filter("__ex", lambda x: F.array_contains(asked, x["metric"]))
+    covered = F.size(F.array_distinct(F.transform(hits, lambda x: x["metric"]))) == F.size(asked)
+    return met.withColumn("reason", F.when(~F.col("warning") & F.coalesce(covered, F.lit(False)), F.get(hits, 0)["reason"])).drop("__ex")
 
 
 def verdicts(findings: DataFrame, packages: DataFrame) -> DataFrame:
@@ -182,6 +183,27 @@ def headroom(limits: DataFrame) -> DataFrame:
     return best.select("package", F.col("m.metric").alias("metric"), F.col("m.remaining").alias("remaining"), F.col("m.used").alias("used"))
 
 
+def with_headroom(rows: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """Adds headroom_metric, headroom_left and headroom_used: the tightest ceiling that judges the row, the first rule
+    on ties; null where none does. It is worked out within the row, without a join."""
+    role = F.coalesce(F.nullif("role", F.lit("")), F.lit("library"))
+    cells = []
+    for i, r in enumerate(rules):
+        if r.kind != "capacity" or not r.max or r.metric not in rows.columns:
+            continue
+        v = F.col(r.metric).cast("double")
+        judges = v.isNotNull() & (role.isin(*r.roles) if r.roles else F.lit(True))
+        cells.append(F.when(judges, F.struct(round_to(v / r.max, 3).alias("used"), F.lit(-i).alias("i"), F.lit(r.metric).alias("metric"), round_to(r.max - v, 3).alias("left"))))
+    best = F.array_max(F.array_compact(F.array(*cells)))
+    return rows.withColumn("__h", best).select(*rows.columns, F.col("__h.metric").alias("headroom_metric"), F.col("__h.left").alias("headroom_left"), F.col("__h.used").alias("headroom_used"))
+
+
+def covered_values(head: Column, base: Column, head_covered: Column, base_covered: Column, has_row: Column) -> tuple[Column, Column]:
+    """What a rule that reads coverage judges: the covered figures if head has one and so has the baseline, if any."""
+    use = head_covered.isNotNull() & (~has_row | base_covered.isNotNull())
+    return F.when(use, head_covered).otherwise(head), F.when(use, base_covered).otherwise(base)
+
+
 def worst_changed(changed: DataFrame, limit: float, allowed: float) -> DataFrame:
     """Of functions (package, ord, name, cognitive, base_cognitive) those over the limit that fail: the most
     complex of each package, the first on ties."""

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalar import share
+from plumbline.operators.labels import is_fix, reverted_hashes, reverted_subject
 
 
 def episodes(log: DataFrame, key: list[str]) -> DataFrame:
@@ -102,15 +103,10 @@ def views(rows: DataFrame, key: str) -> DataFrame:
     return rows.rollup(key).agg(F.count("*").alias("n"), F.count_if("block").alias("blocks"))
 
 
-FIX = r"(?i)^(fix|bugfix|hotfix|repair)\b"
-REVERT = r'^Revert "(.*)"$'
-HASH = r"This reverts commit ([0-9a-f]{7,40})"
-
-
 def subject_facts(rows: DataFrame, subject: str) -> DataFrame:
-    """Adds is_fix, reverted_subject and reverted_hash (null where there is none)."""
+    """Adds is_fix, reverted_subject (null without one) and reverted_hashes."""
     s = F.col(subject)
-    return rows.withColumn("is_fix", s.rlike(FIX)).withColumn("reverted_subject", F.nullif(F.regexp_extract(s, REVERT, 1), F.lit(""))).withColumn("reverted_hash", F.nullif(F.regexp_extract(s, HASH, 1), F.lit("")))
+    return rows.withColumn("is_fix", is_fix(s)).withColumn("reverted_subject", reverted_subject(s)).withColumn("reverted_hashes", reverted_hashes(s))
 
 
 def capacity_only(rows: DataFrame) -> Column:

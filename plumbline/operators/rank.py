@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import scalar as S
+from plumbline.sources.shared import ensure_shared
 
 
 def estimates(rows: DataFrame, p: S.RebuildParams = S.RebuildParams()) -> DataFrame:
@@ -27,9 +28,9 @@ def drivers(rows: DataFrame, top: int = 2) -> DataFrame:
     return rows.withColumn("drivers", F.transform(ordered, lambda x: x["n"]))
 
 
-def rank_rows(rows: DataFrame, headroom: DataFrame) -> DataFrame:
-    """The rounded row of every package, as it is ranked and shown."""
-    out = rows.join(headroom.select("package", F.col("used").alias("headroom_used")), "package", "left")
+def rank_rows(rows: DataFrame) -> DataFrame:
+    """The rounded row of every package, as it is ranked and shown. rows: estimates with headroom_used."""
+    out = rows
     return out.select(
         "package",
         S.round_to("agent_passes", 1).alias("passes"),
@@ -86,8 +87,25 @@ def module_totals(rows: DataFrame) -> DataFrame:
     return rows.agg(F.round(tenths / 10).alias("days"), F.count("*").alias("packages"), F.count_if(F.col("band") == "split").alias("split"), F.count_if(F.col("band") == "watch").alias("watch"))
 
 
+def placed(rows: DataFrame, order: list, name: str) -> DataFrame:
+    """Adds each row's place, from 1, in one order over all rows. A distributed sort: the place is the number of rows
+    in the partitions before and the place in the row's own, so no task sees all rows. The sorted rows are written to
+    the checkpoint folder, and only each partition's number of rows comes to the driver."""
+    spark = rows.sparkSession
+    ensure_shared(spark)
+    ids = rows.orderBy(*order).withColumn("__id", F.monotonically_increasing_id()).checkpoint()
+    part, before, starts = F.shiftright("__id", 33), 0, []
+    for p, n in sorted((r[0], r[1]) for r in ids.groupBy(part).count().collect()):
+        starts += [F.lit(p), F.lit(before)]
+        before += n
+    if not starts:
+        return rows.withColumn(name, F.lit(None).cast("bigint"))
+    start = F.create_map(*starts)[part].cast("bigint")
+    return ids.withColumn(name, start + F.col("__id") - F.shiftleft(part, 33) + 1).drop("__id")
+
+
 def with_ranks(rows: DataFrame, keys: tuple[str, ...] = tuple(SORT_KEYS)) -> DataFrame:
-    """Places under several keys. Every place needs the whole order, so rows (one for each package) meet in one task."""
+    """Places under several keys."""
     for key in keys:
-        rows = rows.withColumn(f"by_{key}", F.row_number().over(Window.orderBy(*sort_order(key))))
+        rows = placed(rows, sort_order(key), f"by_{key}")
     return rows

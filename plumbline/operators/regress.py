@@ -12,13 +12,16 @@ MAX_LEVERAGE = 0.99
 
 
 class SingularColumn(ValueError):
-    """A column that the others determine."""
+    """A column that is all zero or that the others determine."""
 
 
-def invert(m: np.ndarray, names: list[str] | None = None, tolerance: float = 1e-12) -> np.ndarray:
+def invert(m: np.ndarray, names: list[str] | None = None, tolerance: float = 1e-10) -> np.ndarray:
     """Gauss-Jordan on the matrix scaled to unit diagonal; a pivot below the tolerance names its column."""
-    scale = np.sqrt(np.abs(np.diag(m)))
-    scale[scale == 0] = 1.0
+    diagonal = np.diag(m)
+    if (diagonal <= 0).any():
+        i = int(np.flatnonzero(diagonal <= 0)[0])
+        raise SingularColumn(f"column {names[i] if names else i} is all zero")
+    scale = np.sqrt(diagonal)
     a = np.hstack([m / np.outer(scale, scale), np.eye(len(m))])
     for i in range(len(m)):
         j = i + int(np.abs(a[i:, i]).argmax())

@@ -81,11 +81,38 @@ MODULE_WIDE = ("dup_blocks_cross_pkg",)
 
 
 def merge_rules(rules: tuple[Rule, ...], overrides: tuple[Rule, ...]) -> tuple[Rule, ...]:
-    """Disabled metrics go, others are replaced in place, new ones come last."""
-    by = {r.metric: r for r in overrides}
-    out = [by.get(r.metric, r) for r in rules if not (r.metric in by and by[r.metric].disabled)]
-    have = {r.metric for r in rules}
-    return tuple(out + [r for r in overrides if r.metric not in have and not r.disabled])
+    """Disabled metrics go; a metric's overrides, all of them, stand where its first rule stood; new ones come last."""
+    off = {r.metric for r in overrides if r.disabled}
+    own = [r for r in overrides if not r.disabled]
+    heads = {r.metric: i for i, r in reversed(list(enumerate(rules)))}
+    out: list[Rule] = []
+    for i, r in enumerate(rules):
+        mine = [o for o in own if o.metric == r.metric]
+        if r.metric not in off:
+            out += mine if mine and heads[r.metric] == i else [] if mine else [r]
+    return tuple(out + [r for r in own if r.metric not in heads])
+
+
+def rule_views(top: tuple[Rule, ...], languages: dict[str, tuple[Rule, ...]]) -> tuple[list[tuple[str | None, Rule]], list[tuple[str | None, int, int]]]:
+    """(rules, views): every distinct rule with the language that brought it, top-level ones first; and for each
+    language (None: those without overrides) its (language, place, rule) in order."""
+    found: list[tuple[str | None, Rule]] = [(None, r) for r in top]
+    views: list[tuple[str | None, int, int]] = [(None, i, i) for i in range(len(top))]
+    for name in sorted(languages):
+        for place, r in enumerate(merge_rules(top, languages[name])):
+            at = next((i for i, t in enumerate(top) if t == r), None)
+            if at is None:
+                at = len(found)
+                found.append((name, r))
+            views.append((name, place, at))
+    return found, views
+
+
+def views_table(spark: SparkSession, top: tuple[Rule, ...], languages: dict[str, tuple[Rule, ...]]) -> DataFrame:
+    """rule, language, place, metric, roles, module_wide, warns: what `measure.judged_by` broadcasts."""
+    found, views = rule_views(top, languages)
+    rows = [(i, name, place, found[i][1].metric, list(found[i][1].roles), found[i][1].metric in MODULE_WIDE, found[i][1].severity == "warn") for name, place, i in views]
+    return spark.createDataFrame(rows, "rule int, language string, place int, metric string, roles array<string>, module_wide boolean, warns boolean")
 
 
 def rules_table(spark: SparkSession, rules: tuple[Rule, ...] = SHIPPED) -> DataFrame:

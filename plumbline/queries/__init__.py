@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import facts, formats, history, more, rank_gate, stats, tokens
+from . import chosen, cross, exports, facts, facts2, formats, history, more, rank_gate, replay, reports, settings, stats, tokens, validation
 
-MODULES = (rank_gate, facts, history, stats, tokens, formats, more)
+MODULES = (rank_gate, facts, facts2, cross, exports, history, replay, validation, stats, tokens, formats, more, settings, chosen, reports)
 
 
 def queries() -> dict:

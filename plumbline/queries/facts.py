@@ -62,16 +62,16 @@ def j7_new_blocks(spark, d):
     return M.excess(rows.where(f"l_shipdate >= {CUT}").drop("l_shipdate"), rows.where(f"l_shipdate < {CUT}"), "key")
 
 
-@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_shipdate >= TIMESTAMP '2001-01-01 00:00:00' AND l_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-06-01 00:00:00') AND l_partkey + 1 NOT IN (SELECT l_partkey FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-06-01 00:00:00')")
+@query(f"WITH b AS (SELECT l_orderkey FROM lineitem WHERE l_shipdate < {CUT}) SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_shipdate >= {CUT} AND l_orderkey NOT IN (SELECT l_orderkey FROM b) AND l_orderkey + 1 NOT IN (SELECT l_orderkey FROM b)")
 def j5_new_by_anchors(spark, d):
     rows = table(spark, d, "lineitem")
-    head = rows.where("l_shipdate >= TIMESTAMP '2001-01-01 00:00:00'").selectExpr("l_orderkey", "l_linenumber", "l_partkey AS a0", "l_partkey + 1 AS a1")
-    return M.without_either(head, rows.where("l_shipdate < TIMESTAMP '1995-06-01 00:00:00'").selectExpr("l_partkey AS anchor"), "a0", "a1").select("l_orderkey", "l_linenumber")
+    head = rows.where(f"l_shipdate >= {CUT}").selectExpr("l_orderkey", "l_linenumber", "l_partkey", "l_orderkey AS a0", "l_orderkey + 1 AS a1")
+    return M.without_either(head, rows.where(f"l_shipdate < {CUT}").selectExpr("l_orderkey AS anchor"), "a0", "a1").select("l_orderkey", "l_linenumber", "l_partkey")
 
 
-@query("SELECT DISTINCT l_suppkey AS package, l_partkey AS name FROM lineitem WHERE l_returnflag = 'A' AND l_shipdate >= TIMESTAMP '1999-01-01 00:00:00' EXCEPT SELECT l_suppkey, l_partkey FROM lineitem WHERE l_returnflag = 'A' AND l_shipdate < TIMESTAMP '1999-01-01 00:00:00'")
+@query("SELECT DISTINCT l_suppkey AS package, l_partkey AS name FROM lineitem WHERE l_shipdate >= TIMESTAMP '1999-01-01 00:00:00' EXCEPT SELECT l_suppkey, l_partkey FROM lineitem WHERE l_shipdate < TIMESTAMP '1999-01-01 00:00:00'")
 def j6_newly_untested(spark, d):
-    rows = table(spark, d, "lineitem").where("l_returnflag = 'A'")
+    rows = table(spark, d, "lineitem")
     pick = ["l_suppkey AS package", "l_partkey AS name"]
     return rows.where(f"l_shipdate >= {CUT}").selectExpr(*pick).distinct().join(rows.where(f"l_shipdate < {CUT}").selectExpr(*pick), ["package", "name"], "left_anti")
 
@@ -85,20 +85,12 @@ def j3_signature_changes(spark, d):
     return M.signature_changes(rows.where(f"l_shipdate >= {CUT}").drop("l_shipdate").distinct(), rows.where(f"l_shipdate < {CUT}").drop("l_shipdate").distinct())
 
 
-@query("WITH h AS (SELECT p_partkey % 20 AS package, lower(p_name) || CAST(p_size AS VARCHAR) AS name, p_partkey AS ord FROM part WHERE p_partkey % 3 = 0), b AS (SELECT DISTINCT p_partkey % 20 AS package, upper(p_name) || CAST(p_size AS VARCHAR) AS name FROM part WHERE p_partkey % 3 = 1) SELECT b.package, b.name, arg_min(h.name, h.ord) AS now FROM b JOIN h ON h.package = b.package AND lower(h.name) = lower(b.name) WHERE (b.package, b.name) NOT IN (SELECT package, name FROM h) GROUP BY b.package, b.name")
-def j4_made_private(spark, d):
-    rows = table(spark, d, "part")
-    head = rows.where("p_partkey % 3 = 0").selectExpr("p_partkey % 20 AS package", "concat(lower(p_name), CAST(p_size AS STRING)) AS name", "p_partkey AS ord")
-    base = rows.where("p_partkey % 3 = 1").selectExpr("p_partkey % 20 AS package", "concat(upper(p_name), CAST(p_size AS STRING)) AS name").distinct()
-    return M.made_private(head, base)
-
-
-# The import graph: a supplier imports the supplier that a part belongs to; returns are test edges.
-_EDGES = "SELECT DISTINCT l_suppkey AS source, l_partkey % 120 AS target, l_returnflag = 'R' AS test FROM lineitem WHERE l_linenumber = 1"
+# The import graph: a supplier imports the part's package; returns are test edges.
+_EDGES = "SELECT DISTINCT l_suppkey AS source, l_partkey AS target, l_returnflag = 'R' AS test FROM lineitem"
 
 
 def _edges(spark, d):
-    return table(spark, d, "lineitem").where("l_linenumber = 1").selectExpr("l_suppkey AS source", "l_partkey % 120 AS target", "l_returnflag = 'R' AS test").distinct()
+    return table(spark, d, "lineitem").selectExpr("l_suppkey AS source", "l_partkey AS target", "l_returnflag = 'R' AS test").distinct()
 
 
 @query(f"WITH e AS ({_EDGES}), p AS (SELECT DISTINCT source, target FROM e WHERE NOT test), t AS (SELECT DISTINCT source, target FROM e WHERE test AND source <> target EXCEPT SELECT * FROM p) SELECT target AS package, CAST(sum(p) AS BIGINT) AS fan_in, CAST(sum(t) AS BIGINT) AS fan_in_tests FROM (SELECT target, 1 AS p, 0 AS t FROM p UNION ALL SELECT target, 0, 1 FROM t) GROUP BY target")
@@ -120,25 +112,25 @@ def j13_importers(spark, d):
 _OWN = "SELECT l_suppkey AS package, count(*) AS rows, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS sloc FROM lineitem WHERE l_suppkey % 3 <> 0 GROUP BY l_suppkey"
 
 
-@query(f"WITH b AS ({_OWN}), rn AS (SELECT l_suppkey AS package, l_partkey % 100 AS source, count(*) AS files FROM lineitem WHERE l_discount > 0.08 GROUP BY ALL), s AS (SELECT package, source, rows, sloc FROM (SELECT r.package, r.source, b.rows, b.sloc, row_number() OVER (PARTITION BY r.package ORDER BY files DESC, r.source) AS k FROM rn r JOIN b ON b.package = r.source) WHERE k = 1) SELECT s_suppkey AS package, CASE WHEN b.package IS NULL THEN s.source END AS source, CASE WHEN b.package IS NULL THEN s.rows ELSE b.rows END AS rows, CASE WHEN b.package IS NULL THEN s.sloc ELSE b.sloc END AS sloc FROM supplier LEFT JOIN b ON b.package = s_suppkey LEFT JOIN s ON s.package = s_suppkey WHERE b.package IS NOT NULL OR s.package IS NOT NULL")
+@query(f"WITH b AS ({_OWN}), rn AS (SELECT l_suppkey AS package, l_partkey % 100 AS source, count(*) AS files FROM lineitem GROUP BY ALL), s AS (SELECT package, source, rows, sloc FROM (SELECT r.package, r.source, b.rows, b.sloc, row_number() OVER (PARTITION BY r.package ORDER BY files DESC, r.source) AS k FROM rn r JOIN b ON b.package = r.source) WHERE k = 1) SELECT s_suppkey AS package, CASE WHEN b.package IS NULL THEN s.source END AS source, CASE WHEN b.package IS NULL THEN s.rows ELSE b.rows END AS rows, CASE WHEN b.package IS NULL THEN s.sloc ELSE b.sloc END AS sloc FROM supplier LEFT JOIN b ON b.package = s_suppkey LEFT JOIN s ON s.package = s_suppkey WHERE b.package IS NOT NULL OR s.package IS NOT NULL")
 def j14_seeded_rows(spark, d):
     rows = table(spark, d, "lineitem")
     base = rows.where("l_suppkey % 3 <> 0").groupBy(F.col("l_suppkey").alias("package")).agg(F.count("*").alias("rows"), F.sum(F.col("l_quantity").cast("bigint")).alias("sloc"))
-    renames = rows.where("l_discount > 0.08").selectExpr("l_suppkey AS package", "l_partkey % 100 AS source")
+    renames = rows.selectExpr("l_suppkey AS package", "l_partkey % 100 AS source")
     ranked = M.rank_sources(renames)
     return M.seeded_rows(table(spark, d, "supplier").selectExpr("s_suppkey AS package"), base, ranked, ["rows", "sloc"])
 
 
-@query("SELECT package, source, files, row_number() OVER (PARTITION BY package ORDER BY files DESC, source) AS place FROM (SELECT l_suppkey AS package, l_partkey % 100 AS source, count(*) AS files FROM lineitem WHERE l_discount > 0.08 GROUP BY ALL)")
+@query("SELECT package, source, files, row_number() OVER (PARTITION BY package ORDER BY files DESC, source) AS place FROM (SELECT l_suppkey AS package, l_partkey % 100 AS source, count(*) AS files FROM lineitem GROUP BY ALL)")
 def r1_rename_sources(spark, d):
-    return M.rank_sources(table(spark, d, "lineitem").where("l_discount > 0.08").selectExpr("l_suppkey AS package", "l_partkey % 100 AS source"))
+    return M.rank_sources(table(spark, d, "lineitem").selectExpr("l_suppkey AS package", "l_partkey % 100 AS source"))
 
 
-@query("WITH i AS (SELECT l_suppkey AS k, l_orderkey % 5000 AS lo, l_orderkey % 5000 + l_linenumber AS hi FROM lineitem WHERE l_linenumber <= 2), o AS (SELECT l_suppkey AS k, l_orderkey % 5000 AS f, l_orderkey % 5000 + 20 AS t FROM lineitem WHERE l_linenumber = 3) SELECT i.k, lo, hi, count(*) AS covers FROM i JOIN o ON i.k = o.k AND lo >= f AND hi <= t GROUP BY ALL")
+@query("WITH i AS (SELECT l_suppkey AS k, l_orderkey % 5000 AS lo, l_orderkey % 5000 + l_linenumber AS hi FROM lineitem), o AS (SELECT l_suppkey AS k, l_orderkey % 5000 AS f, l_orderkey % 5000 + 20 AS t FROM lineitem) SELECT i.k, lo, hi, count(*) AS covers FROM i JOIN o ON i.k = o.k AND lo >= f AND hi <= t GROUP BY ALL")
 def j16_contained(spark, d):
     rows = table(spark, d, "lineitem")
-    i = rows.where("l_linenumber <= 2").selectExpr("l_suppkey AS k", "l_orderkey % 5000 AS lo", "l_orderkey % 5000 + l_linenumber AS hi")
-    o = rows.where("l_linenumber = 3").selectExpr("l_suppkey AS k", "l_orderkey % 5000 AS from", "l_orderkey % 5000 + 20 AS to")
+    i = rows.selectExpr("l_suppkey AS k", "l_orderkey % 5000 AS lo", "l_orderkey % 5000 + l_linenumber AS hi")
+    o = rows.selectExpr("l_suppkey AS k", "l_orderkey % 5000 AS from", "l_orderkey % 5000 + 20 AS to")
     return M.contained(i, o, ["k"], 64).groupBy("k", "lo", "hi").agg(F.count("*").alias("covers"))
 
 
@@ -154,19 +146,22 @@ def j21_as_of(spark, d):
     return M.as_of(e.where("event_type = 'error'").select("user_id", "seq"), e.where("event_type = 'signup'").select("user_id", "seq", "value"), ["user_id"], "value").select("user_id", "seq", "value")
 
 
-@query("SELECT package, CASE WHEN h THEN 'changed' WHEN b THEN 'deleted' END AS state FROM (SELECT package, package IN (SELECT l_suppkey FROM lineitem WHERE l_shipdate >= TIMESTAMP '2001-10-01 00:00:00') AS h, package IN (SELECT l_suppkey FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-03-01 00:00:00') AS b FROM (SELECT DISTINCT l_suppkey AS package FROM lineitem WHERE l_discount > 0.09)) WHERE h OR b")
+@query(f"SELECT l_orderkey AS package, CASE WHEN bool_or(l_shipdate >= {CUT}) THEN 'changed' ELSE 'deleted' END AS state FROM lineitem GROUP BY l_orderkey")
 def j27_changed_packages(spark, d):
-    rows = table(spark, d, "lineitem").withColumnRenamed("l_suppkey", "package")
-    return M.changed_packages(rows.where("l_discount > 0.09"), rows.where("l_shipdate >= TIMESTAMP '2001-10-01 00:00:00'"), rows.where("l_shipdate < TIMESTAMP '1995-03-01 00:00:00'"))
+    rows = table(spark, d, "lineitem").withColumnRenamed("l_orderkey", "package")
+    return M.changed_packages(rows, rows.where(f"l_shipdate >= {CUT}"), rows.where(f"l_shipdate < {CUT}"))
 
 
-@query("WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey AS a, l_partkey % 700 AS b FROM lineitem WHERE l_quantity = 50 AND l_discount > 0.09), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), v AS (SELECT s_suppkey AS id FROM supplier UNION SELECT a FROM u UNION SELECT b FROM u), r AS (SELECT id, id AS o FROM v UNION SELECT u.b, r.o FROM r JOIN u ON u.a = r.id) SELECT id, min(o) AS component FROM r GROUP BY id")
+# Orders that follow one another are linked by a line whose part is a multiple of nine: runs are the components.
+@query("WITH o AS (SELECT o_orderkey AS id, coalesce(bool_or(l_partkey % 9 = 0), false) AS tied FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey), s AS (SELECT id, CASE WHEN lag(tied) OVER (ORDER BY id) AND lag(id) OVER (ORDER BY id) = id - 1 THEN 0 ELSE 1 END AS begins FROM o) SELECT id, max(CASE WHEN begins = 1 THEN id END) OVER (ORDER BY id) AS component FROM s")
 def j9_components(spark, d):
+    """Connected components over all edges."""
     from plumbline.sources.shared import ensure_shared
 
     ensure_shared(spark)
-    e = table(spark, d, "lineitem").where("l_quantity = 50 and l_discount > 0.09").selectExpr("l_suppkey AS a", "l_partkey % 700 AS b").distinct()
-    v = table(spark, d, "supplier").selectExpr("s_suppkey AS id").union(e.select("a")).union(e.select("b")).distinct()
+    v = table(spark, d, "orders").selectExpr("o_orderkey AS id")
+    e = table(spark, d, "lineitem").selectExpr("l_orderkey AS a", "CASE WHEN l_partkey % 9 = 0 THEN l_orderkey + 1 ELSE l_orderkey END AS b").distinct()
+    e = e.join(v.withColumnRenamed("id", "b"), "b", "left_semi")
     return M.min_labels(v, e)
 
 
@@ -245,11 +240,11 @@ def p12_exclude(spark, d):
     return rows.select("url", S.first_match(F.col("path"), ["*/docs", "**/p*1"]).alias("pattern"))
 
 
-@query("WITH x AS (SELECT DISTINCT l_partkey % 200 AS block, l_suppkey AS pkg, l_suppkey % 5 AS role FROM lineitem WHERE l_quantity = 7) SELECT block, count(*) AS packages, bool_and(role = 2) AS main_only FROM x GROUP BY block HAVING count(DISTINCT pkg) >= 2")
+@query("WITH x AS (SELECT DISTINCT l_orderkey AS block, l_suppkey AS pkg, l_suppkey % 2 AS role FROM lineitem) SELECT block, count(*) AS packages, bool_and(role = 1) AS main_only FROM x GROUP BY block HAVING count(DISTINCT pkg) >= 2")
 def a15_cross_blocks(spark, d):
     """Blocks in two packages or more, and whether only mains hold them."""
-    x = table(spark, d, "lineitem").where("l_quantity = 7").selectExpr("l_partkey % 200 AS block", "l_suppkey AS pkg", "l_suppkey % 5 AS role").distinct()
-    return x.groupBy("block").agg(F.count("*").alias("packages"), F.bool_and(F.col("role") == 2).alias("main_only"), F.count_distinct("pkg").alias("n")).where("n >= 2").drop("n")
+    x = table(spark, d, "lineitem").selectExpr("l_orderkey AS block", "l_suppkey AS pkg", "l_suppkey % 2 AS role").distinct()
+    return x.groupBy("block").agg(F.count("*").alias("packages"), F.bool_and(F.col("role") == 1).alias("main_only"), F.count_distinct("pkg").alias("n")).where("n >= 2").drop("n")
 
 
 @query("WITH c AS (SELECT DISTINCT o_orderkey AS c, o_orderpriority AS rule FROM orders WHERE o_orderstatus = 'F' UNION SELECT o_orderkey, 'big' FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 300000), n AS (SELECT c, count(*) AS k FROM c GROUP BY c) SELECT rule, count(*) AS failed, count(*) FILTER (k = 1) AS alone FROM c JOIN n USING (c) GROUP BY rule")

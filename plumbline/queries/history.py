@@ -167,22 +167,21 @@ def t1_pending(spark, d):
     return H.pending(commits, done).select("commit")
 
 
-@query("SELECT p_partkey, regexp_matches(s, '(?i)^(fix|bugfix|hotfix|repair)\\b') AS is_fix, nullif(regexp_extract(s, '^Revert \"(.*)\"$', 1), '') AS reverted_subject, nullif(regexp_extract(s, 'This reverts commit ([0-9a-f]{7,40})', 1), '') AS reverted_hash FROM (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'Fix ' || p_name WHEN 1 THEN 'Revert \"' || p_name || '\"' WHEN 2 THEN 'This reverts commit abcdef' || CAST(p_partkey AS VARCHAR) || ' now' WHEN 3 THEN 'fixture ' || p_name ELSE p_name END AS s FROM part)")
+_SUBJECT = "CASE p_partkey % 7 WHEN 0 THEN ' Fixed: ' || p_name WHEN 1 THEN 'Revert \"' || p_name || '\" (#2)' WHEN 2 THEN 'THIS reverts commit abcdef' || p_partkey || ' now, and this reverts commit 0123456' WHEN 3 THEN 'fixture ' || p_name WHEN 4 THEN 'prefix fix' WHEN 5 THEN 'reverting' ELSE p_name END"
+
+
+@query(f"SELECT p_partkey, regexp_matches(lower(trim(s)), '^\\s*(fix|revert)(s|es|ed|ing|up)?([^a-z]|$)') AS is_fix, CASE WHEN regexp_matches(s, '^Revert \".*\"') THEN regexp_extract(s, '^Revert \"(.*)\"', 1) END AS reverted_subject, array_to_string(regexp_extract_all(lower(s), 'this reverts commit ([0-9a-f]{{7,}})', 1), ',') AS reverted_hashes FROM (SELECT p_partkey, {_SUBJECT} AS s FROM part)")
 def p20_subjects(spark, d):
-    s = "CASE p_partkey % 5 WHEN 0 THEN concat('Fix ', p_name) WHEN 1 THEN concat('Revert \"', p_name, '\"') WHEN 2 THEN concat('This reverts commit abcdef', CAST(p_partkey AS STRING), ' now') WHEN 3 THEN concat('fixture ', p_name) ELSE p_name END AS s"
-    return H.subject_facts(table(spark, d, "part").selectExpr("p_partkey", s), "s").drop("s")
+    rows = H.subject_facts(table(spark, d, "part").select("p_partkey", F.expr(_SUBJECT).alias("s")), "s")
+    return rows.select("p_partkey", "is_fix", "reverted_subject", F.array_join("reverted_hashes", ",").alias("reverted_hashes"))
 
 
-@query("WITH x AS (SELECT l_orderkey AS c, list(l_returnflag) AS m, count(*) FILTER (l_discount > 0.09) AS f FROM lineitem GROUP BY ALL) SELECT c, len(m) > 0 AND f = 0 AND len(list_filter(m, lambda v: v <> 'A')) = 0 AS capacity_only FROM x")
-def p21_capacity_only(spark, d):
-    flag = F.when(F.col("l_returnflag") == "A", "sloc").otherwise("globals")
-    x = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("c")).agg(F.collect_list(flag).alias("metrics"), F.collect_list(F.when(F.col("l_discount") > 0.09, F.lit("e"))).alias("fired"))
-    return x.withColumn("block", F.lit(True)).withColumn("reason", F.lit("")).select("c", H.capacity_only(x).alias("capacity_only"))
+_REASON = "CASE l_orderkey % 7 WHEN 0 THEN 'fixed up by x' WHEN 1 THEN 'reverted by x' ELSE 'too large' END"
 
 
-@query("SELECT l_orderkey, s.seq, n.next FROM (SELECT DISTINCT l_suppkey, l_orderkey, l_orderkey AS seq FROM lineitem WHERE l_linenumber = 1 AND l_quantity > 45) s LEFT JOIN LATERAL (SELECT min(l2.l_orderkey) AS next FROM lineitem l2 WHERE l2.l_suppkey = s.l_suppkey AND l2.l_linenumber = 2 AND l2.l_orderkey > s.seq AND l2.l_orderkey <= s.seq + 500) n ON TRUE")
-def j22_look_ahead(spark, d):
-    x = table(spark, d, "lineitem")
-    rows = x.where("l_linenumber = 1 and l_quantity > 45").selectExpr("l_suppkey", "l_orderkey AS seq").distinct()
-    later = x.where("l_linenumber = 2").selectExpr("l_suppkey", "l_orderkey AS seq").distinct()
-    return M.first_within(rows, later, ["l_suppkey"], 500).selectExpr("seq AS l_orderkey", "seq", "next")
+@query(f"WITH x AS (SELECT l_orderkey AS c, l_orderkey % 4 <> 0 AS block, {_REASON} AS reason, list(l_returnflag) FILTER (l_linenumber > 2) AS m, count(*) FILTER (l_discount > 0.09) AS f FROM lineitem GROUP BY ALL) SELECT c, block AND reason = 'too large' AND len(coalesce(m, [])) > 0 AND f = 0 AND len(list_filter(coalesce(m, []), lambda v: v = 'R')) = 0 AS capacity_only FROM x")
+def p21_capacity_only(spark, d):
+    flag = F.when(F.col("l_linenumber") > 2, F.when(F.col("l_returnflag") == "R", "globals").otherwise("sloc"))
+    x = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("c")).agg(F.collect_list(flag).alias("metrics"), F.collect_list(F.when(F.col("l_discount") > 0.09, F.lit("e"))).alias("fired"))
+    x = x.withColumn("block", F.expr("c % 4 <> 0")).withColumn("reason", F.expr(_REASON.replace("l_orderkey", "c")))
+    return x.select("c", H.capacity_only(x).alias("capacity_only"))
\ No newline at end of file

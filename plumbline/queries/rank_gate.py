@@ -36,7 +36,7 @@ def _limits(spark, d) -> DataFrame:
 
 
 def _ranked(spark, d) -> DataFrame:
-    return rank.rank_rows(_estimated(spark, d), gate.headroom(_limits(spark, d)))
+    return rank.rank_rows(gate.with_headroom(_estimated(spark, d), SHIPPED))
 
 
 def rank_flagship(spark: SparkSession, d: str) -> DataFrame:
@@ -142,14 +142,6 @@ def g17_notices(spark, d):
     return gate.stale_exemptions(_exemptions(spark), gate.merge_findings(_findings(spark, d)), TODAY)
 
 
-def k3_annotations(spark, d):
-    """Ten errors and ten warnings are shown, the rest counted."""
-    out = gate.merge_findings(_findings(spark, d))
-    first = F.row_number().over(Window.partitionBy("kind").orderBy("package", "ord"))
-    # a rank within kind: only the first ten of each matter, and each task keeps no more of a kind than that
-    return out.withColumn("rn", first).groupBy("kind").agg(F.count_if(F.col("rn") <= 10).alias("shown"), F.count_if(F.col("rn") > 10).alias("hidden"))
-
-
 def p1_value_by_name(spark, d):
     return gate.to_long(package_metrics(spark, d), ["sloc", "has_tests", "coverage_pct", "churn_commits"], ["package"]).withColumn("ok", F.col("value").isNotNull())
 
@@ -159,18 +151,12 @@ def p3_deltas(spark, d):
     return pairs.select("package", *[S.delta(f"h_{m}", f"b_{m}").cast("double").alias(m) for m in ("sloc", "dup_blocks", "duplication_pct", "duplicated_lines", "changed_func_cognitive_max")])
 
 
-def p4_invalid(spark, d):
-    """Packages that break a cross-field rule, with what they break."""
-    rows = package_metrics(spark, d)
-    tests = [("untested_exports above exported_symbols", "untested_exports > exported_symbols"), ("documented_exports above exported_symbols", "documented_exports > exported_symbols"), ("has_tests without test_files", "has_tests = 1 and test_files = 0"), ("largest_file_sloc above sloc", "largest_file_sloc > sloc")]
-    bad = F.array_compact(F.array(*[F.when(F.expr(e), F.lit(t)) for t, e in tests]))
-    return rows.select("package", F.array_join(bad, "; ").alias("problems")).where("problems <> ''")
-
-
 def p10_coverage_source(spark, d):
-    pairs = _pairs(spark, d)
-    h, b = F.col("h_duplicated_lines").isNotNull(), F.col("b_duplicated_lines").isNotNull()
-    return pairs.select("package", F.when(h & (~F.col("has_row") | b), "covered").otherwise("counted").alias("source"))
+    """P10: a rule that reads coverage judges the covered figure where head has it, and the baseline if there is one."""
+    pairs = gate.pair_rows(package_metrics(spark, d), package_metrics(spark, d, base=True), ["untested_exports", "coverage_pct"])
+    h, b = (F.when(F.col(f"{k}_coverage_pct").isNotNull(), F.floor(F.col(f"{k}_untested_exports") / 2)) for k in "hb")
+    value, base = gate.covered_values(F.col("h_untested_exports"), F.col("b_untested_exports"), h, b, F.col("has_row"))
+    return pairs.select("package", value.cast("bigint").alias("value"), base.cast("bigint").alias("base"))
 
 
 def x3_coupling(spark, d):
@@ -185,7 +171,7 @@ def x1_rounding(spark, d):
     return rows.select("p_partkey", S.round_to(v, 1).alias("one"), S.round_to(v, 2).alias("two"), S.round_to(v, 3).alias("three"), S.round_to(-v, 1).alias("negative"))
 
 
-QUERIES = {f.__name__: f for f in (rank_flagship, x4_rebuild_terms, x5_human_days, x6_understanding, x8_levels, o1_sort_keys, o2_hotter, o3_drivers, a21_driver_shares, a31_module_totals, g11_ceilings, g12_headroom, r33_meters, g1_findings, j25_language_rules, g2_notes, g9_merged, j17_exempted, g1_verdicts, g17_notices, k3_annotations, p1_value_by_name, p3_deltas, p4_invalid, p10_coverage_source, x3_coupling, x1_rounding)}
+QUERIES = {f.__name__: f for f in (rank_flagship, x4_rebuild_terms, x5_human_days, x6_understanding, x8_levels, o1_sort_keys, o2_hotter, o3_drivers, a21_driver_shares, a31_module_totals, g11_ceilings, g12_headroom, r33_meters, g1_findings, j25_language_rules, g2_notes, g9_merged, j17_exempted, g1_verdicts, g17_notices, p1_value_by_name, p3_deltas, p10_coverage_source, x3_coupling, x1_rounding)}
 
 
 def _num(v: str) -> str:
@@ -259,7 +245,7 @@ k AS (SELECT *, {_KEEPER} AS keeper FROM (SELECT *, list(metric) OVER (PARTITION
 gone AS (SELECT package, severity, side, keeper AS metric, string_agg(metric, ',' ORDER BY pl) AS also, string_agg(told, '; ' ORDER BY pl) AS told FROM (
   SELECT *, CASE metric {' '.join(f"WHEN '{d}' THEN {i}" for d, i in _PLACE.items())} END AS pl,
     metric || ' ' || CASE WHEN has_base THEN {_num(_r('base', 2))} || ' -> ' || {_num(_r('head', 2))} ELSE {_num(_r('head', 2))} END || ', ' || label AS told FROM k WHERE keeper IS NOT NULL) GROUP BY ALL),
-mg AS (SELECT k.package, k.ord, k.metric, CASE WHEN NOT warning AND k.severity = 'fail' THEN 'violation' ELSE 'warning' END AS kind, k.severity, k.warning,
+mg AS (SELECT k.package, k.ord, k.metric, CASE WHEN NOT warning AND k.severity = 'fail' THEN 'violation' ELSE 'warning' END AS kind, k.severity, k.warning, k.base, k.head, k.has_base,
   label || coalesce('; ' || g.told, '') AS label, coalesce(g.also, '') AS also
   FROM k LEFT JOIN gone g ON g.package = k.package AND g.severity = k.severity AND g.side = k.side AND g.metric = k.metric AND NOT k.warning WHERE keeper IS NULL),
 valid AS (SELECT * FROM {EXEMPTIONS_SQL} WHERE trim(reason) <> '' AND (expires IS NULL OR expires >= DATE '{TODAY}')),
@@ -288,11 +274,9 @@ SQL = {
     "j17_exempted": f"{_MGX} SELECT package, ord, metric, reason FROM mx WHERE reason IS NOT NULL",
     "g1_verdicts": f"{_MGX} SELECT h.package, count(mx.ord) FILTER (kind = 'violation' AND reason IS NULL) AS violations, count(mx.ord) FILTER (kind = 'warning' AND reason IS NULL) AS warnings, count(reason) AS exempted, count(mx.ord) FILTER (kind = 'violation' AND reason IS NULL) = 0 AS passed FROM hm h LEFT JOIN mx ON mx.package = h.package GROUP BY h.package",
     "g17_notices": f"{_MGX} SELECT ord, package, metric, notice FROM (SELECT ord, package, metric, CASE WHEN expires < DATE '{TODAY}' THEN 'expired' WHEN (package, metric) NOT IN (SELECT package, one FROM ask) THEN 'stale' END AS notice FROM {EXEMPTIONS_SQL}) WHERE notice IS NOT NULL",
-    "k3_annotations": f"{_MERGED} SELECT kind, least(count(*), 10) AS shown, greatest(count(*) - 10, 0) AS hidden FROM mg GROUP BY kind",
     "p1_value_by_name": f"SELECT package, metric, value, value IS NOT NULL AS ok FROM ({_long(metrics_sql(), ['sloc', 'has_tests', 'coverage_pct', 'churn_commits'], 'package')})",
     "p3_deltas": f"SELECT h.package, " + ", ".join(f"CAST(h.{m} - coalesce(b.{m}, 0) AS DOUBLE) AS {m}" for m in ("sloc", "dup_blocks", "duplication_pct", "duplicated_lines", "changed_func_cognitive_max")) + f" FROM {metrics_sql()} h LEFT JOIN {metrics_sql(True)} b ON b.package = h.package",
-    "p4_invalid": f"SELECT package, problems FROM (SELECT package, concat_ws('; ', CASE WHEN untested_exports > exported_symbols THEN 'untested_exports above exported_symbols' END, CASE WHEN documented_exports > exported_symbols THEN 'documented_exports above exported_symbols' END, CASE WHEN has_tests = 1 AND test_files = 0 THEN 'has_tests without test_files' END, CASE WHEN largest_file_sloc > sloc THEN 'largest_file_sloc above sloc' END) AS problems FROM {metrics_sql()}) WHERE problems <> ''",
-    "p10_coverage_source": f"SELECT h.package, CASE WHEN h.duplicated_lines IS NOT NULL AND (b.package IS NULL OR b.duplicated_lines IS NOT NULL) THEN 'covered' ELSE 'counted' END AS source FROM {metrics_sql()} h LEFT JOIN {metrics_sql(True)} b ON b.package = h.package",
+    "p10_coverage_source": f"SELECT h.package, CAST(CASE WHEN ok THEN floor(h.untested_exports / 2) ELSE h.untested_exports END AS BIGINT) AS value, CAST(CASE WHEN ok THEN floor(b.untested_exports / 2) ELSE b.untested_exports END AS BIGINT) AS base FROM (SELECT h.package, h.untested_exports, h.coverage_pct IS NOT NULL AND (b.package IS NULL OR b.coverage_pct IS NOT NULL) AS ok FROM {metrics_sql()} h LEFT JOIN {metrics_sql(True)} b ON b.package = h.package) h LEFT JOIN {metrics_sql(True)} b ON b.package = h.package",
     "x3_coupling": f"SELECT package, {_r('i', 2)} AS instability, {_r('a', 2)} AS abstractness, {_r('abs(a + i - 1)', 2)} AS distance FROM (SELECT package, CASE WHEN internal_imports + fan_in > 0 THEN CAST(internal_imports AS DOUBLE) / (internal_imports + fan_in) ELSE 0.0 END AS i, CASE WHEN types > 0 THEN CAST(abstract_types AS DOUBLE) / types ELSE 0.0 END AS a FROM {metrics_sql()})",
     "x1_rounding": f"SELECT p_partkey, {_r('v', 1)} AS one, {_r('v', 2)} AS two, {_r('v', 3)} AS three, {_r('-v', 1)} AS negative FROM (SELECT p_partkey, p_retailprice * p_size / 7 AS v FROM part)",
 }

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plumbline.operators import duplication as D
@@ -33,21 +34,38 @@ tw AS (SELECT stream, g FROM h GROUP BY ALL HAVING count(*) > 1),
 c AS (SELECT DISTINCT stream, file, unnest(range(pos, pos + {LEAST})) AS pos FROM h JOIN tw USING (stream, g))"""
 
 
-@query(_COV + " SELECT t.stream, t.file, count(c.pos) AS covered, count(*) AS total, round(count(c.pos) / count(*) * 1000) / 10 AS pct FROM t LEFT JOIN c USING (stream, file, pos) GROUP BY t.stream, t.file")
+_TLINE = "SELECT lang AS stream, doc_id AS file, generate_subscripts(w, 1) - 1 AS pos, unnest(w).line AS line FROM (SELECT lang, doc_id, flatten(list_transform(string_split(coalesce(text, ''), chr(10)), lambda l, i: list_transform(list_filter(regexp_split_to_array(l, '\\s+'), lambda x: x <> ''), lambda x: {'line': i}))) AS w FROM documents)"
+
+
+@query(
+    _COV
+    + f""", n AS ({_TLINE}), hit AS (SELECT n.stream, n.file, count(DISTINCT n.line) AS lines FROM n JOIN c USING (stream, file, pos) GROUP BY ALL), al AS (SELECT stream, file, count(DISTINCT line) AS sloc FROM n GROUP BY ALL),
+k AS (SELECT t.stream, t.file, count(c.pos) AS covered, count(*) AS total FROM t LEFT JOIN c USING (stream, file, pos) GROUP BY t.stream, t.file)
+SELECT k.*, coalesce(lines, 0) AS lines, sloc, round(coalesce(lines, 0) / sloc * 1000) / 10 AS pct FROM k JOIN al USING (stream, file) LEFT JOIN hit USING (stream, file)"""
+)
 def a14_duplication_pct(spark, d):
-    """A14, W4, X: the share of each document's words in a repeat of 30 words or more."""
+    """The tokens and lines of each document in a repeat of 30 words or more."""
     return D.coverage(_words(spark, d), LEAST)
 
 
 @query(_COV + " SELECT stream, file, count(*) AS covered FROM c GROUP BY stream, file")
 def h1_h3_block_coverage(spark, d):
-    """H1-H3, H8: the same coverage from the repeats that the suffix array finds."""
+    """The same coverage from the repeats that the suffix arrays find."""
     blocks = D.file_blocks(_words(spark, d), LEAST)
-    inside = blocks.select("stream", "file", F.explode(F.sequence("pos", F.col("pos") + F.col("tokens") - 1)).alias("p")).distinct()
-    return inside.groupBy("stream", "file").agg(F.count("*").alias("covered"))
+    w = Window.partitionBy("stream", "file").orderBy("pos", "tokens")
+    seen = F.max(F.col("pos") + F.col("tokens")).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    new = blocks.withColumn("new", F.greatest(F.col("pos") + F.col("tokens") - F.greatest("pos", F.coalesce(seen, F.lit(0))), F.lit(0)))
+    return new.groupBy("stream", "file").agg(F.sum("new").alias("covered"))
 
 
 @query()
 def h7_blocks(spark, d):
-    """Every block's occurrences with its anchors, longest first; the tests hold it against brute force."""
-    return D.file_blocks(_words(spark, d), LEAST).orderBy(F.col("tokens").desc(), "stream", "block", "file", "pos")
+    """Every block's occurrences with anchors and kind, literal tables cut out, longest first; the tests
+    hold it against brute force."""
+    return D.file_blocks(_words(spark, d), LEAST, ignore_literals=True).orderBy(F.col("tokens").desc(), "stream", "grp", "block", "file", "pos")
+
+
+@query()
+def a14_block_counts(spark, d):
+    """Blocks, code blocks and occurrences of each stream."""
+    return D.block_counts(D.file_blocks(_words(spark, d), LEAST, ignore_literals=True))

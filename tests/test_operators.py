@@ -115,14 +115,68 @@ def test_periodic_run():
     assert D.repeats(np.zeros(3000, np.int64), 60)[0].length == 2999
 
 
-def test_literals():
-    codes, lit = np.array([1, 2, 9, 9, 9, 3, 4] * 2), np.array([False, False, True, True, True, False, False] * 2)
-    found = D.repeats(codes, 2)
-    assert D.drop_literal_only([D.Repeat(3, (2, 9))], lit) == []
-    assert {(r.length, r.places[0]) for r in D.split_at_literals([D.Repeat(7, (0, 7))], lit, 2)} == {(2, 0), (2, 5)}
-    assert D.drop_literal_only(found, lit) == found
+def test_smaller_neighbours():
+    rng = random.Random(2)
+    for _ in range(200):
+        v = [rng.randint(0, 5) for _ in range(rng.randint(1, 40))]
+        before, after = D.smaller_neighbours(np.array(v))
+        for i, x in enumerate(v):
+            assert before[i] == max((j for j in range(i) if v[j] < x), default=-1)
+            assert after[i] == min((j for j in range(i + 1, len(v)) if v[j] < x), default=len(v))
+
+
+def test_literal_tables_are_cut_out():
+    lit = np.array([False, False, True, True, True, False, False] * 2)
+    assert D.without_literals([D.Repeat(3, (2, 9))], lit, 2) == []
+    assert {(r.length, r.places) for r in D.without_literals([D.Repeat(7, (0, 7))], lit, 2)} == {(2, (0, 7)), (2, (5, 12))}
+    assert D.without_literals([D.Repeat(7, (0, 7))], lit, 4) == [D.Repeat(7, (0, 7))]  # a table of three divides nothing at four
+    assert D.without_literals([D.Repeat(7, (0, 7))], np.zeros(14, bool), 4) == [D.Repeat(7, (0, 7))]
     assert D.fnv(np.array([], np.int64)) == 14695981039346656037
-    assert D.block_kind({"decl", "idiom"}, []) == "idiom" and D.block_kind({"code"}, [(1, 1, 5), (1, 5, 9)]) == "self_overlap"
+    code, decl, idiom = (np.array([i]) for i in range(3))
+    assert [D.kind_of(s, o) for s, o in ((code, False), (code, True), (decl, True), (np.array([1, 2]), False), (idiom, False))] == ["code", "self-overlap", "declarative", "idiom", "idiom"]
+
+
+def whole_repeats(text, least):
+    """Surviving maximal repeats by comparing every pair of places."""
+    n = len(text)
+    longest = [0] * n
+    for i in range(n):
+        for j in range(i):
+            k = 0
+            while i + k < n and j + k < n and text[i + k] == text[j + k] and isinstance(text[i + k], int):
+                k += 1
+            longest[i], longest[j] = max(longest[i], k), max(longest[j], k)
+    out, reach = set(), 0
+    for q in range(n):
+        if longest[q] >= least and q + longest[q] > reach:
+            run = text[q : q + longest[q]]
+            out.add((longest[q], tuple(p for p in range(n - longest[q] + 1) if text[p : p + longest[q]] == run)))
+        reach = max(reach, q + longest[q])
+    return out
+
+
+def test_file_blocks_are_brute_force(spark):
+    """Blocks over connected groups are the blocks of the whole stream, file by file."""
+    rng = random.Random(11)
+    files = []
+    for f in range(14):
+        codes = [rng.randint(0, 4) for _ in range(rng.randint(0, 25))]
+        if f % 3 == 1:
+            codes += files[0][2] + [rng.randint(50, 60)]
+        files.append(("s", f, codes))
+    rows = [(s, f, c, [i // 4 for i in range(len(c))], [x == 4 for x in c], [0] * len(c)) for s, f, c in files]
+    df = spark.createDataFrame(rows, "stream string, file long, codes array<long>, lines array<int>, literal array<boolean>, shape array<int>")
+    got = {}
+    for r in D.file_blocks(df, 6).collect():
+        got.setdefault((r.grp, r.block), (r.tokens, set()))[1].add((r.file, r.pos))
+    line, where = [], []
+    for _, f, c in files:
+        line += [*c, f"end{f}"]
+        where += [(f, i) for i in range(len(c) + 1)]
+    want = {(n, frozenset(where[p] for p in places)) for n, places in whole_repeats(line, 6)}
+    assert {(n, frozenset(p)) for n, p in got.values()} == want and len(want) >= 3
+    for r in D.file_blocks(df, 6, ignore_literals=True).collect():
+        assert r.tokens >= 6 and (r.first_line, r.last_line) == (r.pos // 4, (r.pos + r.tokens - 1) // 4)
 
 
 def test_ols_against_dense(spark):
@@ -160,6 +214,10 @@ def test_globs():
     import re
 
     ok = lambda g, p: bool(re.search(S.glob_regex(g), p))
+    assert ok("gen/[ab].go", "gen/b.go") and not ok("gen/[ab].go", "gen/c.go") and ok("gen/[^a-c].go", "gen/z.go") and ok(r"a/\\*", "a/*")
+    for bad in ("", " ", "/abs/x", "a//b", "a/../b", "./a", "a/b**", "**x/a", "a/[b", "a/[]"):
+        with pytest.raises(S.BadPattern):
+            S.glob_regex(bad)
     assert ok("internal/**", "internal/a/b") and ok("**/gen", "a/b/gen/c.go") and ok("a/*", "a/b/c") and ok("**/x", "x")
     assert not ok("a/*", "b/a") and not ok("*/docs", "docs") and not ok("a?", "abc")
 
