@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalar import round_to
@@ -86,3 +86,53 @@ def mean_ranks(rows: DataFrame, key: str, value: str, name: str) -> DataFrame:
     w = Window.partitionBy(key).orderBy(value)
     ties = F.count("*").over(Window.partitionBy(key, value))
     return rows.withColumn(name, F.rank().over(w) + (ties - 1) / 2)
+
+
+POOLS = ("all rows", "cloned-module rows only", "functions of all rows", "module rows")
+STD, MODULE_ROW = "std", "<module>"
+
+
+def pool_of(metric: str, module_wide: tuple[str, ...] = ("dup_blocks_cross_pkg",)) -> str:
+    """Which rows a metric is fitted from."""
+    if metric == "internal_imports":
+        return POOLS[1]
+    if metric == "changed_func_cognitive_max":
+        return POOLS[2]
+    return POOLS[3] if metric in module_wide else POOLS[0]
+
+
+def in_pool(pool: str, module: Column, package: Column) -> Column:
+    """A module row is of the module rows only; a package row of every other pool, but std's not of the cloned."""
+    whole = package == MODULE_ROW
+    if pool == POOLS[3]:
+        return whole
+    return ~whole & (module != STD) if pool == POOLS[1] else ~whole
+
+
+def one_language(rows: DataFrame) -> DataFrame:
+    """module of each row, distinct and in order; rows of two languages are refused."""
+    found = [r[0] for r in rows.select("language").distinct().limit(2).collect()]
+    if len(found) > 1:
+        raise ValueError(f"rows of two languages: {found[0]} and {found[1]}")
+    return rows.select("module").distinct().orderBy("module")
+
+
+def grouped_reasons(rows: DataFrame, reason: str, item: str) -> DataFrame:
+    """reason, n, first: items by reason, the largest group first, then the reason."""
+    return rows.groupBy(reason).agg(F.count("*").alias("n"), F.min(item).alias("first")).orderBy(F.col("n").desc(), reason)
+
+
+def first_chunks(spans: DataFrame, count: int = 2) -> DataFrame:
+    """package, place, file, first_line, last_line, lines: two places of a package's longest block. spans: package,
+    tokens, block, file, first_line, last_line. A block has two places or more, so the first two are one block's."""
+    w = Window.partitionBy("package").orderBy(F.col("tokens").desc(), "block", "file", "first_line")
+    rows = spans.withColumn("place", F.row_number().over(w)).where(F.col("place") <= count)
+    return rows.select("package", "place", "file", "first_line", "last_line", (F.col("last_line") - F.col("first_line") + 1).alias("lines"))
+
+
+def module_story(rows: DataFrame) -> DataFrame:
+    """One row about a module: packages, days to a tenth, packages by band and the share of the code to split first."""
+    n = F.count("*")
+    band = lambda b: F.count_if(F.col("band") == b).alias(b)
+    tokens = F.sum(F.col("tokens_est"))
+    return rows.agg(n.alias("packages"), (F.sum(F.round(F.col("days") * 10).cast("bigint")) / 10).alias("days"), band("split"), band("watch"), band("fine"), (F.sum(F.when(F.col("band") == "split", F.col("tokens_est")).otherwise(0)) * 1000 / tokens).cast("bigint").alias("split_permille"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chosen, cross, exports, facts, facts2, formats, history, more, rank_gate, replay, reports, settings, stats, tokens, validation
+from . import chosen, cross, exports, facts, facts2, formats, history, more, rank_gate, replay, reports, rest, settings, stats, tokens, validation
 
-MODULES = (rank_gate, facts, facts2, cross, exports, history, replay, validation, stats, tokens, formats, more, settings, chosen, reports)
+MODULES = (rank_gate, facts, facts2, cross, exports, history, replay, validation, stats, tokens, formats, more, settings, chosen, reports, rest)
 
 
 def queries() -> dict:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 LOG_SCHEMA = "v int, event string, time string, commit string, module string, package string, metric string, config_version string, block struct<kind: string, base: double, head: double, limit: string, also: array<string>>, pass struct<exists: boolean, value: double, exempted: boolean>"
 
@@ -64,13 +63,21 @@ def nearest_module(dirs: DataFrame, markers: DataFrame, directory: str = "dir")
     return dirs.join(best, directory, "left")
 
 
+def languages(files: DataFrame, markers: dict[str, str]) -> DataFrame:
+    """root, n, language of every root of files (root, path): how many languages have a marker there, and which one if
+    it is the only one."""
+    name = F.element_at(F.split("path", "/"), -1)
+    found = F.array_compact(F.array(*[F.when(name == marker, F.lit(lang)) for lang, marker in sorted(markers.items())]))
+    rows = files.select("root", F.explode_outer(found).alias("language")).groupBy("root").agg(F.collect_set("language").alias("l"))
+    return rows.select("root", F.size("l").cast("bigint").alias("n"), F.when(F.size("l") == 1, F.get("l", 0)).alias("language"))
+
+
 def detect_language(files: DataFrame, markers: dict[str, str]) -> str:
     """The one language whose marker file is there; an error without one or with several."""
-    names = files.select(F.element_at(F.split("path", "/"), -1).alias("n")).where(F.col("n").isin(*markers.values())).distinct()
-    found = sorted({k for k, v in markers.items() for r in names.collect() if r[0] == v})
-    if len(found) != 1:
-        raise ValueError(f"want one language, found {found or 'none'}")
-    return found[0]
+    got = languages(files.select(F.lit(".").alias("root"), "path"), markers).first()
+    if got is None or got["n"] != 1:
+        raise ValueError(f"want one language, found {got['n'] if got else 0}")
+    return got["language"]
 
 
 def classify_path(path: Column) -> Column:
@@ -101,7 +108,3 @@ def go_imports(text: Column) -> Column:
 def write_single(df: DataFrame, path: str) -> None:
     """A small result as one JSON file, nulls kept."""
     df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value")).coalesce(1).write.mode("overwrite").text(path)
-
-
-def metric_schema(metrics: list[str]) -> T.StructType:
-    return T.StructType([T.StructField("package", T.StringType()), T.StructField("role", T.StringType()), *[T.StructField(m, T.DoubleType()) for m in metrics]])

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from plumbline.operators import model, rank, selection
-from plumbline.plans import config
+from plumbline.plans import config, sweep
 from plumbline.plans.rules import SHIPPED, TYPESCRIPT, Rule, merge_rules, rule_views
 from plumbline.sinks import report
+from plumbline.sources import store
 
 
 def test_conditions():
@@ -114,3 +115,26 @@ def test_observations_are_medians_of_passing_runs(spark):
     rows = [("a", True, 10.0, 1.0), ("a", True, 30.0, 1.0), ("a", False, 99.0, 1.0), ("a", True, None, 1.0), ("b", False, 5.0, 2.0)]
     got = model.observations(spark.createDataFrame(rows, "package string, passed boolean, tokens double, volume double"), ["volume"]).collect()
     assert [(r.package, r.volume, r.tokens) for r in got] == [("a", 1.0, 20.0)]
+
+
+def test_torn_and_bad_lines(spark, tmp_path):
+    path = tmp_path / "commits.jsonl"
+    read = lambda: sorted(r.commit for r in store.read_lines(spark, str(path), "commit string, n bigint", "commit").collect())
+    path.write_text('{"commit":"a","n":1}\n\n{"commit":"b"}\n{"commit":"c"}')
+    assert read() == ["a", "b"]  # what an interrupted write left goes
+    path.write_text('{"commit":"a"}\n{"commit":"c"}\n')
+    assert read() == ["a", "c"]
+    path.write_text('{"commit":"a"}\nnot json\n{"commit":"c"}\n')
+    with pytest.raises(store.BadLine):
+        read()
+
+
+def test_settings_of_a_sweep():
+    r = Rule("sloc", "capacity", max=1000, over_max_delta=150)
+    assert sweep.limits(r) == ["max", "over_max_delta"] and str(sweep.shipped(r, "max")) == "max 1000"
+    assert [s.value for s in sweep.grid(r, "max")] == [500, 750, 1000, 1250, 1500, 2000, 3000, 5000]
+    assert sweep.grid(r, "over_max_delta")[0].value == 0 and sweep.grid(r, "over_max_delta")[-1].value == 500
+    d = Rule("dup", "density", max_delta=6, max=40, floor=10)
+    assert sweep.grid(d, "max")[-1] == sweep.Setting("max", None) and sweep.applied(d, sweep.Setting("max", None)).max is None
+    g = Rule("has_tests", "requirement", require=True, when_metric="sloc", when_value=100)
+    assert str(sweep.grid(g, "when")[-1]) == "no guard" and sweep.applied(g, sweep.Setting("when", None)).when_metric is None and sweep.applied(g, sweep.Setting("when", 5.0)).when_value == 5.0

@@ -7,9 +7,10 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
+from plumbline import queries as reference
 
-SQL = entry.oracle_sql()
-QUERIES = entry.queries()
+SQL = reference.oracle_sql()
+QUERIES = reference.queries()
 
 
 @pytest.fixture(scope="module")
@@ -51,4 +52,4 @@ def test_entry(spark):
 
 
 def test_sql_names_have_queries():
-    assert set(SQL) <= set(QUERIES)
+    assert set(entry.oracle_sql()) <= set(entry.queries()) and set(QUERIES) <= set(entry.queries())
