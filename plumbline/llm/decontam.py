@@ -2,23 +2,29 @@
 
 Texts become templates: numbers, names (capitalised words) and units of measure are replaced by typed
 placeholders, all else is lower-cased and stripped of punctuation. Windows of `width` template tokens with
-at least `literal` literal ones are hash-joined with those of the benchmark items. Of the windows that meet,
+at least `literal` literal ones are hash-joined with those of the benchmark items. Beside them the windows of the
+plain words in lower case are joined, however few are literal, so that a verbatim copy is caught in any case. Items
+shorter than the width are looked for at their own length. Of the windows that meet,
 the values behind the placeholders are compared: along one alignment of a document with an item each item
 value must always stand for the same document value (the slots are consistent), so a re-parameterised
 question is caught, while windows that only look alike in their literals are told apart.
 
 The benchmark side is broadcast only up to `broadcast_rows` windows (counted first); beyond, the join is a
-shuffle join. Nulls: a null or empty text has no windows. Texts with fewer than `width` tokens are
-compared as one whole window. Repeated rows give equal rows. Empty tables give empty results.
+shuffle join. Nulls: a null or empty text has no windows. Repeated rows give equal rows; of alignments with as many
+windows the earliest counts. Texts of any length are windowed whole. Columns besides doc_id, item_id and text are
+ignored, whatever their names. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 
 @dataclass(frozen=True)
 class LeakParams:
@@ -38,19 +44,23 @@ NUM, NAME, UNIT = "\u0001n", "\u0001p", "\u0001u"
 
 
 def spaced(text: Column) -> Column:
-    """The words of a text, each between two spaces of its own."""
-    return F.concat(F.lit(" "), F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\p{M}\p{N}%$€£]+", "  "), F.lit(" "))
+    """The words of a text, each after one space."""
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{L}\p{M}\p{N}%$€£]+", " ")))
 
 
 def templated(words: Column) -> Column:
-    """The spaced words with typed placeholders for numbers, names and units, the rest in lower case."""
+    """The spaced words with typed placeholders for numbers and names, the rest in lower case."""
     numbers = F.regexp_replace(words, r" [%$€£]*\p{N}[^ ]*", " " + NUM)
-    names = F.regexp_replace(numbers, r" \p{Lu}\p{Ll}[^ ]*", " " + NAME)
-    return F.regexp_replace(F.lower(names), f" ({'|'.join(UNITS.split())}) ", f" {UNIT} ")
+    return F.lower(F.regexp_replace(numbers, r" \p{Lu}\p{Ll}[^ ]*", " " + NAME))
 
 
 def listed(words: Column) -> Column:
-    return F.filter(F.split(words, " +"), lambda w: w != "")
+    return F.filter(F.split(F.substring(words, 2, 1 << 30), " "), lambda w: w != "")
+
+
+def unit_or(token: Column) -> Column:
+    """Units among a template's tokens become their placeholder."""
+    return F.when(token.isin(*UNITS.split()), F.lit(UNIT)).otherwise(token)
 
 
 def _held(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -58,11 +68,40 @@ def _held(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
-def windows(df: DataFrame, width: int) -> DataFrame:
-    """Adds `at` (from 1) and `window` (hash) for every window of the column `tpl`; shorter texts have one."""
-    starts = F.sequence(F.lit(1), F.greatest(F.size("tpl") - width + 1, F.lit(1)))
-    hashes = F.when(F.size("tpl") > 0, F.transform(starts, lambda i: F.xxhash64(F.slice("tpl", i, width))))
-    return df.select(*[c for c in df.columns if c != "tpl"], F.posexplode(hashes).alias("at0", "window")).withColumn("at", F.col("at0") + 1).drop("at0")
+def tokenized(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
+    """keep, own (the words) and tpl (the template's tokens) of each text."""
+    out = _held(df.select(*keep, spaced(F.col(text)).alias("w")), "tpl", F.transform(listed(templated(F.col("w"))), unit_or))
+    return out.select(*keep, listed(F.col("w")).alias("own"), "tpl")
+
+
+def run_hashes(df: DataFrame, column: str, width: int, name: str) -> DataFrame:
+    """Adds the hashes of every run of `width` of the column's hashes. A run is hashed from the hashes of two shorter
+    ones, twice as long each time, so no run is ever copied out."""
+    out, made, n = df.withColumn(f"{name}1", F.col(column)), f"{name}1", 1
+    while n < width:
+        step = min(n, width - n)
+        pair = lambda h, i: F.xxhash64(h, F.get(F.col(made), i + step))  # noqa: B023,E731
+        runs = F.transform(F.slice(F.col(made), F.lit(1), F.greatest(F.size(made) - step, F.lit(0))), pair)
+        n += step
+        out, made = _held(out, f"{name}{n}", runs), f"{name}{n}"
+    return out.withColumn(name, F.col(made))
+
+
+def windows(df: DataFrame, text: str, widths: list[int], keep: list[str]) -> DataFrame:
+    """keep, at (from 1), window (hash) and plain of every window of the template, and of every window of the plain
+    words in lower case that isn't the template's too. plain: it has no placeholder. Texts shorter than a width have
+    none of it."""
+    rows = _held(df.select(*keep, spaced(F.col(text)).alias("w")), "th", F.transform(listed(templated(F.col("w"))), lambda t: F.xxhash64(unit_or(t))))
+    rows = _held(rows, "ph", F.transform(listed(F.lower("w")), lambda t: F.xxhash64(t))).select(*keep, "th", "ph")
+    out = None
+    for width in widths:
+        made = run_hashes(run_hashes(rows.where(F.size("th") >= width), "th", width, "t"), "ph", width, "p").select(*keep, "t", "p")
+        spot = lambda h, i, plain: F.struct((i + 1).alias("at"), h.alias("window"), plain.alias("plain"))
+        first = F.transform("t", lambda h, i: spot(h, i, h == F.get("p", i)))
+        other = F.filter(F.transform("p", lambda h, i: F.when(h != F.get("t", i), spot(h, i, F.lit(True)))), lambda x: x.isNotNull())
+        part = made.select(*keep, F.explode(F.concat(first, other)).alias("x")).select(*keep, "x.at", "x.window", "x.plain")
+        out = part if out is None else out.unionAll(part)
+    return out
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, params: LeakParams = LeakParams()) -> DataFrame:
@@ -71,19 +110,29 @@ def find_leaks(docs: DataFrame, items: DataFrame, params: LeakParams = LeakParam
     One row for each document and item, for the alignment with most windows (then the earliest).
     """
     p = params
-    bench = _held(items.select("item_id", spaced(F.col("text")).alias("w")), "tpl", listed(templated(F.col("w")))).select("item_id", listed(F.col("w")).alias("own"), "tpl")
-    bench = _held(bench, "held", F.lit(1)).drop("held")
-    sides = windows(bench.select("item_id", "own", "tpl", F.col("tpl").alias("all")), p.width)
-    sides = sides.withColumn("part", F.slice("all", F.col("at"), p.width)).where((F.size(F.filter("part", lambda t: ~t.startswith("\u0001"))) >= p.literal) | ((F.size("all") < p.width) & (F.size("all") > 0)))
-    sides = sides.select("item_id", F.col("at").alias("item_at"), "window", F.greatest(F.size("all") - p.width + 1, F.lit(1)).alias("item_windows")).distinct()
+    bench = tokenized(items.select("item_id", "text"), "text", ["item_id"])
+    n = F.size("tpl")
+    # items shorter than the width are looked for at their own length
+    short = [r[0] for r in bench.where((n > 0) & (n < p.width)).select(n).distinct().collect()]  # fewer than the width
+    sides = []
+    for width in sorted({p.width, *short}):
+        met = windows(items, "text", [width], ["item_id"]).join(bench.select("item_id", "tpl"), "item_id")
+        literal = F.size(F.filter(F.slice("tpl", F.col("at"), width), lambda t: ~t.startswith("\u0001")))
+        met = met.where((F.col("plain") | (literal >= p.literal)) & (n >= width) if width == p.width else n == width)
+        sides.append(met.select("item_id", F.col("at").alias("item_at"), "window", (n - width + 1).alias("item_windows")))
+    sides = reduce(DataFrame.unionAll, sides).distinct()
     few = sides.limit(p.broadcast_rows + 1).count() <= p.broadcast_rows
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("k"))
-    rows = windows(_held(keyed.select("doc_id", "k", spaced(F.col("text")).alias("w")), "tpl", listed(templated(F.col("w")))).select("doc_id", "k", "tpl"), p.width)
+    rows = windows(keyed, "text", sorted({p.width, *short}), ["doc_id", "k"]).drop("plain")
     hits = rows.join(F.broadcast(sides) if few else sides, "window")
     # a document's windows on one alignment with an item: no more than the item has
     lines = hits.groupBy("doc_id", "k", "item_id", (F.col("at") - F.col("item_at")).alias("shift")).agg(F.collect_set("item_at").alias("ats"), F.max("item_windows").alias("item_windows"))
     lines = lines.where(F.size("ats") >= F.least(F.lit(p.least_windows), F.col("item_windows")))
-    texts = keyed.select(F.col("doc_id").alias("__id"), F.col("k").alias("__k"), "text").dropDuplicates(["__id", "__k"])
+    # only the texts that met an item go on; their keys are broadcast while they are few
+    lines = written(lines, "lines")
+    named = lines.select(F.col("doc_id").alias("__i"), F.col("k").alias("__j")).distinct()
+    named = F.broadcast(named) if lines.limit(p.broadcast_rows + 1).count() <= p.broadcast_rows else named
+    texts = keyed.select(F.col("doc_id").alias("__id"), F.col("k").alias("__k"), "text").join(named, (F.col("__k") == F.col("__j")) & F.col("__id").eqNullSafe(F.col("__i")), "left_semi").dropDuplicates(["__id", "__k"])
     met = lines.join(texts, (F.col("k") == F.col("__k")) & F.col("doc_id").eqNullSafe(F.col("__id"))).join(bench, "item_id")
     met = _held(met.select("doc_id", "k", "item_id", "shift", "ats", "own", "tpl", spaced(F.col("text")).alias("w")), "theirs", listed(F.col("w")))
     met = met.withColumn("covered", F.array_distinct(F.flatten(F.transform("ats", lambda a: F.sequence(a, F.least(a + p.width - 1, F.size("tpl")))))))
