@@ -1,6 +1,6 @@
 """Canonical exact fingerprints, in DataFrame operations only.
 
-Canonical form: Unicode NFKC, lower case, every run of white space one space, ends trimmed. The fingerprint
+Canonical form: Unicode NFKC, full case folding, every run of white space one space, ends trimmed. The fingerprint
 is four seeded 64-bit xxhashes of it in hex. Documents whose hashes are equal are compared byte by byte
 inside their bucket; where bytes differ after all, the bucket's fingerprints get the SHA-256 of the canonical
 form appended, so equal fingerprints always mean equal canonical text.
@@ -23,7 +23,8 @@ BROADCAST_BUCKETS = 300_000
 
 def canonical(text: Column) -> Column:
     composed = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(text, F.lit("")), F.lit(True))
-    return F.trim(F.regexp_replace(F.lower(composed), r"[\s\p{Z}]+", " "))
+    folded = F.reflect(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), composed, F.lit(True))
+    return F.trim(F.regexp_replace(folded, r"[\s\p{Z}]+", " "))
 
 
 def wide_hash(canon: Column) -> Column:

@@ -70,7 +70,7 @@ def _buckets(batch: list[tuple[int, str]], params: ToxicParams) -> tuple[np.ndar
         h = (h[: len(cps) - n + 1] ^ cps[n - 1 :]) * np.uint32(0x9E3779B1)
         h ^= h >> np.uint32(15)
         if n in params.orders:
-            ok = doc[: len(h)] == doc[n - 1 :]
+            ok = (doc[: len(h)] == doc[n - 1 :]) & (cps[: len(h)] != 0)
             pieces.append(doc[: len(h)][ok])
             found.append(((h[ok] * np.uint32(0x85EBCA77)) >> shift).astype(np.int64))
     if not found:

@@ -195,7 +195,7 @@ def test_chunks_resist_shifts_and_keep_text(spark, docs):
 
 def test_fingerprints(spark, docs):
     rows = sorted(((i, t or "") for i, t, *_ in corpus()), reverse=True)
-    can = lambda x: " ".join(unicodedata.normalize("NFKC", x).lower().split())
+    can = lambda x: " ".join(unicodedata.normalize("NFKC", x).casefold().split())
     got = {r.doc_id: r for r in fingerprint.fingerprint_edits(docs).collect()}
     assert len(got) == len(rows)
     prints = {}
@@ -214,7 +214,7 @@ def test_colliding_hashes_are_told_apart(spark, docs, monkeypatch):
     from pyspark.sql import functions as F
 
     monkeypatch.setattr(fingerprint, "wide_hash", lambda c: F.concat(F.lit("h"), (F.length(c) % 4).cast("string")))
-    can = lambda x: " ".join(unicodedata.normalize("NFKC", x or "").lower().split())
+    can = lambda x: " ".join(unicodedata.normalize("NFKC", x or "").casefold().split())
     got = {r.doc_id: r for r in fingerprint.fingerprint_edits(docs).collect()}
     by = {}
     for i, t, *_ in corpus():
