@@ -11,6 +11,7 @@ from plumbline.plans import sweep
 from plumbline.plans.rules import SHIPPED, rules_sql
 from plumbline.queries import rank_gate as G
 from plumbline.queries.registry import registry
+from plumbline.sinks import report as R
 from plumbline.sources import readers, store
 from plumbline.sources.host import table
 from plumbline.sources.shared import shared_path
@@ -101,3 +102,49 @@ def s18_json_lines(spark, d):
     store.append_lines(rows.where("commit % 2 = 0"), path)
     store.append_lines(rows.where("commit % 2 = 1"), path)
     return store.read_lines(spark, path, "commit bigint, seq bigint", "commit")
+
+
+_TS = "CASE page_id % 11 WHEN 0 THEN 'src/a' || page_id % 7 || '/x.ts' WHEN 1 THEN 'src/a' || page_id % 7 || '/x.d.ts' WHEN 2 THEN 'src/a' || page_id % 7 || '/__tests__/deep/y.tsx' WHEN 3 THEN 'node_modules/p/z.ts' WHEN 4 THEN 'pk' || page_id % 3 || '/lib/w.mts' WHEN 5 THEN 'pk1/package.json' WHEN 6 THEN '.hid/v.ts' WHEN 7 THEN 'main' || page_id || '.ts' WHEN 8 THEN 'src/b/u.spec.cts' WHEN 9 THEN 'README.md' ELSE 'src/dist/t.ts' END"
+
+
+@query(f"WITH f AS (SELECT DISTINCT {_TS} AS path FROM pages), s AS (SELECT path, CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '' END AS dir FROM f WHERE regexp_matches(path, '[.](ts|tsx|mts|cts)$') AND NOT regexp_matches(path, '[.]d[.](ts|mts|cts)$')) SELECT path, CASE WHEN regexp_replace(dir, '(^|/)__tests__(/.*)?$', '') = '' THEN '.' ELSE regexp_replace(dir, '(^|/)__tests__(/.*)?$', '') END AS package, regexp_matches(path, '[.](test|spec)[.](ts|tsx|mts|cts)$') OR regexp_matches(dir, '(^|/)__tests__(/|$)') AS is_test FROM s WHERE NOT regexp_matches(dir, '(^|/)(node_modules|dist|build|[.][^/]*)(/|$)') AND NOT (starts_with(path, 'pk1/') AND 'pk1/package.json' IN (SELECT path FROM f))")
+def s8_typescript_files(spark, d):
+    """Which files belong to a module, and to which of its packages."""
+    return readers.typescript_files(table(spark, d, "pages").select(F.expr(_TS).alias("path")))
+
+
+_GO = "'x := pk' || p_partkey % 5 || '.New() // pk9.Gone()' || chr(10) || 's := \"pk8.Quoted\"; pk' || p_size % 3 || '.Run(a.b, z.Do)' || chr(10)"
+
+
+@query(f"SELECT p_partkey, array_to_string(list_sort(list_distinct(['pk' || p_partkey % 5 || '.New', 'pk' || p_size % 3 || '.Run', 'z.Do'])), ',') AS names FROM part")
+def h15_selectors(spark, d):
+    """What tests of packages that don't load refer to, by name; comments and strings don't count."""
+    return table(spark, d, "part").select("p_partkey", F.array_join(readers.selectors(F.expr(_GO)), ",").alias("names"))
+
+
+@query("SELECT 1 AS place, '| source | docs | longest |' AS line UNION ALL SELECT 2, '| --- | ---: | ---: |' UNION ALL SELECT 2 + row_number() OVER (ORDER BY source NULLS FIRST), '| ' || coalesce(source, '') || ' | ' || count(*) || ' | ' || max(n_chars) || ' |' FROM documents GROUP BY source")
+def k14_markdown(spark, d):
+    """A result as a Markdown table."""
+    rows = table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("docs"), F.max("n_chars").alias("longest"))
+    return R.markdown_table(rows, ["source", "docs", "longest"], ["source"])
+
+
+_FIT = "CASE WHEN l_quantity < 5 THEN -l_quantity WHEN l_quantity < 20 THEN l_quantity / 100 ELSE l_extendedprice / 7 END"
+
+
+@query(f"SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, CASE WHEN fixed THEN 300.0 WHEN v < 0 THEN 0.0 WHEN v = 0 THEN 0.0 WHEN k < 0 THEN round(v * pow(10.0, -k)) / pow(10.0, -k) ELSE round(v / pow(10.0, k)) * pow(10.0, k) END AS emitted FROM (SELECT *, CASE WHEN v <> 0 THEN floor(log10(abs(v))) - 1 END AS k FROM (SELECT l_orderkey, l_linenumber, l_partkey, {_FIT} AS v, l_linenumber = 7 AS fixed FROM lineitem))")
+def c13_emitted(spark, d):
+    """Fitted parameters as a configuration takes them."""
+    v = F.expr(_FIT)
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", R.emitted(v, F.lit(0.0), F.lit(300.0), F.col("l_linenumber") == 7).alias("emitted")).distinct()
+
+
+@query("SELECT l_suppkey AS package, count(*) AS n FROM lineitem GROUP BY ALL")
+def t4_cached(spark, d):
+    """T4: a table kept under a key is built once."""
+    import uuid
+
+    root = f"{shared_path(spark)}/plumbline-cache-{uuid.uuid4().hex}"
+    build = lambda more: lambda: table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("package")).agg((F.count("*") + more).alias("n"))
+    store.cached(spark, root, "base", build(0))
+    return store.cached(spark, root, "base", build(1))

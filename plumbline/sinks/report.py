@@ -162,3 +162,25 @@ def ranking_table(rows: DataFrame, order: list) -> DataFrame:
 def run_summary(commits: DataFrame) -> DataFrame:
     """One row about a run: its commits, how many loaded, passed and failed, and its wall time."""
     return commits.agg(F.count("*").alias("commits"), F.count_if("loaded").alias("loaded"), F.count_if(F.col("loaded") & F.col("passed")).alias("passed"), F.count_if(F.col("loaded") & ~F.col("passed")).alias("failed"), F.sum("wall_ms").alias("wall_ms"))
+
+
+def markdown_table(rows: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
+    """place, line: rows as a Markdown table; text left, numbers right, unknown values empty, pipes escaped."""
+    right = {c for c, t in rows.dtypes if t in ("int", "bigint", "double", "float") or t.startswith("decimal")}
+    cell = lambda c: F.replace(F.coalesce(number(F.col(c)) if c in right else F.col(c).cast("string"), F.lit("")), F.lit("|"), F.lit("\\|"))
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *[cell(c) for c in columns]), F.lit(" |"))
+    body = placed(rows, [F.col(c) for c in order], "place").select((F.col("place") + 2).alias("place"), line.alias("line"))
+    head = [(1, "| " + " | ".join(columns) + " |"), (2, "| " + " | ".join("---:" if c in right else "---" for c in columns) + " |")]
+    return rows.sparkSession.createDataFrame(head, "place bigint, line string").unionAll(body)
+
+
+def two_figures(value: Column) -> Column:
+    """Rounded to two significant figures; below ten by a whole power of ten, so that 0.3 stays 0.3."""
+    k = F.floor(F.log10(F.abs(value))) - 1
+    up, down = F.pow(F.lit(10.0), -k), F.pow(F.lit(10.0), k)
+    return F.when(value == 0, 0.0).when(k < 0, F.round(value * up) / up).otherwise(F.round(value / down) * down)
+
+
+def emitted(fitted: Column, least: Column, kept: Column, fixed: Column) -> Column:
+    """A fitted parameter as configuration takes it: kept where it was held, never under the least, two figures."""
+    return F.when(fixed, kept).when(fitted < least, least).otherwise(two_figures(fitted))

@@ -108,3 +108,44 @@ def go_imports(text: Column) -> Column:
 def write_single(df: DataFrame, path: str) -> None:
     """A small result as one JSON file, nulls kept."""
     df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+#: Directories outside every TypeScript package, and the one whose files are the tests of its parent.
+OUTSIDE, TESTS_DIR, MANIFEST = ("node_modules", "dist", "build"), "__tests__", "package.json"
+
+
+def typescript_files(files: DataFrame) -> DataFrame:
+    """path, package, is_test of the TypeScript files (path, from the module root) that belong to the module:
+    declaration files, files under directories outside every package, and files of modules below the root are left
+    out. A file meets the manifests of the directories it lies in by equality."""
+    path = F.col("path")
+    parts = F.split(path, "/")
+    above = F.transform(F.sequence(F.lit(1), F.size("__d")), lambda n: F.array_join(F.slice("__d", F.lit(1), n), "/"))
+    source = path.rlike(r"\.[mc]?tsx?$") & ~path.rlike(r"\.[mc]tsx$") & ~path.rlike(r"\.d\.[mc]?ts$")
+    inside = files.select("path").distinct().where(source).withColumn("__d", F.slice(parts, F.lit(1), F.size(parts) - 1))
+    inside = inside.where(~F.exists("__d", lambda s: s.isin(*OUTSIDE) | s.startswith(".")))
+    nested = files.where(path.endswith("/" + MANIFEST)).select(F.regexp_replace(path, "/[^/]*$", "").alias("root")).distinct()
+    own = inside.withColumn("root", F.explode_outer(F.when(F.size("__d") > 0, above)))
+    foreign = own.join(nested, "root", "left_semi").select("path").distinct()
+    cut = F.array_position("__d", TESTS_DIR)
+    package = F.array_join(F.when(cut > 0, F.slice("__d", F.lit(1), (cut - 1).cast("int"))).otherwise(F.col("__d")), "/")
+    test = path.rlike(r"\.(test|spec)\.([mc]ts|tsx?)$") | (cut > 0)
+    return inside.join(foreign, "path", "left_anti").select("path", F.when(package == "", ".").otherwise(package).alias("package"), test.alias("is_test"))
+
+
+def guessed_names(path: Column) -> Column:
+    """The names an unnamed import of a path may give: its last part, without a version part or suffix, and without go
+    around a dash."""
+    parts = F.split(path, "/")
+    last = F.element_at(parts, -1)
+    name = F.when((F.size(parts) > 1) & last.rlike(r"^v\d+$"), F.element_at(parts, F.when(F.size(parts) > 1, -2).otherwise(-1))).otherwise(last)
+    name = F.regexp_replace(name, r"\.v\d+$", "")
+    bare = F.regexp_replace(F.regexp_replace(name, "^go-", ""), "-go$", "")
+    return F.array_distinct(F.array(name, bare))
+
+
+def selectors(text: Column) -> Column:
+    """The `pkg.Name` selectors of a text, distinct and in order: what a test of a package that doesn't load refers to
+    by name."""
+    bare = F.regexp_replace(F.regexp_replace(text, r'"(?:[^"\\\\\n]|\\\\.)*"|`[^`]*`', '""'), r"//[^\n]*|(?s:/\*.*?\*/)", " ")
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(bare, F.lit(r"\b([A-Za-z_]\w*\.[A-Z]\w*)"), F.lit(1))))

@@ -6,6 +6,8 @@ batch that is run again overwrites what it left. Readers take only package rows
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,3 +69,13 @@ def read_lines(spark: SparkSession, path: str, schema: str, key: str) -> DataFra
 def append_lines(rows: DataFrame, path: str) -> None:
     """Appends rows to a folder of JSON lines, nulls kept; a reader of the folder sees whole files only."""
     rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("value")).write.mode("append").text(path)
+
+
+def cached(spark: SparkSession, root: str, key: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table kept under a key (a merge base, or a file's size and time), built and written where it isn't yet. A
+    build that was interrupted left no marker and is made again."""
+    path = f"{root}/{key}"
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
