@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import scalar as S
 from plumbline.operators import aggregates as A
+from plumbline.operators import model as N
 from plumbline.operators import regress as R
 from plumbline.sources.host import table
 
@@ -84,9 +85,63 @@ def c1_ols_one(spark, d):
     return out.select("name", S.round_to("c", 4).alias("coef"), S.round_to("r", 8).alias("r2"), "n")
 
 
+_HC3 = f"""WITH s AS (SELECT count(*) AS n, sum(l_discount) AS sx, sum(l_discount * l_discount) AS sxx, sum(l_extendedprice) AS sy, sum(l_discount * l_extendedprice) AS sxy FROM lineitem),
+i AS (SELECT *, sxx / (n * sxx - sx * sx) AS i11, -sx / (n * sxx - sx * sx) AS i12, n / (n * sxx - sx * sx) AS i22, (n * sxy - sx * sy) / (n * sxx - sx * sx) AS b1 FROM s),
+j AS (SELECT *, (sy - b1 * sx) / n AS b0 FROM i),
+w AS (SELECT sum(v) AS m11, sum(v * x) AS m12, sum(v * x * x) AS m22 FROM (SELECT l_discount AS x, pow((l_extendedprice - b0 - b1 * l_discount) / (1 - least(i11 + 2 * i12 * l_discount + i22 * l_discount * l_discount, 0.99)), 2) AS v FROM lineitem, j))
+SELECT 'intercept' AS name, {_r('b0', 3)} AS coef, {_r('sqrt(i11 * i11 * m11 + 2 * i11 * i12 * m12 + i12 * i12 * m22)', 3)} AS se FROM j, w UNION ALL SELECT 'l_discount', {_r('b1', 3)}, {_r('sqrt(i12 * i12 * m11 + 2 * i12 * i22 * m12 + i22 * i22 * m22)', 3)} FROM j, w"""
+
+
+@query(_HC3)
+def c1_hc3_one(spark, d):
+    """Price on discount, with HC3 errors."""
+    fit = R.ols(table(spark, d, "lineitem"), "l_extendedprice", ["l_discount"])
+    out = spark.createDataFrame([(n, float(c), float(s)) for n, c, s in zip(fit.names, fit.coef, fit.se)], "name string, c double, s double")
+    return out.select("name", S.round_to("c", 3).alias("coef"), S.round_to("s", 3).alias("se"))
+
+
 @query()
 def c1_ols_hc3(spark, d):
     """Price on quantity, discount and tax, with HC3 errors; held against a dense fit in the tests."""
     fit = R.ols(table(spark, d, "lineitem"), "l_extendedprice", ["l_quantity", "l_discount", "l_tax"])
     rows = [(n, float(c), float(s)) for n, c, s in zip(fit.names, fit.coef, fit.se)]
     return spark.createDataFrame(rows, "name string, coef double, se double")
+
+
+_INPUTS = {"volume": "sum(l_quantity) * 40", "spec": "sum(l_linenumber) * 25", "exports": "count(DISTINCT l_partkey) % 80", "untested": "count_if(l_returnflag = 'A') % 40", "hidden": "count_if(l_linenumber = 7) % 9"}
+
+
+def _runs(spark, d):
+    """A supplier's line items as runs: what one takes follows from the supplier's inputs, plus what differs by run."""
+    rows = table(spark, d, "lineitem")
+    x = rows.groupBy(F.col("l_suppkey").alias("package")).agg(*[F.expr(e).cast("double").alias(n) for n, e in _INPUTS.items()])
+    cost = F.col("volume") + F.col("spec") + F.col("exports") * 150 + F.col("untested") * 400 + F.col("hidden") * 90
+    runs = rows.select(F.col("l_suppkey").alias("package"), (F.col("l_partkey") % 7 != 0).alias("passed"), (F.col("l_tax") * 100).alias("noise")).join(x, "package")
+    return runs.withColumn("tokens", 8000 + 1.3 * cost * (1 + (F.col("noise") - 4) / 400))
+
+
+@query()
+def c5_form_fit(spark, d):
+    """The rebuild form fitted to the median tokens of passing runs; the tests plant its parameters."""
+    x, y = N.matrix(N.observations(_runs(spark, d), list(_INPUTS)))
+    fit = N.fit_form(x, y, N.Form())
+    rows = [(n, float(getattr(fit.form, n)), fit.se.get(n), fit.fixed.get(n)) for n in ("overhead", "scale", *N.COSTS, "exponent")]
+    return spark.createDataFrame(rows, "name string, value double, se double, fixed string")
+
+
+@query()
+def c6_budget_profile(spark, d):
+    """The fit at several budgets, and whether one is better than the shipped."""
+    x, y = N.matrix(N.observations(_runs(spark, d), list(_INPUTS)))
+    fits = N.profile(x, y, N.Form(), [20_000.0, 37_500.0, 75_000.0, 150_000.0])
+    best, sure = N.best_budget(fits, 37_500.0)
+    return spark.createDataFrame([(b, float(f.sse), float(f.r2), b == best, sure and b == best) for b, f in fits.items()], "budget double, sse double, r2 double, best boolean, significant boolean")
+
+
+@query()
+def c7_contributions(spark, d):
+    """What each input, and a flag beside the form, adds to measured tokens."""
+    x, y = N.matrix(N.observations(_runs(spark, d), list(_INPUTS)))
+    form = N.fit_form(x, y, N.Form()).form
+    got = N.contributions(x, y, {"even": (x[:, 2] % 2 == 0).astype(float)}, lambda v: N.linearized(form, v))
+    return spark.createDataFrame([(c.name, c.in_form, c.coef, c.significant, c.verdict) for c in got], "name string, in_form boolean, coef double, significant boolean, verdict string")
