@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_shared(spark: SparkSession) -> None:
@@ -36,3 +37,11 @@ def shared_path(spark: SparkSession) -> str:
     """The shared folder's path."""
     ensure_shared(spark)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df written once to the shared folder, for several readers that each need some of its columns."""
+    spark = df.sparkSession
+    path = f"{shared_path(spark)}/plumbline-{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
