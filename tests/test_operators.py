@@ -179,6 +179,24 @@ def test_file_blocks_are_brute_force(spark):
         assert r.tokens >= 6 and (r.first_line, r.last_line) == (r.pos // 4, (r.pos + r.tokens - 1) // 4)
 
 
+def test_groups_hold_forks_and_not_tokens(spark):
+    """A group is as many rows as its files fork, however long the copies are; survivors alone cover what all places do."""
+    rng = random.Random(5)
+    long = [rng.randint(0, 1 << 40) for _ in range(5000)]
+    files = [(f, long[: 4000 + 100 * f] + [-f - 1] * 7) for f in range(9)] + [(20, long[100:200]), (21, long[150:1000]), (22, [])]
+    rows = [("s", f, c, [i // 4 for i in range(len(c))], [False] * len(c), [0] * len(c)) for f, c in files]
+    df = spark.createDataFrame(rows, "stream string, file long, codes array<long>, lines array<int>, literal array<boolean>, shape array<int>")
+    per_file = [r["n"] for r in D.grouped_forks(df, 6).groupBy("grp", "file").agg(F.count("*").alias("n")).collect()]
+    assert max(per_file) < 40
+    cover = lambda every: {(r.file, p) for r in D.block_places(df, 6, every).collect() for p in range(r.pos, r.pos + r.tokens)}
+    line = [(f, p, x) for f, c in files for p, x in enumerate([*c, f"end{f}"])]
+    assert cover(False) == cover(True) == {line[i][:2] for i in naive([x for _, _, x in line], 6)}
+    places = D.file_blocks(df, 6)
+    one = places.groupBy("grp", "block").agg(F.first("kind").alias("kind"), F.count("*").alias("n"))
+    got = D.block_counts(df, 6).first()
+    assert (got.blocks, got.code, got.occurrences) == (one.count(), one.where("kind = 'code'").count(), places.count())
+
+
 def test_ols_against_dense(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(300, 2))
