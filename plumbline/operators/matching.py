@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalar import set_key
+from plumbline.sources.shared import shared_path, written
 
 
 def numbered(rows: DataFrame, key: list[str], order: list, name: str = "k") -> DataFrame:
@@ -152,15 +155,27 @@ def grouped_sets(rows: DataFrame, group: str, item: str) -> DataFrame:
     return rows.groupBy(group).agg(F.collect_set(item).alias("items")).select(group, set_key(F.col("items")).alias("set_key"))
 
 
+#: Packages are broadcast up to this many (16 MB of numbers), and joined by a shuffle beyond.
+BROADCAST_PACKAGES = 1_000_000
+
+
 def reaching(edges: DataFrame, targets: DataFrame, rounds: int = 100) -> DataFrame:
-    """Packages from which a target is reached over edges (source, target), targets included. Each round joins
-    only what the last one added, and is checkpointed to the shared folder."""
-    known = targets.select("package").distinct().checkpoint()
-    front = known
-    for _ in range(rounds):
-        met = edges.join(front.withColumnRenamed("package", "target"), "target", "left_semi").select(F.col("source").alias("package")).distinct()
-        front = met.join(known, "package", "left_anti").checkpoint()
-        if front.isEmpty():
-            return known
-        known = known.unionAll(front).checkpoint()
+    """Packages from which a target is reached over edges (source, target), targets included.
+
+    The edges are written once, repeats and all, and what each round adds to a folder of its own. A round reads both;
+    while the last one added few, neither the edges nor the packages known are shuffled."""
+    spark = edges.sparkSession
+    edges = written(edges.select("source", "target"), "edges")
+    path = f"{shared_path(spark)}/plumbline-reached-{uuid.uuid4().hex}"
+    kind = targets.schema["package"].dataType.simpleString()
+    few = lambda df: F.broadcast(df) if df.limit(BROADCAST_PACKAGES + 1).count() <= BROADCAST_PACKAGES else df
+    read = lambda at="": spark.read.schema(f"package {kind}").option("recursiveFileLookup", "true").parquet(f"{path}{at}")
+    targets.select("package").distinct().write.parquet(f"{path}/0")
+    for i in range(rounds):
+        front = few(read(f"/{i}").withColumnRenamed("package", "target"))
+        met = written(edges.join(front, "target", "left_semi").select(F.col("source").alias("package")).distinct(), "met")
+        had = read().join(few(met), "package", "left_semi")
+        met.join(few(had), "package", "left_anti").write.parquet(f"{path}/{i + 1}")
+        if read(f"/{i + 1}").isEmpty():
+            return read()
     raise RuntimeError("paths too long for the given number of rounds")

@@ -197,6 +197,25 @@ def test_groups_hold_forks_and_not_tokens(spark):
     assert (got.blocks, got.code, got.occurrences) == (one.count(), one.where("kind = 'code'").count(), places.count())
 
 
+def test_grams_are_hashed_in_slices(monkeypatch):
+    """What a worker hashes at once is bounded by tokens, not by a batch's rows; the k-grams are the same."""
+    import pyarrow as pa
+
+    codes = [[(i * 7 + j) % 5 for j in range(i % 13)] for i in range(300)]
+    rb = pa.RecordBatch.from_arrays([pa.array(["s"] * 300), pa.array(range(300), pa.int64()), pa.array(codes, pa.list_(pa.int64())), pa.array([[0] * len(c) for c in codes], pa.list_(pa.int32())), pa.array([1] * 300, pa.int64())], names=["stream", "file", "codes", "lines", "seed"])
+    whole = {give: pa.Table.from_batches(D._gram_rows(iter([rb]), 5, give)) for give in ("hash", "sides", "forks", "lines")}
+    monkeypatch.setattr(D, "SLICE", 20)
+    for give, want in whole.items():
+        parts = list(D._gram_rows(iter([rb]), 5, give))
+        assert max(p.num_rows for p in parts) <= 20
+        lines = {"first_line", "last_line"} & set(want.column_names)  # counted from anywhere, but one file's from the same
+        assert pa.Table.from_batches(parts).drop_columns([*lines]).to_pylist() == want.drop_columns([*lines]).to_pylist()
+    grams = {}
+    for r in whole["forks"].to_pylist():
+        grams.setdefault(r["g"], set()).add(tuple(codes[r["file"]][r["pos"] : r["pos"] + 5]))
+    assert all(len(x) == 1 for x in grams.values()) and len(grams) == len(set.union(*grams.values()))
+
+
 def test_ols_against_dense(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(300, 2))
@@ -260,3 +279,16 @@ def test_language_needs_one_marker(spark):
     assert readers.detect_language(files.limit(1).where("path like '%go.mod'"), marks) == "go"
     with pytest.raises(ValueError):
         readers.detect_language(files, marks)
+
+
+@pytest.mark.parametrize("most", [0, 3, 1000])
+def test_reaching_by_broadcast_and_by_shuffle(spark, monkeypatch, most):
+    """The same packages whether what a round adds is broadcast or not; repeats, cycles and targets without edges."""
+    monkeypatch.setattr(M, "BROADCAST_PACKAGES", most)
+    rng = random.Random(8)
+    edges = [(rng.randint(0, 60), rng.randint(0, 60)) for _ in range(70)] * 2 + [(100 + i, 101 + i) for i in range(6)] + [(106, 3)]
+    want = {3, 500}
+    while more := {a for a, b in edges if b in want} - want:
+        want |= more
+    got = M.reaching(spark.createDataFrame(edges, "source long, target long"), spark.createDataFrame([(3,), (3,), (500,)], "package long"))
+    assert sorted(r.package for r in got.collect()) == sorted(want) and len(want) > 8
