@@ -29,15 +29,21 @@ def reverted_subject(subject: Column) -> Column:
     return F.when(subject.rlike(REVERT_SUBJECT), F.regexp_extract(subject, REVERT_SUBJECT, 1))
 
 
+def functions_of(touched: DataFrame) -> DataFrame:
+    """seq, functions: what each commit touched, each once."""
+    return touched.groupBy("seq").agg(F.collect_set("function").alias("functions"))
+
+
 def fixups(commits: DataFrame, touched: DataFrame, window: int) -> DataFrame:
     """seq, next, functions: for each commit the first of the next `window` whose subject is a fix or revert and
     that touched a function it touched, with the shared functions in order.
 
-    commits: seq, subject. touched: seq, function. A function meets its own slot and the one before only."""
-    t = touched.select("seq", "function").distinct()
-    fixes = t.join(commits.where(is_fix(F.col("subject"))).select("seq"), "seq", "left_semi")
-    early = t.withColumn("slot", F.explode(F.array(F.floor(F.col("seq") / window), F.floor(F.col("seq") / window) + 1)))
-    late = fixes.select("function", F.col("seq").alias("next"), F.floor(F.col("seq") / window).alias("slot"))
+    commits: seq, subject. touched: seq, function. A fix stands in its own slot and the one before. The functions of a
+    commit are one row, so that one shuffle both counts each once and finds the fixes."""
+    known = functions_of(touched).join(commits.select("seq", is_fix(F.col("subject")).alias("fix")), "seq", "left")
+    each = known.select("seq", "fix", F.explode("functions").alias("function"), F.floor(F.col("seq") / window).alias("slot"))
+    early = each.select("seq", "function", "slot")
+    late = each.where("fix").select("function", F.col("seq").alias("next"), F.explode(F.array("slot", F.col("slot") - 1)).alias("slot"))
     met = early.join(late, ["function", "slot"]).where((F.col("next") > F.col("seq")) & (F.col("next") <= F.col("seq") + window))
     pairs = met.groupBy("seq", "next").agg(F.array_sort(F.collect_set("function")).alias("functions"))
     return pairs.groupBy("seq").agg(F.min_by(F.struct("next", "functions"), "next").alias("m")).select("seq", "m.*")
@@ -67,7 +73,7 @@ def decided(commits: DataFrame, touched: DataFrame, messages: DataFrame, window:
     function it touched, otherwise allow."""
     f = fixups(commits, touched, window).join(commits.select(F.col("seq").alias("next"), F.col("hash").alias("fix_hash"), F.col("subject").alias("fix_subject")), "next")
     r = reverts(commits, messages).join(messages.select(F.col("hash").alias("reverter"), F.col("subject").alias("reverter_subject")), "reverter")
-    n = touched.groupBy("seq").agg(F.count_distinct("function").alias("n"))
+    n = functions_of(touched).select("seq", F.size("functions").alias("n"))
     last = commits.agg(F.max("seq").alias("last"))
     met = commits.join(f, "seq", "left").join(r, "seq", "left").join(n, "seq", "left").join(F.broadcast(last), F.lit(True))  # one row
     reverted = F.when(F.col("reverter").isNotNull(), F.concat(F.lit("reverted by "), F.substring("reverter", 1, 12), F.lit(' ("'), F.col("reverter_subject"), F.lit('")')))
@@ -82,16 +88,15 @@ def decided(commits: DataFrame, touched: DataFrame, messages: DataFrame, window:
     return met.select("seq", "hash", F.when(block, "block").otherwise("allow").alias("verdict"), parts.alias("parts"), F.when(block, F.concat_ws("; ", reverted, fixed)).otherwise(allowed).alias("reason"))
 
 
-def touched_functions(hunks: DataFrame, declarations: DataFrame, span: int = 64) -> DataFrame:
+def touched_functions(hunks: DataFrame, declarations: DataFrame) -> DataFrame:
     """seq, function: functions of which a diff hunk touches a line, on either side.
 
     hunks: seq, file, side, first, last (inclusive; last < first touches nothing). declarations: seq, file, side,
-    function, from_line, to_line. Slots of `span` lines make the overlap an equality join; a hunk or declaration
-    stands in each slot it reaches."""
-    slots = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / span), F.floor(F.col(b) / span))).alias("slot")
-    h = hunks.where("last >= first").select("seq", "file", "side", "first", "last", slots("first", "last"))
-    d = declarations.where("to_line >= from_line").select("seq", "file", "side", "function", "from_line", "to_line", slots("from_line", "to_line"))
-    return h.join(d, ["seq", "file", "side", "slot"]).where("first <= to_line and last >= from_line").select("seq", "function").distinct()
+    function, from_line, to_line. A hunk meets the declarations of its own file in its own commit and no others, so both
+    sides are shuffled once as they are, and declarations that lie by these columns already aren't."""
+    h = hunks.where("last >= first").select("seq", "file", "side", "first", "last")
+    d = declarations.where("to_line >= from_line").select("seq", "file", "side", "function", "from_line", "to_line")
+    return h.join(d.hint("merge"), ["seq", "file", "side"]).where("first <= to_line and last >= from_line").select("seq", "function").distinct()
 
 
 def timeline(rows: DataFrame, deletions: DataFrame) -> DataFrame:
